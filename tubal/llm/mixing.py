@@ -11,6 +11,7 @@ computed per index, by the swap-or-not shuffle (Hoang, Morris, Rogaway 2012), so
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,25 +31,31 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long"), F.lit(0).cast("long"))
 
 
-def _seven(text: Column) -> Column:
-    """28 pseudorandom bits of a string."""
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+def _offsets(key: str, rounds: int) -> list[int]:
+    """56 pseudorandom bits for each round of the permutation that ``key`` names."""
+    seven = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:7], 16)
+    return [seven(f"k/{key}/{r}") * (1 << 28) + seven(f"l/{key}/{r}") for r in range(1, rounds + 1)]
 
 
-def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """Where a permutation of 0..n-1 that ``key`` names takes ``index``."""
+def permuted(index: Column, n: Column, key: Column, offsets: Column) -> Column:
+    """Where the permutation of 0..n-1 that ``key`` names takes ``index``; ``offsets`` as ``_offsets``."""
 
     def step(x: Column, r: Column) -> Column:
-        other = F.pmod(_offset(key, r) - x, n)
+        other = F.pmod(F.element_at(offsets, r) - x, n)
         coin = F.substring(F.md5(F.concat_ws("/", key, r.cast("string"), F.greatest(x, other).cast("string"))), 1, 1)
         return F.when(coin < F.lit("8"), x).otherwise(other)
 
-    def _offset(key: Column, r: Column) -> Column:
-        high = _seven(F.concat_ws("/", F.lit("k"), key, r.cast("string")))
-        low = _seven(F.concat_ws("/", F.lit("l"), key, r.cast("string")))
-        return high * F.lit(1 << 28) + low
+    return F.aggregate(F.sequence(F.lit(1), F.size(offsets)), index, step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index, step)
+
+def index_of(value: int, n: int, key: str, rounds: int) -> int:
+    """The index that ``permuted`` takes to ``value``: the same rounds, the last first."""
+    offsets = _offsets(key, rounds)
+    for r in range(rounds, 0, -1):
+        other = (offsets[r - 1] - value) % n
+        if hashlib.md5(f"{key}/{r}/{max(value, other)}".encode()).hexdigest()[0] >= "8":
+            value = other
+    return value
 
 
 def source_targets(sized: DataFrame, share: float = 1.5, most: int = 2, weights: Sequence[int] = WEIGHTS) -> DataFrame:
@@ -99,9 +106,13 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
         # Each whole round takes every block once; the rest takes blocks in permuted order and cuts the last.
         need = rounds_whole * blocks + -(-rest // block_words) + (1 if rest else 0)
         need = min(need, most * blocks)
-        rows.append((nth, r.source, int(r.weight), int(r.source_size), float(r.target), blocks, int(words), slots, need))
+        keys = [f"{seed}/{nth}/{k}" for k in range(most)]
+        # All blocks hold block_words words but the last of the source, which may lie anywhere in a round.
+        tails = [k * blocks + index_of(blocks - 1, blocks, name, rounds) for k, name in enumerate(keys)] if blocks else []
+        offsets = [_offsets(name, rounds) for name in keys]
+        rows.append((nth, r.source, int(r.weight), int(r.source_size), float(r.target), blocks, int(words), slots, need, tails, offsets))
         slots += need
-    schema = "nth int, source string, weight long, source_size long, target double, blocks long, words long, first_slot long, slots long"
+    schema = "nth int, source string, weight long, source_size long, target double, blocks long, words long, first_slot long, slots long, tails array<long>, offsets array<array<long>>"
     sources = spark.createDataFrame(rows, schema).coalesce(1)
 
     key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -123,21 +134,18 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     bounds = F.array(*[F.lit(r[7]).cast("long") for r in rows]) if rows else F.array().cast("array<long>")
     wanted = F.size(F.filter(bounds, lambda x: x <= F.col("slot"))) - 1
     listing = F.broadcast(sources.where("slots > 0").withColumnRenamed("nth", "nth_"))
-    numbered = spark.range(slots).withColumnRenamed("id", "slot")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Sources without slots share their first_slot with the next; the last of those with slots counts.
-    numbered = numbered.withColumn("nth_", _last_with_slots(rows, wanted))
-    numbered = numbered.join(listing, "nth_").withColumnRenamed("nth_", "nth")
-    ordinal = F.col("slot") - F.col("first_slot")
-    name = F.concat_ws("/", F.lit(seed), F.col("nth").cast("string"), F.floor(ordinal / F.col("blocks")).cast("string"))
-    block = permuted(F.pmod(ordinal, F.col("blocks")), F.col("blocks"), name, rounds)
-    numbered = numbered.withColumn("ordinal", ordinal).withColumn("block", block)
-    # Words before a slot: all blocks hold block_words but the last block of the source, which may lie anywhere in a round.
+    numbered = spark.range(0, slots, 1, tasks).withColumnRenamed("id", "slot").withColumn("nth_", _last_with_slots(rows, wanted))
+    numbered = numbered.join(listing, "nth_").withColumnRenamed("nth_", "nth").withColumn("ordinal", F.col("slot") - F.col("first_slot"))
+    turn = F.floor(F.col("ordinal") / F.col("blocks"))
+    name = F.concat_ws("/", F.lit(seed), F.col("nth").cast("string"), turn.cast("string"))
+    block = permuted(F.pmod("ordinal", "blocks"), F.col("blocks"), name, F.element_at("offsets", (turn + 1).cast("int")))
+    numbered = numbered.withColumn("block", block)
     short = F.col("blocks") * block_words - F.col("source_size")
-    tail_at = numbered.where(F.col("block") == F.col("blocks") - 1).groupBy("nth").agg(F.sort_array(F.collect_list("ordinal")).alias("tails"))
-    numbered = numbered.join(F.broadcast(tail_at), "nth", "left")
-    tails_before = F.coalesce(F.size(F.filter("tails", lambda t: t < F.col("ordinal"))), F.lit(0))
-    before = F.col("ordinal") * block_words - short * F.greatest(tails_before, F.lit(0))
-    place = permuted(F.col("slot"), F.lit(slots).cast("long"), F.lit(f"{seed}/shards"), rounds)
+    before = F.col("ordinal") * block_words - short * F.size(F.filter("tails", lambda t: t < F.col("ordinal")))
+    shard_key = f"{seed}/shards"
+    place = permuted(F.col("slot"), F.lit(slots).cast("long"), F.lit(shard_key), F.array(*[F.lit(x) for x in _offsets(shard_key, rounds)]))
     slots_df = numbered.withColumn("block_most", F.greatest(F.lit(0), F.least(F.lit(block_words).cast("long"), F.col("words") - before))).where("block_most > 0")
     slots_df = slots_df.withColumn("place", place).select("slot", F.floor(F.col("place") / shard_slots).alias("shard"), "place", "nth", "block", "block_most")
     return sources, pieces, slots_df
