@@ -71,11 +71,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each text, the one with the largest id."""
-    groups = copy_groups(docs, id_col, text_col).select("text_sha256", "keep_id", "n_top")
+    groups = copy_groups(docs, id_col, text_col).select(F.col("text_sha256").alias("_sha256"), F.col("keep_id").alias("_keep_id"), F.col("n_top").alias("_n_top"))
     columns = docs.columns
-    hashed = docs.withColumn("text_sha256", F.sha2(text_or_empty(text_col), 256))
-    joined = hashed.join(groups, "text_sha256", "left")
-    top = joined.where(F.col("n_top").isNull() | same(F.col(id_col), F.col("keep_id")))
-    single = top.where("n_top is null or n_top = 1").select(*columns)
-    tied = top.where("n_top > 1").dropDuplicates(["text_sha256"]).select(*columns)
-    return single.unionByName(tied)
+    hashed = docs.withColumn("_sha256", F.sha2(text_or_empty(text_col), 256))
+    joined = hashed.join(groups, "_sha256", "left")
+    top = joined.where(F.col("_n_top").isNull() | same(F.col(id_col), F.col("_keep_id")))
+    if groups.where("_n_top > 1").isEmpty():
+        return top.select(*columns)
+    # Identical rows with the same id: one of them.
+    tied = top.where("_n_top > 1").dropDuplicates(["_sha256"])
+    return top.where("_n_top is null or _n_top = 1").select(*columns).unionByName(tied.select(*columns))

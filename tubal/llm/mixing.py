@@ -187,14 +187,15 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents with the columns of ``docs``: each row holds the words that one slot takes
     from one document, joined by single spaces; ``n_chars`` is its length."""
-    numbered = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    sized = materialize(numbered.select(F.struct("doc_id", "doc_key").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix-sizes")
+    # Rows that repeat id and text share a key, and one of them yields what the mix takes of all.
+    keyed = docs.withColumn("_doc_key", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")))
+    sized = materialize(keyed.select(F.col("_doc_key").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix-sizes")
     _, pieces, slots = plan_mix(sized, **options)
-    cut = mixed_pieces(pieces, slots).select(F.col("doc_id.doc_id").alias("id_"), F.col("doc_id.doc_key").alias("key_"), "doc_from", "words")
-    per_doc = cut.groupBy("id_", "key_", "doc_from", "words").agg(F.count(F.lit(1)).alias("times")).groupBy("id_", "key_").agg(F.collect_list(F.struct("doc_from", "words", "times")).alias("cuts"))
-    base = numbered.dropDuplicates(["doc_id", "doc_key"])
-    joined = base.join(per_doc, same(F.col("doc_id"), F.col("id_")) & (F.col("doc_key") == F.col("key_")))
-    words = joined.withColumn("all_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    texts = F.flatten(F.transform("cuts", lambda c: F.array_repeat(F.array_join(F.slice("all_words", (c["doc_from"] + 1).cast("int"), c["words"].cast("int")), " "), c["times"].cast("int"))))
+    cuts = mixed_pieces(pieces, slots).groupBy(F.col("doc_id").alias("_doc_key"), "doc_from", "words").agg(F.count(F.lit(1)).alias("times"))
+    per_doc = cuts.groupBy("_doc_key").agg(F.collect_list(F.struct("doc_from", "words", "times")).alias("_cuts"))
+    nth = F.row_number().over(Window.partitionBy("_doc_key").orderBy(F.lit(0)))
+    joined = keyed.join(per_doc, "_doc_key").withColumn("_nth", nth).where("_nth = 1")
+    words = joined.withColumn("_all_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    texts = F.flatten(F.transform("_cuts", lambda c: F.array_repeat(F.array_join(F.slice("_all_words", (c["doc_from"] + 1).cast("int"), c["words"].cast("int")), " "), c["times"].cast("int"))))
     out = words.select(*[c for c in docs.columns if c not in ("text", "n_chars")], F.explode(texts).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
