@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: A word, in every operator that counts words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that a function of texts holds as Python objects at a time.
+BATCH_ROWS = 1024
+
 _own_folder: list[str] = []
 
 
@@ -52,12 +55,12 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch that yields or returns batches."""
+    """``mapInArrow`` with a function of one batch, of ``BATCH_ROWS`` rows at most, that yields batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from function(batch)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                yield from function(batch.slice(start, BATCH_ROWS))
 
     return df.mapInArrow(run, schema)
 
