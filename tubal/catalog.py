@@ -461,7 +461,7 @@ def _logs(spark, sf):
         F.concat(F.lit("svd time = "), key.cast("string")), F.lit("reconstruct"), F.lit("ttm time: 0.5"),
         F.concat(F.lit("relative error: "), F.when(F.col("o_orderstatus") == "P", F.lit("nan")).otherwise(F.lit("0.25"))),
     )
-    return read(spark, sf, "orders").select(F.format_string("/logs/tsvdm_%s_dct_%d_run%d.log", F.lower("o_orderstatus"), F.pmod(key, F.lit(8)), F.pmod(key, F.lit(3))).alias("file"), content.alias("content"), key.alias("o_orderkey"))
+    return read(spark, sf, "orders").select(F.format_string("/logs/bytol_%s_dct_%d_run%d.log", F.lower("o_orderstatus"), F.pmod(key, F.lit(8)), F.pmod(key, F.lit(3))).alias("file"), content.alias("content"), key.alias("o_orderkey"))
 
 
 @_query(
