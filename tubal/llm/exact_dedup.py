@@ -8,7 +8,7 @@ where one length or one text holds a large part of all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tubal.llm.common import materialize, same, text_or_empty
@@ -53,18 +53,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     computed only as a column of this result.
     """
     groups = copy_groups(docs, id_col, text_col, prefix_chars)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"))
-    # Only rows that tie for their group's largest id need an order among themselves.
-    joined = rows.join(groups, "text_sha256", "left")
-    tied = (F.col("n_top") > 1) & same(F.col("doc_id"), F.col("keep_id"))
-    among = F.when(tied, F.lit(0)).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    nth = F.row_number().over(Window.partitionBy("text_sha256", "doc_id", "_among").orderBy(F.lit(0)))
-    first = joined.withColumn("_among", among).withColumn("_nth", nth)
-    return first.select(
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_row"))
+    rows = materialize(rows, "exact-rows")  # so that row numbers hold still and both uses are plain scans
+    # Only where rows tie for their group's largest id does one of them have to be chosen.
+    ties = groups.where("n_top > 1").select("text_sha256", F.col("keep_id").alias("_tied_id"))
+    chosen = rows.join(ties, "text_sha256").where(same(F.col("doc_id"), F.col("_tied_id"))).groupBy("text_sha256").agg(F.min("_row").alias("_chosen"))
+    joined = rows.join(groups.join(chosen, "text_sha256", "left"), "text_sha256", "left")
+    single = F.col("group_size").isNull()
+    largest = same(F.col("doc_id"), F.col("keep_id")) & (F.col("_chosen").isNull() | (F.col("_row") == F.col("_chosen")))
+    return joined.select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("group_size").isNull() | (same(F.col("doc_id"), F.col("keep_id")) & (F.col("_nth") == 1))).alias("kept"),
+        (single | largest).alias("kept"),
         "text_sha256",
     )
 
