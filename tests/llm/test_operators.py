@@ -110,6 +110,19 @@ def test_simhash(docs, none):
     rows = simhash.simhash_components(docs).collect()
     assert sorted(((r.doc_id, r.fp, r.component_id) for r in rows), key=str) == sorted(want, key=str)
     assert simhash.simhash_components(none).count() == 0
+    kept = simhash.drop_near_copies(docs)
+    stays = kept.collect()
+    assert kept.columns == docs.columns and sorted(low[brute_print(r.text)] for r in stays) == sorted(set(low.values()))
+    assert all(r.doc_id == first.get(low[brute_print(r.text)]) for r in stays)
+    assert simhash.drop_near_copies(none).count() == 0
+
+
+def test_near_copies_without_usable_ids(spark):
+    texts = [" ".join(words(80, k)) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[3]), (7, texts[4]), (7, texts[4]), (None, texts[5]), (1, texts[5])]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, digest string")
+    got = sorted(((r.doc_id, texts.index(r.text)) for r in simhash.drop_near_copies(df).collect()), key=str)
+    assert got == sorted([(None, 0), (None, 1), (7, 2), (3, 3), (7, 4), (1, 5)], key=str)
 
 
 def test_simhash_large_buckets(spark):
@@ -130,7 +143,7 @@ def test_simhash_large_buckets(spark):
 def test_embeddings(spark):
     r = np.random.default_rng(9)
     base = r.standard_normal((400, 16))
-    near = np.concatenate([base[:40] + 0.05 * r.standard_normal((40, 16)), base[0] + 0.05 * r.standard_normal((120, 16)), base[5:8]])
+    near = np.concatenate([base[:40] + 0.05 * r.standard_normal((40, 16)), base[0] + 0.05 * r.standard_normal((120, 16)), base[5:8], np.repeat(base[:1], 90, 0)])
     vectors = np.concatenate([base, near])
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     rows += [(9001, None), (9002, []), (9003, [0.0] * 16), (9004, [float("nan")] * 16), (9005, [None] * 16), (9006, [1.0]), (None, [1.0] * 16)]

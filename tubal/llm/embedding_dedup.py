@@ -4,7 +4,8 @@ Each pass sorts the vectors lexicographically by 64 concatenated random hyperpla
 every vector with its next neighbours in that order, by cosine in double precision. Pairs found are
 united across passes into components. Inside a component all pairs of vectors are then compared once,
 block against block, so that its vectors get all their links; that work follows the number of links,
-since the vectors of a component lie close together.
+since the vectors of a component lie close together. Identical vectors are one throughout, with the
+number of its copies.
 """
 
 from __future__ import annotations
@@ -117,11 +118,12 @@ def window_links(vectors: DataFrame, passes: int, threshold: float, window: int,
 
 
 def component_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """``node, links`` within components. ``members`` has ``component, node, data, size``."""
+    """``node, links`` within components: how many vectors, copies counted, other vectors link with.
+    ``members`` has ``component, node, data, copies, size``."""
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = own.select("component", "node", "data", "own", F.explode(pairs).alias("p")).select("component", "node", "data", "own", "p.i", "p.j")
+    dealt = own.select("component", "node", "data", "copies", "own", F.explode(pairs).alias("p")).select("component", "node", "data", "copies", "own", "p.i", "p.j")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -138,8 +140,8 @@ def component_links(members: DataFrame, threshold: float, block: int) -> DataFra
             if i == j:
                 np.fill_diagonal(hit, False)
             else:
-                out.append(pd.DataFrame({"node": others["node"].to_numpy(), "links": hit.sum(0)}))
-            out.append(pd.DataFrame({"node": rows["node"].to_numpy(), "links": hit.sum(1)}))
+                out.append(pd.DataFrame({"node": others["node"].to_numpy(), "links": rows["copies"].to_numpy() @ hit}))
+            out.append(pd.DataFrame({"node": rows["node"].to_numpy(), "links": hit @ others["copies"].to_numpy()}))
         return pd.concat(out) if out else pd.DataFrame({"node": [], "links": []})
 
     counted = dealt.groupBy("component", "i", "j").applyInPandas(count, "node long, links long")
@@ -156,12 +158,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     tests against brute force. An empty table gives no rows; other columns are ignored."""
     vectors = usable_vectors(df.where(F.col(id_col).isNotNull()), id_col, vector_col)
     vectors = materialize(vectors.select(F.col("vec").cast("long").alias("node"), "data").groupBy("node").agg(F.min("data").alias("data")), "vectors")
-    passes = passes_for(vectors.count(), threshold, window, miss)
-    stars = materialize(connected_components(window_links(vectors, passes, threshold, window, seed)), "vector-components")
+    distinct = materialize(vectors.groupBy("data").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors-distinct")
+    passes = passes_for(distinct.count(), threshold, window, miss)
+    stars = materialize(connected_components(window_links(distinct.select("node", "data"), passes, threshold, window, seed)), "vector-components")
     sizes = stars.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = stars.join(sizes, "component").join(vectors, "node")
-    links = materialize(component_links(members.select("component", "node", "data", "size"), threshold, block), "vector-links")
-    found = stars.join(links, "node", "left").select(F.col("node"), "component", F.coalesce("links", F.lit(0)).alias("links"))
+    members = stars.join(sizes, "component").join(distinct, "node")
+    links = component_links(members.select("component", "node", "data", "copies", "size"), threshold, block)
+    first = distinct.join(stars, "node", "left").join(links, "node", "left")
+    total = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    found = materialize(first.select("data", F.coalesce("component", "node").alias("component"), total.alias("links")), "vector-links")
+    found = vectors.join(found, "data").select("node", "component", "links")
     ids = df.select(F.col(id_col).alias("vec_id"))
     out = ids.join(found, ids["vec_id"] == found["node"], "left")
     component = F.coalesce("component", F.col("vec_id").cast("long"))

@@ -152,4 +152,30 @@ SELECT s.doc_id, s.size, t.source_size, t.target, CAST(coalesce(k.taken, 0) AS B
 FROM sized AS s JOIN targets AS t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN taken AS k ON k.doc_id = s.doc_id AND k.nth = t.nth
 """
 
-ORACLE_SQL = {"op3_chat_rotation": _CHAT_SQL, "op7_exact_dedup": _EXACT_SQL, "op8_source_mixing": _MIX_SQL}
+_EMBEDDING_SQL = f"""
+WITH RECURSIVE usable AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable AS a JOIN usable AS b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= {embedding_dedup.THRESHOLD}),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached AS r JOIN links AS l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links AS l WHERE l.a = e.vec_id) AS n_links, r.component_id, e.vec_id IS NOT DISTINCT FROM r.component_id AS kept
+FROM embeddings AS e LEFT JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) AS r ON r.a = e.vec_id
+"""
+
+_REPEATS_SQL = f"""
+WITH worded AS MATERIALIZED (
+  SELECT row_number() OVER () AS nth, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT nth, w, unnest(range(1, len(w) - {substring_dedup.WINDOW} + 2)) AS i FROM worded WHERE len(w) >= {substring_dedup.WINDOW}),
+hashed AS (SELECT nth, i, md5(array_to_string(w[i:i + {substring_dedup.WINDOW} - 1], ' ')) AS h FROM windows),
+repeated AS (SELECT nth, i FROM hashed QUALIFY count(*) OVER (PARTITION BY h) > 1),
+gone AS (SELECT DISTINCT nth, unnest(range(i, i + {substring_dedup.WINDOW})) AS i FROM repeated),
+words AS (SELECT nth, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM worded),
+kept AS (SELECT nth, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS joined FROM words ANTI JOIN gone USING (nth, i) GROUP BY nth)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(joined, '')) AS kept_sha256
+FROM worded LEFT JOIN kept USING (nth)
+"""
+
+ORACLE_SQL = {"op2_embedding_near_dedup": _EMBEDDING_SQL, "op6_substring_dedup": _REPEATS_SQL, "op3_chat_rotation": _CHAT_SQL, "op7_exact_dedup": _EXACT_SQL, "op8_source_mixing": _MIX_SQL}

@@ -17,10 +17,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tubal.llm.common import byte_strings, map_batches, materialize, same
+from tubal.llm.common import byte_strings, map_batches, materialize, same, text_or_empty
 from tubal.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -53,14 +53,19 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long) of every row."""
+    """``doc_id, digest, fp`` of every row: 16 bytes that stand for the text (null as empty), and the
+    64 bits as a long."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = np.array([fingerprint(t, shingle_words) for t in byte_strings(batch.column(1))], np.uint64)
-        yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.array([fingerprint(t, shingle_words) for t in byte_strings(batch.column(2))], np.uint64)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "digest", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id {kind}, fp long")
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), _digest(text_col), text_or_empty(text_col)), run, f"doc_id {kind}, digest binary, fp long")
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.md5(text_or_empty(text_col))).alias("digest")
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -264,11 +269,39 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     take part; where a component has no other ids its ``component_id`` is null. Rows that repeat an id
     are compared each, and all of them that bear the smallest id are ``kept``. An empty table gives no
     rows; other columns are ignored."""
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "simhash-distinct")
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle_words).drop("digest"), "simhash-prints")
+    found = _lowest_of_components(prints, F.min("doc_id"), radius)
+    return prints.join(found, "fp").select("doc_id", "fp", F.col("low").alias("component_id"), same(F.col("doc_id"), F.col("low")).alias("kept"))
+
+
+def _lowest_of_components(prints: DataFrame, low: Column, radius: int) -> DataFrame:
+    """``fp, low``: for each fingerprint the least of ``low``, a minimum over its rows, in its component."""
+    distinct = materialize(prints.groupBy("fp").agg(low.alias("low")), "simhash-distinct")
     links = connected_components(near_pairs(distinct.select("fp"), radius))
-    labelled = distinct.join(links, distinct["fp"] == links["node"], "left").select("fp", "low_id", F.coalesce("component", "fp").alias("component"))
+    labelled = distinct.join(links, distinct["fp"] == links["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     labelled = materialize(labelled, "simhash-labelled")
-    lowest = materialize(labelled.groupBy("component").agg(F.min("low_id").alias("component_id")), "simhash-lowest")
-    found = materialize(labelled.join(lowest, "component").select("fp", "component_id"), "simhash-components")
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id", same(F.col("doc_id"), F.col("component_id")).alias("kept"))
+    lowest = materialize(labelled.groupBy("component").agg(F.min("low").alias("low")), "simhash-lowest")
+    return materialize(labelled.drop("low").join(lowest, "component").select("fp", "low"), "simhash-components")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id, null ids last; among rows
+    with that id the one whose text's digest is least, and any one of identical ones. So rows with null
+    or repeated ids are told apart by their texts. An empty table gives no rows."""
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    found = _lowest_of_components(prints, F.min(order), radius)
+    first = same(F.col("doc_id"), F.col("low.doc_id")) & (F.col("digest") == F.col("low.digest"))
+    marked = materialize(prints.join(found, "fp").select("doc_id", "digest", first.alias("first")), "simhash-marked")
+    of_row = same(F.col(id_col), F.col("_id")) & (F.col("_digest") == F.col("_other"))
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_other"))
+
+    kept = docs.withColumn("_digest", _digest(text_col)).join(keys(marked.where("not first")), of_row, "left_anti")
+    twins = marked.where("first").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twins = materialize(keys(twins), "simhash-twins")
+    if twins.isEmpty():
+        return kept.select(*docs.columns)
+    single = kept.join(twins, of_row, "left_semi").dropDuplicates([id_col, "_digest"])
+    return kept.join(twins, of_row, "left_anti").select(*docs.columns).unionByName(single.select(*docs.columns))
