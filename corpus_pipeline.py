@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tubal.llm import exact_dedup, mixing, packing, quality, simhash
-from tubal.llm.common import materialize, same, table
+from tubal.llm.common import materialize, table
 from tubal.llm.queries import tokenizer_path
 
 
@@ -26,11 +26,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id. Rows are dropped by id: where an
-    id is null or repeated, all rows that bear it go once one of them is in a component with a smaller id."""
-    found = simhash.simhash_components(docs)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("dropped"))
-    return docs.join(dropped, same(F.col("doc_id"), F.col("dropped")), "left_anti")
+    """Of each SimHash component the document with the smallest id."""
+    return simhash.drop_near_copies(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
