@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tubal.llm import exact_dedup, mixing, packing, quality, simhash
+from tubal.llm import exact_dedup, minhash, mixing, packing, quality
 from tubal.llm.common import materialize, table
 from tubal.llm.queries import tokenizer_path
 
@@ -26,8 +26,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id."""
-    return simhash.drop_near_copies(docs)
+    """Of texts linked by five-word Jaccard similarity of 0.8 or more the document with the smallest id."""
+    return minhash.drop_near_copies(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

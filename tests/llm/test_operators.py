@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tubal.llm import chat, embedding_dedup, exact_dedup, html_extract, langid, mixing, packing, quality, simhash, substring_dedup
+from tubal.llm import chat, embedding_dedup, exact_dedup, html_extract, langid, minhash, mixing, packing, quality, simhash, substring_dedup
 from tubal.llm.components import connected_components
 from tubal.llm.html_blocks import blocks_of
 from tubal.llm.html_pages import labelled_pages
@@ -322,3 +322,49 @@ def test_pipeline(spark, docs, tmp_path):
     assert len(kept["near_dedup"]) == 60
     result = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "sequence_id", "length"} <= set(result.columns) and result.count() > 0
+
+
+def shingles(text, n=5):
+    w = tokens(text.lower())
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def near_copies(pairs=240):
+    """Texts and copies with single words replaced, at five-word Jaccard of about 0.6 to 1."""
+    r = np.random.default_rng(31)
+    for k in range(pairs):
+        base = words(int(r.integers(60, 600)), 7000 + k, 20000)
+        copy, share = list(base), r.uniform(0, 0.05)
+        for at in r.choice(len(copy), max(1, int(share * len(copy))), False):
+            copy[at] = f"other{at}"
+        yield " ".join(base), " ".join(copy)
+
+
+def test_pipeline_near_copies(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = list(near_copies())
+    similarity = np.array([jaccard(a, b) for a, b in texts])
+    rows = [(i, a, "x") for i, (a, _) in enumerate(texts)] + [(1000 + i, b, "x") for i, (_, b) in enumerate(texts)]
+    rows += [(5000 + i, t, "x") for i, t in enumerate(["Four words at least", "four WORDS  at least", "four words at most", "", " \n"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, sketch string")
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, table, str(tmp_path)).collect()}
+    gone = np.array([1000 + i not in kept for i in range(len(texts))])
+    assert all(i in kept for i in range(len(texts)))
+    around = (similarity >= 0.8) & (similarity < 0.85)
+    print("pairs", around.sum(), "recall at 0.80 to 0.85", gone[around].mean(), "at 0.8 or more", gone[similarity >= 0.8].mean())
+    assert around.sum() >= 20 and gone[around].mean() >= 0.9 and gone[similarity >= 0.8].mean() >= 0.95
+    assert gone[similarity < 0.65].sum() == 0 and (similarity < 0.65).sum() >= 10
+    assert kept & set(range(5000, 5005)) == {5000, 5002, 5003}
+    assert corpus_pipeline.near_stage(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
+def test_large_buckets_of_near_copies(spark):
+    texts = [" ".join(words(100, 40) + words(4, 900 + k)) for k in range(60)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for large in (8, 4096):
+        assert [r.doc_id for r in minhash.drop_near_copies(df, large=large).collect()] == [0]

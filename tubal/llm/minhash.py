@@ -1,0 +1,144 @@
+"""Near copies by MinHash, for the pipeline: texts whose sets of five-word shingles have Jaccard
+similarity 0.8 or more.
+
+A text's sketch is a byte of each of 256 minima, so that the share of equal bytes of two sketches
+estimates their similarity. Texts meet in 12 tables of buckets, each by five bytes of the sketch: two
+texts of similarity 0.8 share a bucket with a chance of 99 %, and are linked where 192 bytes or more
+agree (97.8 % of pairs at 0.80, 4.6 % at 0.70, as a binomial draw). Equal sketches are one throughout.
+A bucket of many sketches is dealt out anew by three more bytes, in eight tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tubal.llm.common import byte_strings, map_batches, materialize, runs_of, text_or_empty
+from tubal.llm.components import connected_components
+from tubal.llm.simhash import Forest, _digest, keep_first
+from tubal.llm.substring_dedup import window_hashes
+from tubal.llm.wordhash import Words
+
+SHINGLE_WORDS = 5
+MINIMA, EQUAL = 256, 192
+TABLES, BYTES = 12, 5
+#: Buckets with more sketches than this are dealt out anew.
+LARGE_BUCKET = 4096
+AGAIN_TABLES, AGAIN_BYTES = 8, 3
+_CHUNK = 1 << 21
+_PARAMETERS = np.random.default_rng(510).integers(0, 1 << 32, (2, MINIMA), np.uint32, endpoint=False)
+
+
+def sketches(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> list[bytes]:
+    """``MINIMA`` bytes for each text; no words: no bytes. A text of fewer words is one shingle."""
+    texts = [t.lower() for t in texts]
+    words = Words(texts)
+    whole = np.flatnonzero(np.arange(len(words.start)) + shingle_words <= words.last)
+    shingles = window_hashes(words.hashes(), shingle_words)[whole]
+    short = np.flatnonzero((words.counts > 0) & (words.counts < shingle_words))
+    extra = np.array([xxhash.xxh64_intdigest(b" ".join(texts[i].split())) for i in short], np.uint64)
+    doc = np.concatenate([words.doc[whole], short])
+    order = np.argsort(doc, kind="stable")
+    doc, values = doc[order], (np.concatenate([shingles, extra])[order] >> np.uint64(32)).astype(np.uint32)
+    if not len(doc):
+        return [b""] * len(texts)
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    out = np.empty((len(first), MINIMA), np.uint8)
+    for k in range(MINIMA):
+        least = np.minimum.reduceat((values ^ _PARAMETERS[0, k]) * (_PARAMETERS[1, k] | np.uint32(1)), first)
+        out[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    found = dict(zip(doc[first].tolist(), out, strict=True))
+    return [found[i].tobytes() if i in found else b"" for i in range(len(texts))]
+
+
+def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, digest, sketch`` of every row."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = byte_strings(batch.column(2))
+        found = [s for a, b in runs_of([len(t) for t in texts], _CHUNK) for s in sketches(texts[a:b])]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "digest", "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), _digest(text_col), text_or_empty(text_col)), run, f"doc_id {kind}, digest binary, sketch binary")
+
+
+def block_links(rows: np.ndarray, equal: int = EQUAL) -> np.ndarray:
+    """For each row of a matrix of bytes the least row of its component."""
+    forest = Forest(len(rows))
+    for i in range(len(rows) - 1):
+        other = i + 1 + np.flatnonzero(forest.root[i + 1 :] != forest.root[i])
+        hit = other[np.count_nonzero(rows[other] == rows[i], axis=1) >= equal]
+        if len(hit):
+            forest.unite(np.full(len(hit), i), hit)
+    return forest.root
+
+
+def _compare(buckets: DataFrame, large: int) -> DataFrame:
+    """Links ``a, b`` of ``key, node, sketch``. Of a bucket that is large still, ``large`` rows at a time
+    are compared with each other and with one row of each component before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, rows = None, np.empty(0, np.int64), np.empty((0, MINIMA), np.uint8)
+
+        def judge(nodes, rows):
+            root = block_links(rows)
+            own = root == np.arange(len(root))
+            return pa.record_batch([pa.array(nodes[~own]), pa.array(nodes[root[~own]])], ["a", "b"]), nodes[own], rows[own]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+                if keys[a] != key:
+                    if len(nodes) > 1:
+                        yield judge(nodes, rows)[0]
+                    key, nodes, rows = keys[a], nodes[:0], rows[:0]
+                for c in range(a, b, large):
+                    if len(nodes) >= large:
+                        found, nodes, rows = judge(nodes, rows)
+                        yield found
+                    nodes, rows = np.r_[nodes, ids[c : min(b, c + large)]], np.r_[rows, data[c : min(b, c + large)]]
+        if len(nodes) > 1:
+            yield judge(nodes, rows)[0]
+
+    n = max(1, int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return buckets.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _keys(first: int, tables: int, size: int, *more):
+    return F.array(*[F.xxhash64(*more, F.lit(t), F.substring(F.col("sketch"), first + 1 + t * size, size)) for t in range(tables)])
+
+
+def similar_pairs(distinct: DataFrame, large: int = LARGE_BUCKET) -> DataFrame:
+    """Links ``a, b`` among the distinct sketches ``node, sketch``."""
+    usable = distinct.where(F.length("sketch") > 0)
+    buckets = usable.select("node", F.explode(_keys(0, TABLES, BYTES)).alias("key"))
+    shared = materialize(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-shared")
+    rows = materialize(buckets.join(shared, "key").select("key", "node", "n"), "minhash-rows").join(usable, "node")
+    usual = rows.where(F.col("n") <= large).select("key", "node", "sketch")
+    again = _keys(TABLES * BYTES, AGAIN_TABLES, AGAIN_BYTES, "key")
+    hot = rows.where(F.col("n") > large).select(F.explode(again).alias("key"), "node", "sketch")
+    return _compare(usual.unionByName(hot), large)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE_BUCKET) -> DataFrame:
+    """``docs`` with one row of each component of similar texts, chosen as ``simhash.keep_first`` says.
+    Texts without words are one component. An empty table gives no rows."""
+    prints = materialize(sketched(docs, id_col, text_col), "minhash-sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    distinct = prints.groupBy("sketch").agg(F.min(order).alias("low")).withColumn("node", F.monotonically_increasing_id())
+    distinct = materialize(distinct, "minhash-distinct")
+    stars = materialize(connected_components(similar_pairs(distinct.select("node", "sketch"), large)), "minhash-stars")
+    labelled = distinct.join(stars, "node", "left").select("sketch", "low", F.coalesce("component", "node").alias("component"))
+    lowest = materialize(distinct.join(stars, "node").groupBy("component").agg(F.min("low").alias("least")), "minhash-lowest")
+    found = labelled.join(lowest, "component", "left").select("sketch", F.coalesce("least", "low").alias("low"))
+    return keep_first(docs, prints.join(materialize(found, "minhash-components"), "sketch"), id_col, text_col)

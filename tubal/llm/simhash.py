@@ -290,9 +290,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     or repeated ids are told apart by their texts. An empty table gives no rows."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    found = _lowest_of_components(prints, F.min(order), radius)
+    return keep_first(docs, prints.join(_lowest_of_components(prints, F.min(order), radius), "fp"), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that their component keeps. ``labelled`` has ``doc_id``, ``digest`` and, as
+    ``low``, the least id and digest of the component."""
     first = same(F.col("doc_id"), F.col("low.doc_id")) & (F.col("digest") == F.col("low.digest"))
-    marked = materialize(prints.join(found, "fp").select("doc_id", "digest", first.alias("first")), "simhash-marked")
+    marked = materialize(labelled.select("doc_id", "digest", first.alias("first")), "simhash-marked")
     of_row = same(F.col(id_col), F.col("_id")) & (F.col("_digest") == F.col("_other"))
 
     def keys(rows: DataFrame) -> DataFrame:
