@@ -368,3 +368,17 @@ def test_large_buckets_of_near_copies(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     for large in (8, 4096):
         assert [r.doc_id for r in minhash.drop_near_copies(df, large=large).collect()] == [0]
+
+
+def test_mixing_keeps_white_space(spark):
+    texts = ["\n\n  def f(x):\n\treturn x\n\n\nf(1)\r\n", "a\tb\n" * 300, " one ", "no space", "é \u00a0x\n"]
+    df = spark.createDataFrame([(i, t, f"s{i}", 0) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    mixed = mixing.mix_documents(df, block_words=4096, share=1.0, weights=(1,), most=1).collect()
+    got = collections.defaultdict(list)
+    for r in mixed:
+        got[r.doc_id].append(r.text)
+    assert got[2] == [texts[2]] and got[3] == [texts[3]] and got[4] == [texts[4]]
+    assert all(texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in mixed)
+    many = df.where("doc_id = 1").withColumn("n_chars", F.lit(1).cast("long"))
+    pieces = [r.text for r in mixing.mix_documents(many, block_words=7, share=1.0, most=1).collect()]
+    assert len(pieces) > 80 and sum(map(len, pieces)) == len(texts[1]) and all(p in texts[1] for p in pieces)

@@ -21,6 +21,8 @@ from tubal.llm.common import WORD, materialize, same
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 256
+#: A word with the white space after it, the first with that before it too: their matches join to the text.
+SPACED_WORD = rf"(?:^[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"
 SHARD_SLOTS = 4096
 ROUNDS = 12
 #: More sources than this are refused: their list is held by the driver and sent to all tasks.
@@ -185,8 +187,10 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents with the columns of ``docs``: each row holds the words that one slot takes
-    from one document, joined by single spaces; ``n_chars`` is its length."""
+    """The mix as documents with the columns of ``docs``: each row holds the stretch that one slot takes
+    of one document's text, from its first word to where the next word after it starts, so that the
+    stretches of a whole document join to its exact text (white space before the first word goes with
+    that word); ``n_chars`` is its length."""
     # Rows that repeat id and text share a key, and one of them yields what the mix takes of all.
     keyed = docs.withColumn("_doc_key", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")))
     sized = materialize(keyed.select(F.col("_doc_key").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix-sizes")
@@ -195,7 +199,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     per_doc = cuts.groupBy("_doc_key").agg(F.collect_list(F.struct("doc_from", "words", "times")).alias("_cuts"))
     nth = F.row_number().over(Window.partitionBy("_doc_key").orderBy(F.lit(0)))
     joined = keyed.join(per_doc, "_doc_key").withColumn("_nth", nth).where("_nth = 1")
-    words = joined.withColumn("_all_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    texts = F.flatten(F.transform("_cuts", lambda c: F.array_repeat(F.array_join(F.slice("_all_words", (c["doc_from"] + 1).cast("int"), c["words"].cast("int")), " "), c["times"].cast("int"))))
+    words = joined.withColumn("_all_words", F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)))
+    texts = F.flatten(F.transform("_cuts", lambda c: F.array_repeat(F.array_join(F.slice("_all_words", (c["doc_from"] + 1).cast("int"), c["words"].cast("int")), ""), c["times"].cast("int"))))
     out = words.select(*[c for c in docs.columns if c not in ("text", "n_chars")], F.explode(texts).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
