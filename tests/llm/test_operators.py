@@ -382,3 +382,17 @@ def test_mixing_keeps_white_space(spark):
     many = df.where("doc_id = 1").withColumn("n_chars", F.lit(1).cast("long"))
     pieces = [r.text for r in mixing.mix_documents(many, block_words=7, share=1.0, most=1).collect()]
     assert len(pieces) > 80 and sum(map(len, pieces)) == len(texts[1]) and all(p in texts[1] for p in pieces)
+
+
+def test_mixing_of_many_sources(spark):
+    n = 20_500
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b\tc").alias("text"), F.concat(F.lit("site"), F.col("id")).alias("source"))
+    got = mixing.mix_report(df, block_words=2).agg(F.count(F.lit(1)), F.sum("taken"), F.sum("target"), F.max("taken"), F.count_distinct("target")).first()
+    # Weights 3, 1, 2 in turn: the sources of weight 3 reach their limit of 6 words, the others get 2.5 and 5.
+    assert got[0] == n and got[2] == pytest.approx(4.5 * n) and got[3] == 6 and got[4] == 3
+    assert abs(got[1] - 4.5 * n) <= 0.5 * n / 3 + 2
+    names = [F.concat(F.lit("mix/"), F.col("id").cast("string"))]
+    rows = spark.range(5).select(mixing.offsets_of(names[0], 12).alias("o"), "id").collect()
+    assert all(list(r.o) == mixing._offsets(f"mix/{r.id}", 12) for r in rows)
+    back = spark.range(7).select("id", mixing.permuted(F.col("id"), F.lit(7).cast("long"), F.lit("k"), F.array(*[F.lit(x) for x in mixing._offsets("k", 6)]), back=True).alias("i"))
+    assert all(mixing.index_of(r.id, 7, "k", 6) == r.i for r in back.collect())

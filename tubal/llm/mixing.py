@@ -25,8 +25,8 @@ BLOCK_WORDS = 256
 SPACED_WORD = rf"(?:^[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"
 SHARD_SLOTS = 4096
 ROUNDS = 12
-#: More sources than this are refused: their list is held by the driver and sent to all tasks.
-MAX_SOURCES = 20_000
+#: Slots that one row yields when the slots of a source are listed.
+_CHUNK_SLOTS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -39,15 +39,26 @@ def _offsets(key: str, rounds: int) -> list[int]:
     return [seven(f"k/{key}/{r}") * (1 << 28) + seven(f"l/{key}/{r}") for r in range(1, rounds + 1)]
 
 
-def permuted(index: Column, n: Column, key: Column, offsets: Column) -> Column:
-    """Where the permutation of 0..n-1 that ``key`` names takes ``index``; ``offsets`` as ``_offsets``."""
+def offsets_of(key: Column, rounds: int) -> Column:
+    """``_offsets`` of a column of keys."""
+
+    def seven(letter: str, r: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(letter), key, r.cast("string"))), 1, 7), 16, 10).cast("long")
+
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: seven("k", r) * F.lit(1 << 28) + seven("l", r))
+
+
+def permuted(index: Column, n: Column, key: Column, offsets: Column, back: bool = False) -> Column:
+    """Where the permutation of 0..n-1 that ``key`` names takes ``index``; ``offsets`` as ``_offsets``.
+    ``back``: which index it takes there, by the same rounds, the last first."""
 
     def step(x: Column, r: Column) -> Column:
         other = F.pmod(F.element_at(offsets, r) - x, n)
         coin = F.substring(F.md5(F.concat_ws("/", key, r.cast("string"), F.greatest(x, other).cast("string"))), 1, 1)
         return F.when(coin < F.lit("8"), x).otherwise(other)
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(offsets)), index, step)
+    rounds = F.sequence(F.size(offsets), F.lit(1), F.lit(-1)) if back else F.sequence(F.lit(1), F.size(offsets))
+    return F.aggregate(rounds, index, step)
 
 
 def index_of(value: int, n: int, key: str, rounds: int) -> int:
@@ -60,33 +71,50 @@ def index_of(value: int, n: int, key: str, rounds: int) -> int:
     return value
 
 
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], label: str) -> DataFrame:
+    """``df`` with, for each of ``sums``, its sum over the rows before in ``order`` (which tells all rows
+    apart), in two steps: ranges of rows, then rows in a range. No task gets all rows."""
+    ranged = df.repartitionByRange(_tasks(df), *order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, label)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*[F.sum(x).alias(name) for name, x in sums.items()])
+    totals = totals.select("_range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_{name}") for name in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(totals), "_range")
+    added = [(F.coalesce(F.sum(x).over(inside), F.lit(0)) + F.col(f"_{name}")).alias(name) for name, x in sums.items()]
+    return joined.select(*df.columns, *added)
+
+
 def source_targets(sized: DataFrame, share: float = 1.5, most: int = 2, weights: Sequence[int] = WEIGHTS) -> DataFrame:
-    """From rows of ``source`` and ``size``: ``source``, ``weight``, ``source_size``, ``target``.
+    """From rows of ``source`` and ``size``: ``nth``, ``source``, ``weight``, ``source_size``, ``target``.
 
-    Sources in code point order, null last, take the weights in turn and share ``share`` times all
-    sizes by weight; no target exceeds ``most`` times its source's size, and what that cuts off is
+    Sources in code point order, null last (``nth``), take the weights in turn and share ``share`` times
+    all sizes by weight; no target exceeds ``most`` times its source's size, and what that cuts off is
     shared by weight among the others, again and again. That fixed point is a common level (target =
     weight x level) below which all sources not at their limit lie, found here in one pass over
     the sources in order of limit / weight."""
     per = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").isNull().cast("int"), "source")) - 1
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.pmod(turn, F.lit(len(weights))) + 1).cast("int")).cast("long")
-    order = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull().cast("int"), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = (
-        per.withColumn("weight", weight)
-        .withColumn("limit", F.col("source_size") * F.lit(most))
-        .withColumn("limits_before", F.coalesce(F.sum("limit").over(before), F.lit(0)))
-        .withColumn("weights_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
-    )
-    # With all sources before it at their limits, is this one at its limit too? The first that is not sets the level.
-    level = (F.col("total") - F.col("limits_before")) / F.col("weights_left")
+    by_name = [F.col("source").isNull().cast("int"), F.col("source")]
+    named = _running(per, by_name, {"nth": F.lit(1).cast("long")}, "mix-names")
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.pmod("nth", F.lit(len(weights))) + 1).cast("int")).cast("long")
+    limited = named.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(most))
+    by_limit = [F.col("limit") / F.col("weight"), *by_name]
+    ranked = materialize(_running(limited, by_limit, {"limits_before": F.col("limit"), "weights_before": F.col("weight")}, "mix-limits"), "mix-ranked")
+    whole = ranked.agg(F.sum("weight").alias("all_weights"), (F.sum("source_size") * F.lit(share)).alias("total"))
+    ranked = ranked.crossJoin(F.broadcast(whole))
+    # With all sources before it at their limits, is this one at its limit too? The first that is not sets the level;
+    # of sources with equal limit / weight the first has the largest level.
+    level = (F.col("total") - F.col("limits_before")) / (F.col("all_weights") - F.col("weights_before"))
     free = level * F.col("weight") < F.col("limit")
-    found = ranked.withColumn("level", F.min(F.when(free, F.struct(F.col("limit") / F.col("weight"), level.alias("level")))).over(everything)["level"])
+    common = ranked.agg((-F.min(F.when(free, F.struct(F.col("limit") / F.col("weight"), (-level).alias("least"))))["least"]).alias("level"))
+    found = ranked.crossJoin(F.broadcast(common))
     target = F.when(F.col("level").isNull(), F.col("limit").cast("double")).otherwise(F.least(F.col("limit").cast("double"), F.col("weight") * F.col("level")))
-    return found.select("source", "weight", "source_size", target.alias("target"))
+    return found.select("nth", "source", "weight", "source_size", target.alias("target"))
 
 
 def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, share: float = 1.5, most: int = 2, weights: Sequence[int] = WEIGHTS, seed: str = "mix", rounds: int = ROUNDS):
@@ -94,31 +122,26 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
 
     pieces: the part of a document that lies in a block: ``doc_id, size, source, nth, block, doc_from,
     words, block_from``; slots: ``slot, shard, place, nth, block, block_most`` (words taken of the block)."""
-    spark = sized.sparkSession
     targets = source_targets(sized, share, most, weights)
-    listed = targets.limit(MAX_SOURCES + 1).collect()
-    if len(listed) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    listed.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    rows, slots = [], 0
-    for nth, r in enumerate(listed):
-        blocks = -(-r.source_size // block_words)
-        words = min(round(r.target), most * r.source_size)
-        rounds_whole, rest = divmod(words, r.source_size) if r.source_size else (0, 0)
-        # Each whole round takes every block once; the rest takes blocks in permuted order and cuts the last.
-        need = rounds_whole * blocks + -(-rest // block_words) + (1 if rest else 0)
-        need = min(need, most * blocks)
-        keys = [f"{seed}/{nth}/{k}" for k in range(most)]
-        # All blocks hold block_words words but the last of the source, which may lie anywhere in a round.
-        tails = [k * blocks + index_of(blocks - 1, blocks, name, rounds) for k, name in enumerate(keys)] if blocks else []
-        offsets = [_offsets(name, rounds) for name in keys]
-        rows.append((nth, r.source, int(r.weight), int(r.source_size), float(r.target), blocks, int(words), slots, need, tails, offsets))
-        slots += need
-    schema = "nth int, source string, weight long, source_size long, target double, blocks long, words long, first_slot long, slots long, tails array<long>, offsets array<array<long>>"
-    sources = spark.createDataFrame(rows, schema).coalesce(1)
+    size, blocks = F.col("source_size"), F.col("blocks")
+    counted = targets.withColumn("blocks", F.floor((size + (block_words - 1)) / block_words))
+    counted = counted.withColumn("words", F.least(F.rint("target").cast("long"), size * most))
+    # Each whole round takes every block once; the rest takes blocks in permuted order and cuts the last.
+    whole = F.floor(F.col("words") / F.greatest(size, F.lit(1)))
+    rest = F.col("words") - whole * size
+    need = F.least(whole * blocks + F.floor((rest + (block_words - 1)) / block_words) + (rest > 0).cast("long"), blocks * most)
+    counted = counted.withColumn("slots", need)
+    names = [F.concat_ws("/", F.lit(seed), F.col("nth").cast("string"), F.lit(str(k))) for k in range(most)]
+    numbered = _running(counted, [F.col("nth")], {"first_slot": F.col("slots")}, "mix-needs")
+    numbered = numbered.withColumn("offsets", F.array(*[offsets_of(name, rounds) for name in names]))
+    # All blocks hold block_words words but the last of the source, which may lie anywhere in a round.
+    tails = [blocks * k + permuted(blocks - 1, F.greatest(blocks, F.lit(1)), name, F.col("offsets")[k], back=True) for k, name in enumerate(names)]
+    numbered = numbered.withColumn("tails", F.when(blocks > 0, F.array(*tails)).otherwise(F.array().cast("array<bigint>")))
+    sources = materialize(numbered, "mix-sources")
+    slots = sources.agg(F.sum("slots")).first()[0] or 0
 
     key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    keyed = sized.join(F.broadcast(sources.select("nth", "source", "blocks")), same(sized["source"], sources["source"])).select(
+    keyed = sized.join(sources.select("nth", "source"), same(sized["source"], sources["source"])).select(
         "doc_id", "size", sized["source"], "nth", F.substring(key, 1, 3).alias("part"), key.alias("key")
     )
     # Running totals in two steps, so that no window holds a whole source: parts of a source, then documents in a part.
@@ -133,13 +156,12 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     end = F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block_words)
     pieces = pieces.select("doc_id", "size", "source", "nth", "block", (start - F.col("from")).alias("doc_from"), (end - start).alias("words"), (start - F.col("block") * block_words).alias("block_from"))
 
-    bounds = F.array(*[F.lit(r[7]).cast("long") for r in rows]) if rows else F.array().cast("array<long>")
-    wanted = F.size(F.filter(bounds, lambda x: x <= F.col("slot"))) - 1
-    listing = F.broadcast(sources.where("slots > 0").withColumnRenamed("nth", "nth_"))
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Sources without slots share their first_slot with the next; the last of those with slots counts.
-    numbered = spark.range(0, slots, 1, tasks).withColumnRenamed("id", "slot").withColumn("nth_", _last_with_slots(rows, wanted))
-    numbered = numbered.join(listing, "nth_").withColumnRenamed("nth_", "nth").withColumn("ordinal", F.col("slot") - F.col("first_slot"))
+    # A source's ordinals in chunks, dealt out before they are listed, so that no row or task lists a whole source.
+    chunks = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(_CHUNK_SLOTS).cast("long"))
+    listed = sources.where("slots > 0").select("nth", "source_size", "blocks", "words", "first_slot", "slots", "tails", "offsets", F.explode(chunks).alias("chunk"))
+    listed = listed.repartition(_tasks(sized), "nth", "chunk")
+    ordinals = F.sequence(F.col("chunk"), F.least(F.col("slots"), F.col("chunk") + _CHUNK_SLOTS) - 1)
+    numbered = listed.withColumn("ordinal", F.explode(ordinals)).withColumn("slot", F.col("first_slot") + F.col("ordinal"))
     turn = F.floor(F.col("ordinal") / F.col("blocks"))
     name = F.concat_ws("/", F.lit(seed), F.col("nth").cast("string"), turn.cast("string"))
     block = permuted(F.pmod("ordinal", "blocks"), F.col("blocks"), name, F.element_at("offsets", (turn + 1).cast("int")))
@@ -153,15 +175,6 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     return sources, pieces, slots_df
 
 
-def _last_with_slots(rows: list, position: Column) -> Column:
-    """From the position among all sources to the last one at or before it that has slots."""
-    last, known = 0, []
-    for r in rows:
-        last = r[0] if r[8] else last
-        known.append(F.lit(last))
-    return F.element_at(F.array(*known), (position + 1).cast("int")) if known else F.lit(None).cast("int")
-
-
 def mixed_pieces(pieces: DataFrame, slots: DataFrame) -> DataFrame:
     """The mix, block by block: ``shard, place, nth, block, doc_id, size, doc_from, words``."""
     joined = slots.join(pieces, ["nth", "block"])
@@ -178,7 +191,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix-sizes")
     sources, pieces, slots = plan_mix(sized, **options)
     taken = mixed_pieces(pieces, slots).groupBy("doc_id", "nth", "size").agg(F.sum("words").alias("taken"))
-    named = sized.join(F.broadcast(sources.select(F.col("source").alias("source_"), "nth", "source_size", "target")), same(F.col("source"), F.col("source_")))
+    named = sized.join(sources.select(F.col("source").alias("source_"), "nth", "source_size", "target"), same(F.col("source"), F.col("source_")))
     t = taken.select(F.col("doc_id").alias("doc_id_"), F.col("nth").alias("nth_"), F.col("size").alias("size_"), "taken")
     n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "nth", "size"))
     joined = named.withColumn("same_rows", n).join(t, same(F.col("doc_id"), F.col("doc_id_")) & (F.col("nth") == F.col("nth_")) & (F.col("size") == F.col("size_")), "left")
