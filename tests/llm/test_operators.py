@@ -396,3 +396,24 @@ def test_mixing_of_many_sources(spark):
     assert all(list(r.o) == mixing._offsets(f"mix/{r.id}", 12) for r in rows)
     back = spark.range(7).select("id", mixing.permuted(F.col("id"), F.lit(7).cast("long"), F.lit("k"), F.array(*[F.lit(x) for x in mixing._offsets("k", 6)]), back=True).alias("i"))
     assert all(mixing.index_of(r.id, 7, "k", 6) == r.i for r in back.collect())
+
+
+def test_substring_rows_of_one_text_and_id(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_OFTEN", 5)
+    shared, other = words(40, 50), words(60, 51)
+    texts = [" ".join(words(30 + k, 60 + k) + shared) for k in range(3)] + [" ".join(other)]
+    rows = [(None, t) for t in texts] + [(None, texts[3])] * 20 + [(1, texts[0])] + [(None, "short")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    places = substring_dedup._judged_anchors(substring_dedup._anchors(df, 35))
+    marks = substring_dedup._per_document(places, F.shiftleft(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 2) + F.col("state"))
+    assert max(len(r.marks) for r in marks.collect()) <= 60 and marks.count() == 4 and marks.where("copies > 5").count() == 1
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == {(None, 70, 70): 1, (1, 70, 70): 1, (None, 71, 40): 1, (None, 72, 40): 1, (None, 60, 60): 21, (None, 1, 0): 9}
+
+
+def test_substring_texts_of_one_short_hash(spark, monkeypatch):
+    monkeypatch.setattr(F, "hash", lambda *c: F.lit(7))  # what 32 bits cannot tell apart
+    texts = [" ".join(words(20 + 30 * k, 70 + k) + words(40, 80)) for k in range(4)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == [(60 + 30 * k, 40) for k in range(4)]

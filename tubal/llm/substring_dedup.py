@@ -19,16 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tubal.llm.common import byte_strings, materialize, runs_of, same, signed
+from tubal.llm.common import byte_strings, materialize, runs_of, signed
 from tubal.llm.wordhash import Words, mix, pair, wider
 
 WINDOW = 35
 _CHUNK = 1 << 22
 _KNOWN_HALF, _KNOWN_SPAN, _FOLLOWER = 1, 2, 4
 _SETTLED, _OPEN, _PARTNER = 0, 1, 2
+#: Texts that more rows than this have are dealt out over so many parts where they meet their marks.
+_OFTEN, _SALTS = 1000, 64
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -91,9 +93,10 @@ def _place(kept: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (kept.astype(np.int64) << 32) | words
 
 
-def _doc_key(text: str = "text"):
-    """Tells rows of one id apart."""
-    return F.hash(F.coalesce(F.col(text), F.lit(""))).alias("dk")
+def _doc_key(text: str = "text") -> tuple[Column, Column]:
+    """96 bits that stand for the text. Rows with one text have one result, so their marks are the same."""
+    text = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(text).alias("key"), F.hash(text).alias("dk")
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -110,10 +113,9 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             half, span, doc, rel = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(half):
                 arrays = [pa.array(signed(half)), pa.array(signed(span)), batch.column(0).take(pa.array(doc)), pa.array(_place(keys[doc], rel)), pa.array(_flags(half, span))]
-                yield pa.record_batch(arrays, ["half", "span", "doc_id", "place", "flags"])
+                yield pa.record_batch(arrays, ["half", "span", "key", "place", "flags"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _doc_key(), "text").mapInArrow(run, f"half long, span long, doc_id {kind}, place long, flags long")
+    return docs.select(*_doc_key(), "text").mapInArrow(run, "half long, span long, key long, place long, flags long")
 
 
 def _dealt(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -124,7 +126,7 @@ def _dealt(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def _judged_anchors(anchors: DataFrame) -> DataFrame:
-    """``doc_id, place, state`` of the anchors that are repeated."""
+    """``key, place, state`` of the anchors that are repeated."""
 
     def judge(t: pa.Table, open_before: bool, more: bool) -> tuple[pa.RecordBatch, bool]:
         half, span, flags = (t.column(c).to_numpy() for c in ("half", "span", "flags"))
@@ -143,7 +145,7 @@ def _judged_anchors(anchors: DataFrame) -> DataFrame:
             opened[0] = True
         state = np.where(~settled, _OPEN, np.where(lead & new_span & opened[g], _PARTNER, _SETTLED))
         kept = np.flatnonzero(repeated)
-        out = t.select(["doc_id", "place"]).take(pa.array(kept)).append_column("state", pa.array(state[kept].astype(np.int32)))
+        out = t.select(["key", "place"]).take(pa.array(kept)).append_column("state", pa.array(state[kept].astype(np.int32)))
         return out.combine_chunks().to_batches(), bool(n and opened[g[-1]] and lead[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,18 +172,29 @@ def _judged_anchors(anchors: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield from judge(held, opened, False)[0]
 
-    kind = anchors.schema["doc_id"].dataType.simpleString()
-    return _dealt(anchors, "half", "half", "span").mapInArrow(run, f"doc_id {kind}, place long, state int")
+    return _dealt(anchors, "half", "half", "span").mapInArrow(run, "key long, place long, state int")
 
 
 def _per_document(places: DataFrame, mark) -> DataFrame:
-    """``id_, dk_, marks``: the marks of each document, whose number its words bound."""
-    keyed = places.select(F.col("doc_id").alias("id_"), F.shiftright("place", 32).cast("int").alias("dk_"), mark.alias("mark"))
-    return keyed.groupBy("id_", "dk_").agg(F.collect_list("mark").alias("marks"))
-
-
-def _with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    joined = docs.join(marks, same(F.col("doc_id"), F.col("id_")) & (F.col("dk") == F.col("dk_")), "left")
+    """``key_, dk_, marks, copies``: the distinct marks of each text, whose number its words bound, and
+    about how many rows have it."""
+    keyed = places.select(F.col("key").alias("key_"), F.shiftright("place", 32).cast("int").alias("dk_"), mark.alias("mark"))
+    found = keyed.groupBy("key_", "dk_").agg(F.collect_set("mark").alias("marks"), F.count(F.lit(1)).alias("n"))
+    return materialize(found.withColumn("copies", F.col("n") / F.size("marks")).drop("n"), "repeat-marks")
+
+
+def _with_marks(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
+    """``docs`` and their ``marks``. Rows of a text that many rows have, and those too short for any
+    mark, are dealt out over ``_SALTS`` parts."""
+    often = marks.where(F.col("copies") > _OFTEN)
+    frequent = F.broadcast(often.select(F.col("key_").alias("_key"), F.col("dk_").alias("_dk")))
+    flagged = docs.join(frequent, (F.col("key") == F.col("_key")) & (F.col("dk") == F.col("_dk")), "left")
+    any_part = F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))
+    short = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) < 2 * window - 1
+    flagged = flagged.withColumn("_part", F.when(F.col("_key").isNotNull(), any_part).when(short, -1 - any_part).otherwise(0))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("copies") > _OFTEN, _SALTS - 1).otherwise(0).cast("long")))
+    dealt = marks.select("key_", "dk_", "marks", parts.alias("part_"))
+    joined = flagged.join(dealt, (F.col("key") == F.col("key_")) & (F.col("dk") == F.col("dk_")) & (F.col("_part") == F.col("part_")), "left")
     return joined.select(*docs.columns, "marks")
 
 
@@ -225,17 +238,17 @@ def _first_results(marked: DataFrame, window: int) -> DataFrame:
                         rows.append((*_digest(w.words, covered(len(w.single), settled, window)), None, None, None))
                 types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.record_batch([part.column(0), part.column(1), *columns], ["doc_id", "dk", "n_words", "n_removed", "kept_sha256", "text", "settled", "waiting"])
+                yield pa.record_batch([part.column(0), part.column(1), part.column(4), *columns], ["doc_id", "dk", "key", "n_words", "n_removed", "kept_sha256", "text", "settled", "waiting"])
 
     kind = marked.schema["doc_id"].dataType.simpleString()
-    return marked.select("doc_id", "dk", "text", "marks").mapInArrow(run, f"doc_id {kind}, dk int, n_words long, n_removed long, kept_sha256 string, text binary, settled binary, waiting binary")
+    return marked.select("doc_id", "dk", "text", "marks", "key").mapInArrow(run, f"doc_id {kind}, dk int, key long, n_words long, n_removed long, kept_sha256 string, text binary, settled binary, waiting binary")
 
 
 def _waiting_windows(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_strings(batch.column(2))
-            keys, found = batch.column(1).to_numpy(), []
+            keys, found = batch.column(1).to_numpy(zero_copy_only=False), []
             waiting = [np.frombuffer(x, "<i4").astype(np.int64) for x in batch.column(3).to_pylist()]
             for a, b in runs_of([len(t) for t in texts], _CHUNK):
                 words = Words(texts[a:b])
@@ -246,10 +259,9 @@ def _waiting_windows(rows: DataFrame, window: int) -> DataFrame:
             one, two, doc, rel = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(one):
                 arrays = [pa.array(signed(one)), pa.array(signed(two)), batch.column(0).take(pa.array(doc)), pa.array(_place(keys[doc], rel)), pa.array(_flags(one, two))]
-                yield pa.record_batch(arrays, ["one", "two", "doc_id", "place", "flags"])
+                yield pa.record_batch(arrays, ["one", "two", "key", "place", "flags"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "dk", "text", "waiting").mapInArrow(run, f"one long, two long, doc_id {kind}, place long, flags long")
+    return rows.select("key", "dk", "text", "waiting").mapInArrow(run, "one long, two long, key long, place long, flags long")
 
 
 def _repeated_windows(windows: DataFrame) -> DataFrame:
@@ -260,7 +272,7 @@ def _repeated_windows(windows: DataFrame) -> DataFrame:
             one, two, flags = (t.column(c).to_numpy() for c in ("one", "two", "flags"))
             like = (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & ((flags[1:] | flags[:-1]) & _FOLLOWER == 0)
             hit = np.r_[before, like] | np.r_[like, after] | ((flags & _KNOWN_SPAN) > 0)
-            return t.select(["doc_id", "place"]).take(pa.array(np.flatnonzero(hit))).combine_chunks().to_batches(), like
+            return t.select(["key", "place"]).take(pa.array(np.flatnonzero(hit))).combine_chunks().to_batches(), like
 
         for batch in batches:
             if not batch.num_rows:
@@ -275,8 +287,7 @@ def _repeated_windows(windows: DataFrame) -> DataFrame:
         if held is not None:
             yield from judge(held, before, False)[0]
 
-    kind = windows.schema["doc_id"].dataType.simpleString()
-    return _dealt(windows, "one", "one", "two").mapInArrow(run, f"doc_id {kind}, place long")
+    return _dealt(windows, "one", "one", "two").mapInArrow(run, "key long, place long")
 
 
 def _last_results(rows: DataFrame, window: int) -> DataFrame:
@@ -304,11 +315,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged on the input. ``kept_sha256`` is of the kept words, joined by single spaces. A null text has
     no words; texts shorter than a window keep all; null ids are carried; rows that repeat an id and
     text repeat each other. An empty table gives no rows; other columns are ignored. Windows are
-    compared by 128 bits of hash."""
+    compared by 128 bits of hash, texts by 96."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = _per_document(_judged_anchors(_anchors(base, window)), F.shiftleft(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 2) + F.col("state"))
-    first = materialize(_first_results(_with_marks(base.select("doc_id", _doc_key(), "text"), marks), window), "repeats")
+    first = materialize(_first_results(_with_marks(base.select("doc_id", *_doc_key(), "text"), marks, window), window), "repeats")
     done = first.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
-    going = first.where("text is not null").select("doc_id", "dk", "text", "settled", "waiting")
+    going = first.where("text is not null").select("doc_id", "key", "dk", "text", "settled", "waiting")
     counted = _per_document(_repeated_windows(_waiting_windows(going, window)), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-    return done.unionByName(_last_results(_with_marks(going.drop("waiting"), counted), window))
+    return done.unionByName(_last_results(_with_marks(going.drop("waiting"), counted, window), window))
