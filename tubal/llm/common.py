@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word, in every operator that counts words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1024
 
 _own_folder: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,35 +29,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in
-    ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a temporary one."""
+    ``spark.checkpoint.dir``. Only on one machine (tests) may it be unset: then a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster names its shared folder in spark.checkpoint.dir")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="shared-"))
     return _own_folder[0]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back. It cuts the lineage, so
     that a lost executor costs a reread and not the whole history, and it gives later joins
-    plain scans on both sides, whose skewed partitions adaptive execution can split."""
+    plain scans on both sides, whose skewed partitions adaptive execution can split. Inside
+    ``temporary_tables`` it is deleted at their end, or where it ``outlives`` them at the end of the next outer ones."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    at = len(_scopes) - (2 if outlives else 1)
+    if at >= 0:
+        _scopes[at].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end: nothing read later may need them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        for path in _scopes.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality that holds between nulls too."""
     return left.eqNullSafe(right)
 
 
+def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
+    """The caller's columns as one, ``row``, so that columns added beside it clash with none."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch, of ``BATCH_ROWS`` rows at most, that yields batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tubal.llm.common import materialize
+from tubal.llm.common import materialize, temporary_tables
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -21,13 +21,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")), "low")
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        large = materialize(large, "large-star")
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "low")
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        edges = materialize(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "small-star")
+        with temporary_tables(edges.sparkSession):
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")), "low")
+            large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+            large = materialize(large, "large-star")
+            low = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "low")
+            small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+            edges = materialize(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "small-star", outlives=True)
         before, state = state, _state(edges)
         if state == before:
             break

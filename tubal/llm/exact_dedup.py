@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tubal.llm.common import materialize, same, text_or_empty
+from tubal.llm.common import materialize, same, text_or_empty, wrapped
 
 PREFIX_CHARS = 128
 
@@ -25,9 +25,10 @@ def _repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
 
 
-def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """One row for each text that several rows have: ``text_sha256``, ``keep_id`` (the largest id),
-    ``group_size`` and ``n_top`` (rows with that id)."""
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Lengths and prefixes that several rows share (``_len, _prefix``), and one row for each text that
+    several rows have: ``text_sha256``, ``keep_id`` (the largest id), ``group_size`` and ``n_top``
+    (rows with that id)."""
     text = text_or_empty(text_col)
     probe = materialize(docs.select(F.col(id_col).alias("_id"), *_measures(text, prefix_chars)), "exact-probe")
     lengths = materialize(_repeated(probe, ["_len"]), "exact-lengths")
@@ -40,7 +41,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = ids.groupBy("text_sha256").agg(
         F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"), F.max_by("_n", F.coalesce("_id", F.lit(-(1 << 63)))).alias("n_top")
     )
-    return materialize(groups.where("group_size > 1"), "exact-groups")
+    return prefixes, materialize(groups.where("group_size > 1"), "exact-groups")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
@@ -52,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows; other columns are ignored. The digest of rows without a copy is
     computed only as a column of this result.
     """
-    groups = copy_groups(docs, id_col, text_col, prefix_chars)
+    _, groups = copy_groups(docs, id_col, text_col, prefix_chars)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_row"))
     rows = materialize(rows, "exact-rows")  # so that row numbers hold still and both uses are plain scans
     # Only where rows tie for their group's largest id does one of them have to be chosen.
@@ -70,15 +71,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each text, the one with the largest id."""
-    groups = copy_groups(docs, id_col, text_col).select(F.col("text_sha256").alias("_sha256"), F.col("keep_id").alias("_keep_id"), F.col("n_top").alias("_n_top"))
-    columns = docs.columns
-    hashed = docs.withColumn("_sha256", F.sha2(text_or_empty(text_col), 256))
-    joined = hashed.join(groups, "_sha256", "left")
-    top = joined.where(F.col("_n_top").isNull() | same(F.col(id_col), F.col("_keep_id")))
-    if groups.where("_n_top > 1").isEmpty():
-        return top.select(*columns)
-    # Identical rows with the same id: one of them.
-    tied = top.where("_n_top > 1").dropDuplicates(["_sha256"])
-    return top.where("_n_top is null or _n_top = 1").select(*columns).unionByName(tied.select(*columns))
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """``docs`` with one row of each text, the one with the largest id; of rows that tie for it any one.
+    Nulls are as in ``exact_dedup``. Only texts that share length and prefix with another are hashed;
+    where few do, their list is broadcast (Spark's own bound) and no other text is shuffled."""
+    prefixes, groups = copy_groups(docs, id_col, text_col, prefix_chars)
+    id_of, text = F.col(f"row.`{id_col}`"), F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    marked = wrapped(docs, *_measures(text_or_empty(text_col), prefix_chars)).join(prefixes.withColumn("shared", F.lit(True)), ["_len", "_prefix"], "left")
+    alone = marked.where("shared is null").select("row")
+    among = marked.where("shared").select("row", F.sha2(text, 256).alias("text_sha256")).join(groups, "text_sha256", "left")
+    top = among.where(F.col("n_top").isNull() | same(id_of, F.col("keep_id")))
+    out = alone.unionByName(top.where("n_top is null or n_top = 1").select("row"))
+    if not groups.where("n_top > 1").isEmpty():
+        tied = top.where("n_top > 1").groupBy("text_sha256").agg(F.first("row").alias("row"))
+        out = out.unionByName(tied.select("row"))
+    return out.select("row.*")

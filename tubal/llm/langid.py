@@ -39,7 +39,7 @@ def training_sample(docs: DataFrame, seed: int = 11, docs_per_language: int = TR
     chosen = chosen.select(F.col("lang").alias("lang_"), F.col("order").alias("order_"))
     picked = pool.join(F.broadcast(chosen), (F.col("lang") == F.col("lang_")) & (F.col("order") == F.col("order_")))
     at = F.pmod(F.xxhash64("order"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
-    return picked.select("lang", "order", F.col("text").substr(at.cast("int"), F.lit(chars)).alias("piece")).dropDuplicates(["lang", "order"])
+    return picked.select("lang", "order", F.col("text").substr(at.cast("int"), F.lit(chars)).alias("piece")).groupBy("lang", "order").agg(F.min("piece").alias("piece"))
 
 
 def suffix_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, int]:

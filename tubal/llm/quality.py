@@ -14,8 +14,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tubal.llm.common import byte_strings, map_batches
+from tubal.llm.common import byte_strings, map_batches, wrapped
 
 #: Training bounds: so many labelled documents of each class, and so many characters of each.
 TRAIN_DOCS = 1024
@@ -27,14 +28,15 @@ LEVEL = 3
 
 def training_sample(docs: DataFrame, labels: DataFrame, seed: int = 5, docs_per_class: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> DataFrame:
     """``quality, bucket, piece``: excerpts from a bounded number of labelled documents per class. For
-    each class and bucket of hashes, the labelled document with the smallest hash."""
+    each class and bucket of hashes, the labelled document with the smallest hash; where documents
+    repeat its id, the excerpt that is first by content."""
     order = F.xxhash64(F.lit(seed), "doc_id")
     rated = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality", order.alias("order"))
     rated = rated.withColumn("bucket", F.pmod("order", F.lit(docs_per_class)))
     chosen = rated.groupBy("quality", "bucket").agg(F.min("order").alias("order"))
     picked = docs.select("doc_id", "text", order.alias("order")).join(F.broadcast(chosen), "order")
     at = F.pmod(F.xxhash64("order", F.lit(1)), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
-    return picked.where("length(text) > 0").select("quality", "bucket", F.col("text").substr(at.cast("int"), F.lit(chars)).alias("piece")).dropDuplicates(["quality", "bucket"])
+    return picked.where("length(text) > 0").select("quality", "bucket", F.col("text").substr(at.cast("int"), F.lit(chars)).alias("piece")).groupBy("quality", "bucket").agg(F.min("piece").alias("piece"))
 
 
 class Classifier:
@@ -84,24 +86,24 @@ class Classifier:
 _classifiers: dict[int, Classifier] = {}
 
 
-def score_quality(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, score`` of every row (or the columns ``keep`` and ``score``): the probability, from 0 to 1,
-    that its label is 1. ``training`` is bounded (``training_sample``) and sent to all workers.
+def score_quality(docs: DataFrame, training: DataFrame, text_col: str = "text") -> DataFrame:
+    """``row`` (the columns of ``docs``) and ``score`` of every row: the probability, from 0 to 1, that its
+    label is 1. ``training`` is bounded (``training_sample``) and sent to all workers.
 
     A null text counts as empty; an empty text has difference 0 and so the score of the calibration's
-    offset. Without labels of both classes every row has the share of label 1 among the calibration
-    rows (0.5 without any). Repeated rows are each answered; an empty table gives no rows."""
+    offset. Texts of any length are compressed block by block. Without labels of both classes every row
+    has the share of label 1 among the calibration rows (0.5 without any). Repeated rows are each
+    answered; an empty table gives no rows."""
     rows = sorted((int(r.quality), int(r.bucket), r.piece) for r in training.collect())
     key = hash(tuple(rows))
-    keep = keep or [id_col]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if key not in _classifiers:
             _classifiers.clear()
             _classifiers[key] = Classifier(rows)
         model = _classifiers[key]
-        scores = pa.array([model.score(t) for t in byte_strings(batch.column(0))], pa.float64())
-        yield pa.record_batch([*batch.columns[1:], scores], [*keep, "score"])
+        scores = pa.array([model.score(t) for t in byte_strings(batch.column(1))], pa.float64())
+        yield pa.record_batch([batch.column(0), scores], ["row", "score"])
 
-    return map_batches(docs.select(F.col(text_col).cast("string").alias("_text"), *keep), run, f"{kinds}, score double")
+    texts = wrapped(docs, F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return map_batches(texts, run, StructType([texts.schema["row"], StructField("score", DoubleType())]))

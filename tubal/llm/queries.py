@@ -58,7 +58,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     training = quality.training_sample(docs, table(spark, sf_dir, "labels").where(_remainder(3) != 1))
-    scored = quality.score_quality(docs, training)
+    scored = quality.score_quality(docs.select("doc_id", "text"), training).select("row.doc_id", "score")
     return scored.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
