@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tubal.llm import exact_dedup, minhash, mixing, packing, quality
+from tubal.llm import exact_dedup, mixing, packing, quality, simhash_wide
 from tubal.llm.common import materialize, table
 from tubal.llm.queries import tokenizer_path
 
@@ -17,7 +17,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier scores 0.5 or more. It learns from the labels of raw documents."""
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     training = quality.training_sample(docs, table(spark, sf_dir, "labels").where(remainder != 1))
-    return quality.score_quality(docs, training, keep=docs.columns).where("score >= 0.5").drop("score")
+    return quality.score_quality(docs, training).where("score >= 0.5").select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by five-word Jaccard similarity of 0.8 or more the document with the smallest id."""
-    return minhash.drop_near_copies(docs)
+    return simhash_wide.drop_near_copies(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
