@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -67,6 +67,25 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], label: str) -> DataFrame:
+    """``df`` with, for each of ``sums``, its sum over the rows before in ``order`` (which tells all rows
+    apart), in two steps: ranges of rows, then rows in a range. No task gets all rows."""
+    ranged = df.repartitionByRange(tasks(df), *order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, label)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*[F.sum(x).alias(name) for name, x in sums.items()])
+    totals = totals.select("_range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_{name}") for name in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(totals), "_range")
+    added = [(F.coalesce(F.sum(x).over(inside), F.lit(0)) + F.col(f"_{name}")).alias(name) for name, x in sums.items()]
+    return joined.select(*df.columns, *added)
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality that holds between nulls too."""
     return left.eqNullSafe(right)

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tubal.llm.common import WORD, materialize, same
+from tubal.llm.common import WORD, materialize, running_sums, same, tasks
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 256
@@ -71,25 +71,6 @@ def index_of(value: int, n: int, key: str, rounds: int) -> int:
     return value
 
 
-def _tasks(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], label: str) -> DataFrame:
-    """``df`` with, for each of ``sums``, its sum over the rows before in ``order`` (which tells all rows
-    apart), in two steps: ranges of rows, then rows in a range. No task gets all rows."""
-    ranged = df.repartitionByRange(_tasks(df), *order).withColumn("_range", F.spark_partition_id())
-    ranged = materialize(ranged, label)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range").agg(*[F.sum(x).alias(name) for name, x in sums.items()])
-    totals = totals.select("_range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_{name}") for name in sums])
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(totals), "_range")
-    added = [(F.coalesce(F.sum(x).over(inside), F.lit(0)) + F.col(f"_{name}")).alias(name) for name, x in sums.items()]
-    return joined.select(*df.columns, *added)
-
-
 def source_targets(sized: DataFrame, share: float = 1.5, most: int = 2, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     """From rows of ``source`` and ``size``: ``nth``, ``source``, ``weight``, ``source_size``, ``target``.
 
@@ -100,11 +81,11 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: int = 2, weights:
     the sources in order of limit / weight."""
     per = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     by_name = [F.col("source").isNull().cast("int"), F.col("source")]
-    named = _running(per, by_name, {"nth": F.lit(1).cast("long")}, "mix-names")
+    named = running_sums(per, by_name, {"nth": F.lit(1).cast("long")}, "mix-names")
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.pmod("nth", F.lit(len(weights))) + 1).cast("int")).cast("long")
     limited = named.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(most))
     by_limit = [F.col("limit") / F.col("weight"), *by_name]
-    ranked = materialize(_running(limited, by_limit, {"limits_before": F.col("limit"), "weights_before": F.col("weight")}, "mix-limits"), "mix-ranked")
+    ranked = materialize(running_sums(limited, by_limit, {"limits_before": F.col("limit"), "weights_before": F.col("weight")}, "mix-limits"), "mix-ranked")
     whole = ranked.agg(F.sum("weight").alias("all_weights"), (F.sum("source_size") * F.lit(share)).alias("total"))
     ranked = ranked.crossJoin(F.broadcast(whole))
     # With all sources before it at their limits, is this one at its limit too? The first that is not sets the level;
@@ -132,7 +113,7 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     need = F.least(whole * blocks + F.floor((rest + (block_words - 1)) / block_words) + (rest > 0).cast("long"), blocks * most)
     counted = counted.withColumn("slots", need)
     names = [F.concat_ws("/", F.lit(seed), F.col("nth").cast("string"), F.lit(str(k))) for k in range(most)]
-    numbered = _running(counted, [F.col("nth")], {"first_slot": F.col("slots")}, "mix-needs")
+    numbered = running_sums(counted, [F.col("nth")], {"first_slot": F.col("slots")}, "mix-needs")
     numbered = numbered.withColumn("offsets", F.array(*[offsets_of(name, rounds) for name in names]))
     # All blocks hold block_words words but the last of the source, which may lie anywhere in a round.
     tails = [blocks * k + permuted(blocks - 1, F.greatest(blocks, F.lit(1)), name, F.col("offsets")[k], back=True) for k, name in enumerate(names)]
@@ -159,7 +140,7 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     # A source's ordinals in chunks, dealt out before they are listed, so that no row or task lists a whole source.
     chunks = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(_CHUNK_SLOTS).cast("long"))
     listed = sources.where("slots > 0").select("nth", "source_size", "blocks", "words", "first_slot", "slots", "tails", "offsets", F.explode(chunks).alias("chunk"))
-    listed = listed.repartition(_tasks(sized), "nth", "chunk")
+    listed = listed.repartition(tasks(sized), "nth", "chunk")
     ordinals = F.sequence(F.col("chunk"), F.least(F.col("slots"), F.col("chunk") + _CHUNK_SLOTS) - 1)
     numbered = listed.withColumn("ordinal", F.explode(ordinals)).withColumn("slot", F.col("first_slot") + F.col("ordinal"))
     turn = F.floor(F.col("ordinal") / F.col("blocks"))

@@ -2,7 +2,7 @@
 
 A task keeps a fixed number of open windows. A document takes whole windows while it is longer than
 one; its rest goes to the open window that it fills best; where it fits none, the fullest is filled up
-with its beginning and emitted, and so on. What is left open at the end of a partition is merged, some
+with its beginning and emitted, and so on; a piece of fewer than eight ids is not cut off. What is left open at the end of a partition is merged, some
 partitions at a time, by the same rule; one window per merge may stay unfilled.
 """
 
@@ -24,7 +24,7 @@ from tubal.llm.tokens import encoder
 CAPACITY = 2048
 OPEN_WINDOWS = 16
 END_ID = 1
-#: A window with less room than this is emitted as it is rather than cut a document for it.
+#: No document is cut into pieces of fewer ids than this for a window's sake, so that an emitted window lacks less than twice as many.
 LEAST_PIECE = 8
 #: Partitions whose leftovers are merged together.
 MERGED = 64
@@ -46,6 +46,7 @@ class Packer:
             start, ids = start + self.capacity, ids[self.capacity :]
         while len(ids):
             fits = [w for w in self.open if w[0] + len(ids) <= self.capacity]
+            full = False
             if fits:
                 best = max(fits, key=lambda w: w[0])
                 take = len(ids)
@@ -55,14 +56,15 @@ class Packer:
                 self.open.append(best)
             else:
                 best = max(self.open, key=lambda w: w[0])
-                room = self.capacity - best[0]
-                take = room if room >= LEAST_PIECE and len(ids) - room >= LEAST_PIECE else 0
+                take = min(self.capacity - best[0], len(ids) - LEAST_PIECE)
+                take = take if take >= LEAST_PIECE else 0
+                full = True
             self.open.remove(best)
             used, sequence, pieces = best
             if take:
                 pieces.append((doc_id, start, ids[:take], doc_tokens))
                 start, ids = start + take, ids[take:]
-            if not take or used + take == self.capacity:
+            if full or used + take == self.capacity:
                 yield sequence, pieces
             else:
                 self.open.append((used + take, sequence, pieces))
@@ -86,7 +88,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ``with_ids`` the ids (binary, little-endian unsigned 32-bit).
 
     A document is the ids of its whole text, a null text counting as empty, and ``END_ID``; each id lies
-    in one piece. Null and repeated ids are carried as they are. An empty table gives no rows; other
+    in one piece. Null and repeated ids are carried as they are; a text of any length is one row's ids, taken
+window by window; of windows that are equally full the one opened first is taken. An empty table gives no rows; other
     columns are ignored. A sequence's padding is what it lacks to ``capacity``."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part long"
@@ -101,8 +104,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         end = np.array([END_ID], "<u4")
         for batch in batches:
             id_type = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([enc.encode(text.as_py() or ""), end])
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time as a Python object
+                doc_id, ids = doc_id.as_py(), np.concatenate([enc.encode(text.as_py() or ""), end])
                 for sequence, pieces in packer.add(doc_id, 0, ids, len(ids)):
                     rows.extend(_rows(sequence, pieces, with_ids, None))
                 if len(rows) >= 4096:

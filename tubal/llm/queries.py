@@ -72,25 +72,25 @@ QUERIES = {f.__name__: f for f in (
     op7_exact_dedup, op8_source_mixing, op9_quality_classifier, op10_simhash_near_dedup,
 )}
 
-_CHAT_SQL = """
+_CHAT_SQL = f"""
 WITH turns AS (
-  SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN coalesce(role, '') = '' THEN 'unnamed' ELSE role END AS speaker,
-         coalesce(text, '') AS said, CAST(coalesce(floor(turn / 64.0), 0) AS BIGINT) AS part
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN role <> '' THEN replace(replace(role, '<|', '<||'), '|>', '||>') END AS speaker,
+         replace(replace(coalesce(text, ''), '<|', '<||'), '|>', '||>') || '<|end|>' || chr(10) AS body
   FROM conversations),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker NULLS FIRST, body) - 1) // {chat.PART_TURNS} AS part FROM turns),
 rendered AS (
-  SELECT t.*, p.perspective, t.speaker = p.perspective AS own,
-         CASE WHEN t.speaker = p.perspective THEN '<|assistant|>' || chr(10) WHEN t.speaker = 'system' THEN '<|system|>' || chr(10)
-              ELSE '<|user name=' || t.speaker || '|>' || chr(10) END AS head,
-         t.said || '<|end|>' || chr(10) AS body
-  FROM turns AS t JOIN (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system') AS p
+  SELECT t.*, p.perspective, t.speaker IS NOT DISTINCT FROM p.perspective AS own,
+         CASE WHEN t.speaker IS NOT DISTINCT FROM p.perspective THEN '<|assistant|>' WHEN t.speaker = 'system' THEN '<|system|>'
+              ELSE '<|user' || coalesce(' name=' || t.speaker, '') || '|>' END || chr(10) AS head
+  FROM numbered AS t JOIN (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker IS DISTINCT FROM 'system') AS p
     ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part
-            ORDER BY turn NULLS FIRST, speaker, said ROWS UNBOUNDED PRECEDING) - length(body) AS body_from
+            ORDER BY turn NULLS FIRST, speaker NULLS FIRST, body ROWS UNBOUNDED PRECEDING) - length(body) AS body_from
   FROM rendered)
 SELECT conv_id, perspective, part, CAST(count(*) AS INTEGER) AS n_turns,
-       string_agg(head || body, '' ORDER BY turn NULLS FIRST, speaker, said) AS text,
-       string_agg(CAST(body_from AS VARCHAR) || ':' || CAST(length(body) AS VARCHAR), ',' ORDER BY turn NULLS FIRST, speaker, said) FILTER (WHERE own) AS loss_spans
+       string_agg(head || body, '' ORDER BY turn NULLS FIRST, speaker NULLS FIRST, body) AS text,
+       coalesce(string_agg(CAST(body_from AS VARCHAR) || ':' || CAST(length(body) AS VARCHAR), ',' ORDER BY turn NULLS FIRST, speaker NULLS FIRST, body) FILTER (WHERE own), '') AS loss_spans
 FROM placed GROUP BY conv_id, perspective, part
 """
 
