@@ -212,18 +212,28 @@ def test_language(spark, none):
     assert {x.lang_pred for x in langid.identify(spark.createDataFrame(test, "doc_id long, text string, lang string"), langid.training_sample(none)).collect()} == {"und"}
 
 
-def test_parser_counts():
-    parser = langid.Parser({"x": ["abcabd xyz"], "y": ["zzzz"]})
-    trained = " ".join(["abcabd xyz"])
-    text = "abdabcq cab"
-    want, at = 0, 0
+def brute_phrases(text, trained):
+    count = at = 0
     while at < len(text):
         n = 1
         while at + n < len(text) and text[at : at + n + 1] in trained:
             n += 1
-        want, at = want + 1, at + n
-    # A letter that the training lacks is a phrase of its own, and the next phrase starts after it.
-    assert abs(parser.phrases([parser.fold(text)])[0][0] - want) <= 1
+        count, at = count + 1, at + n
+    return count
+
+
+def test_parser_counts():
+    r = np.random.default_rng(13)
+    letters = {"x": "abcd", "y": "abz", "Ω": "αβγδ", "漢": [chr(0x4E00 + i) for i in range(300)]}
+    text = lambda of, n: "".join(r.choice([*of, " "]) for _ in range(n))
+    squeezed = lambda t: re.sub(" +", " ", t)
+    training = {k: [text(v, 2000)] for k, v in letters.items()}
+    parser = langid.Parser(training)
+    texts = [text("abcdzq", n) for n in (1, 7, 8, 9, 300)] + [text("αβγabж", 200), text(letters["漢"], 500), "a", training["x"][0], "Я" * 40, "".join(r.permutation(list(training["漢"][0])))]
+    want = [[brute_phrases(squeezed(t), squeezed(training[k][0])) for k in parser.languages] for t in texts]
+    for block in (3, 8, 64, 512):
+        assert parser.phrases([parser.fold(t) for t in texts], block).tolist() == want, block
+    assert parser.predict([training["漢"][0][:50], training["Ω"][0][50:99]])[0] == ["漢", "Ω"]
 
 
 def test_quality(spark):
