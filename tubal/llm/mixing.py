@@ -1,12 +1,14 @@
 """Mixing sources to target weights (DataFrame functions only).
 
 The words of each source, in the order of a hash of the document ids, form a stream that is cut into
-blocks of ``block_words`` words. The mix is a list of slots, one block each. A slot's source follows
-from its number (each source has as many slots as its target needs), its block from a pseudorandom
-permutation of the source's blocks, and its place in the mix, hence its output shard, from a
-permutation of all slots: the source counts of a shard are a multinomial draw given the totals. The
-last slot of a source is cut so that its total meets the target to the word. Permutations are
-computed per index, by the swap-or-not shuffle (Hoang, Morris, Rogaway 2012), so nothing is sorted.
+blocks of ``block_words`` words. The mix is a list of places, one block each, cut into output shards.
+For every place a source is drawn, each with the chance of its share of all slots (a source has as many
+slots as its target needs): that is a multinomial draw of source counts for each shard. A draw is a
+number among all slots, which are numbered source by source; the draws' ranks then stand for the
+draws, so that each source fills its slots exactly. A slot's block follows from a pseudorandom
+permutation of its source's blocks, computed per index by the swap-or-not shuffle (Hoang, Morris,
+Rogaway 2012), and the last slot of a source is cut so that its total meets the target to the word.
+Blocks and slots are joined by index.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tubal.llm.common import WORD, materialize, running_sums, same, tasks
+from tubal.llm.common import WORD, materialize, running_sums, same, tasks, wrapped
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 256
@@ -99,9 +101,9 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: int = 2, weights:
 
 
 def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, share: float = 1.5, most: int = 2, weights: Sequence[int] = WEIGHTS, seed: str = "mix", rounds: int = ROUNDS):
-    """``sized`` holds ``doc_id``, ``source`` and ``size``. Returns (sources, pieces, slots).
+    """``sized`` holds ``row`` (unique), ``doc_id``, ``source`` and ``size``. Returns (sources, pieces, slots).
 
-    pieces: the part of a document that lies in a block: ``doc_id, size, source, nth, block, doc_from,
+    pieces: the part of a document that lies in a block: ``row, doc_id, nth, block, doc_from,
     words, block_from``; slots: ``slot, shard, place, nth, block, block_most`` (words taken of the block)."""
     targets = source_targets(sized, share, most, weights)
     size, blocks = F.col("source_size"), F.col("blocks")
@@ -113,7 +115,7 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     need = F.least(whole * blocks + F.floor((rest + (block_words - 1)) / block_words) + (rest > 0).cast("long"), blocks * most)
     counted = counted.withColumn("slots", need)
     names = [F.concat_ws("/", F.lit(seed), F.col("nth").cast("string"), F.lit(str(k))) for k in range(most)]
-    numbered = running_sums(counted, [F.col("nth")], {"first_slot": F.col("slots")}, "mix-needs")
+    numbered = running_sums(counted, [F.col("nth")], {"first_slot": F.col("slots"), "first_word": size}, "mix-needs")
     numbered = numbered.withColumn("offsets", F.array(*[offsets_of(name, rounds) for name in names]))
     # All blocks hold block_words words but the last of the source, which may lie anywhere in a round.
     tails = [blocks * k + permuted(blocks - 1, F.greatest(blocks, F.lit(1)), name, F.col("offsets")[k], back=True) for k, name in enumerate(names)]
@@ -121,21 +123,16 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     sources = materialize(numbered, "mix-sources")
     slots = sources.agg(F.sum("slots")).first()[0] or 0
 
+    # All words of all sources are one stream, so that no task gets a whole source or a whole id.
     key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    keyed = sized.join(sources.select("nth", "source"), same(sized["source"], sources["source"])).select(
-        "doc_id", "size", sized["source"], "nth", F.substring(key, 1, 3).alias("part"), key.alias("key")
-    )
-    # Running totals in two steps, so that no window holds a whole source: parts of a source, then documents in a part.
-    parts = keyed.groupBy("nth", "part").agg(F.sum("size").alias("part_size"))
-    parts = parts.withColumn("part_from", F.sum("part_size").over(Window.partitionBy("nth").orderBy("part")) - F.col("part_size"))
-    inside = Window.partitionBy("nth", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.withColumn("inner_from", F.sum("size").over(inside) - F.col("size")).join(parts.select("nth", "part", "part_from"), ["nth", "part"])
-    placed = placed.withColumn("from", F.col("part_from") + F.col("inner_from")).where("size > 0")
+    keyed = sized.join(sources.select("nth", "source", "first_word"), same(sized["source"], sources["source"])).select("row", "doc_id", "size", "nth", "first_word", key.alias("key"))
+    placed = running_sums(keyed, [F.col(c) for c in ("nth", "key", "doc_id", "size", "row")], {"all_before": F.col("size")}, "mix-placed")
+    placed = placed.withColumn("from", F.col("all_before") - F.col("first_word")).where("size > 0")
     first, last = F.floor(F.col("from") / block_words), F.floor((F.col("from") + F.col("size") - 1) / block_words)
-    pieces = placed.select("doc_id", "size", "source", "nth", "from", F.explode(F.sequence(first, last)).alias("block"))
+    pieces = placed.select("row", "doc_id", "size", "nth", "from", F.explode(F.sequence(first, last)).alias("block"))
     start = F.greatest(F.col("from"), F.col("block") * block_words)
     end = F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block_words)
-    pieces = pieces.select("doc_id", "size", "source", "nth", "block", (start - F.col("from")).alias("doc_from"), (end - start).alias("words"), (start - F.col("block") * block_words).alias("block_from"))
+    pieces = pieces.select("row", "doc_id", "nth", "block", (start - F.col("from")).alias("doc_from"), (end - start).alias("words"), (start - F.col("block") * block_words).alias("block_from"))
 
     # A source's ordinals in chunks, dealt out before they are listed, so that no row or task lists a whole source.
     chunks = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(_CHUNK_SLOTS).cast("long"))
@@ -146,54 +143,70 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     turn = F.floor(F.col("ordinal") / F.col("blocks"))
     name = F.concat_ws("/", F.lit(seed), F.col("nth").cast("string"), turn.cast("string"))
     block = permuted(F.pmod("ordinal", "blocks"), F.col("blocks"), name, F.element_at("offsets", (turn + 1).cast("int")))
-    numbered = numbered.withColumn("block", block)
     short = F.col("blocks") * block_words - F.col("source_size")
     before = F.col("ordinal") * block_words - short * F.size(F.filter("tails", lambda t: t < F.col("ordinal")))
-    shard_key = f"{seed}/shards"
-    place = permuted(F.col("slot"), F.lit(slots).cast("long"), F.lit(shard_key), F.array(*[F.lit(x) for x in _offsets(shard_key, rounds)]))
-    slots_df = numbered.withColumn("block_most", F.greatest(F.lit(0), F.least(F.lit(block_words).cast("long"), F.col("words") - before))).where("block_most > 0")
-    slots_df = slots_df.withColumn("place", place).select("slot", F.floor(F.col("place") / shard_slots).alias("shard"), "place", "nth", "block", "block_most")
-    return sources, pieces, slots_df
+    filled = numbered.select("slot", "nth", block.alias("block"), F.greatest(F.lit(0), F.least(F.lit(block_words).cast("long"), F.col("words") - before)).alias("block_most"))
+
+    draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(f"{seed}/draw"), F.col("place").cast("string"))), 1, 14), 16, 10).cast("long")
+    drawn = sized.sparkSession.range(slots).withColumnRenamed("id", "place").withColumn("draw", F.pmod(draw, F.lit(max(slots, 1)).cast("long")))
+    ranked = running_sums(drawn, [F.col("draw"), F.col("place")], {"slot": F.lit(1).cast("long")}, "mix-draws")
+    slots_df = filled.where("block_most > 0").join(ranked.select("slot", "place"), "slot")
+    return sources, pieces, slots_df.select("slot", F.floor(F.col("place") / shard_slots).alias("shard"), "place", "nth", "block", "block_most")
 
 
 def mixed_pieces(pieces: DataFrame, slots: DataFrame) -> DataFrame:
-    """The mix, block by block: ``shard, place, nth, block, doc_id, size, doc_from, words``."""
+    """The mix, block by block: ``shard, place, block_from, row, doc_id, doc_from, words``."""
     joined = slots.join(pieces, ["nth", "block"])
     words = F.least(F.col("words"), F.col("block_most") - F.col("block_from"))
     return joined.withColumn("words", words).where("words > 0")
 
 
+def _sized(docs: DataFrame, doc_id: Column) -> DataFrame:
+    """Rows with numbers of their own, as a table, so that the numbers hold still."""
+    size = n_words(F.col("text").cast("string"))
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
+
+
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``.
+    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``, and how the mix takes it:
+    ``n_pieces``, ``first_shard`` and ``first_place`` (null where it takes nothing).
 
     A null text has size 0; a null source is a source of its own, the last; rows of size 0 are taken 0
-    times; an empty table gives no rows. Rows that repeat a ``doc_id`` are separate documents; where
-    they have the same source they report the mean of what the mix takes of them."""
-    sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix-sizes")
+    times; an empty table gives no rows. Rows that repeat a ``doc_id``, and those with none, are documents
+    of their own; where they have one source and size, which of them gets which share may differ
+    between runs. Texts of any length are cut into blocks. Other columns are ignored."""
+    sized = _sized(docs, F.col("doc_id"))
     sources, pieces, slots = plan_mix(sized, **options)
-    taken = mixed_pieces(pieces, slots).groupBy("doc_id", "nth", "size").agg(F.sum("words").alias("taken"))
-    named = sized.join(sources.select(F.col("source").alias("source_"), "nth", "source_size", "target"), same(F.col("source"), F.col("source_")))
-    t = taken.select(F.col("doc_id").alias("doc_id_"), F.col("nth").alias("nth_"), F.col("size").alias("size_"), "taken")
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "nth", "size"))
-    joined = named.withColumn("same_rows", n).join(t, same(F.col("doc_id"), F.col("doc_id_")) & (F.col("nth") == F.col("nth_")) & (F.col("size") == F.col("size_")), "left")
-    each = F.floor(F.coalesce("taken", F.lit(0)) / F.col("same_rows")).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", each.alias("taken"))
+    mixed = mixed_pieces(pieces, slots)
+    first = F.min("place").alias("first_place")
+    taken = mixed.groupBy("row").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("n_pieces"), F.min("shard").alias("first_shard"), first)
+    named = sized.join(sources.select(F.col("source").alias("source_"), "source_size", "target"), same(F.col("source"), F.col("source_")))
+    out = named.join(taken, "row", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_pieces")]
+    return out.select("doc_id", "size", "source_size", "target", *counts, "first_shard", "first_place")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents with the columns of ``docs``: each row holds the stretch that one slot takes
-    of one document's text, from its first word to where the next word after it starts, so that the
-    stretches of a whole document join to its exact text (white space before the first word goes with
-    that word); ``n_chars`` is its length."""
-    # Rows that repeat id and text share a key, and one of them yields what the mix takes of all.
-    keyed = docs.withColumn("_doc_key", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")))
-    sized = materialize(keyed.select(F.col("_doc_key").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix-sizes")
+    """The mix as documents with the columns of ``docs``, shard by shard in the order of their places: each
+    row holds the stretch that one slot takes of one document's text, from its first word to where the
+    next word after it starts, so that the stretches of a whole document join to its exact text
+    (white space before the first word goes with that word); ``n_chars``, if there, is its length. Texts
+    without words are in no mix. Nulls, repeated rows and empty tables are as in ``mix_report``; other
+    columns go along, whatever their names."""
+    # Rows that repeat id and text share a key, and any one of them stands for all.
+    key = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text").cast("string")))
+    sized = _sized(docs, key)
     _, pieces, slots = plan_mix(sized, **options)
-    cuts = mixed_pieces(pieces, slots).groupBy(F.col("doc_id").alias("_doc_key"), "doc_from", "words").agg(F.count(F.lit(1)).alias("times"))
-    per_doc = cuts.groupBy("_doc_key").agg(F.collect_list(F.struct("doc_from", "words", "times")).alias("_cuts"))
-    nth = F.row_number().over(Window.partitionBy("_doc_key").orderBy(F.lit(0)))
-    joined = keyed.join(per_doc, "_doc_key").withColumn("_nth", nth).where("_nth = 1")
-    words = joined.withColumn("_all_words", F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)))
-    texts = F.flatten(F.transform("_cuts", lambda c: F.array_repeat(F.array_join(F.slice("_all_words", (c["doc_from"] + 1).cast("int"), c["words"].cast("int")), ""), c["times"].cast("int"))))
-    out = words.select(*[c for c in docs.columns if c not in ("text", "n_chars")], F.explode(texts).alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = F.struct("shard", "place", "block_from", "doc_from", "words")
+    cuts = materialize(mixed_pieces(pieces, slots).groupBy("doc_id", "row").agg(F.collect_list(cut).alias("cuts")).select(F.col("doc_id").alias("key"), "cuts"), "mix-cuts")
+    twins = materialize(sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("key")), "mix-twins")
+    keyed = wrapped(docs, key.alias("key"))
+    if not twins.isEmpty():
+        one = keyed.join(twins, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+        keyed = keyed.join(twins, "key", "left_anti").unionByName(one.select("row", "key"))
+    words = keyed.join(cuts, "key").withColumn("all", F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(SPACED_WORD), F.lit(0)))
+    part = F.transform("cuts", lambda c: F.struct(c["shard"].alias("shard"), c["place"].alias("place"), c["block_from"].alias("at"), F.array_join(F.slice("all", (c["doc_from"] + 1).cast("int"), c["words"].cast("int")), "").alias("text")))
+    mixed = words.select("row", F.explode(part).alias("part")).select("row", "part.*")
+    mixed = mixed.repartition(tasks(docs), "shard").sortWithinPartitions("shard", "place", "at")
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return mixed.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

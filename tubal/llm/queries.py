@@ -123,7 +123,7 @@ ranked AS (
          sum(source_size) OVER () * 1.5 AS total
   FROM weighted WINDOW before AS (ORDER BY lim / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levelled AS (SELECT *, (CAST(total AS DOUBLE) - CAST(limits_before AS DOUBLE)) / CAST(weights_left AS DOUBLE) AS level FROM ranked),
-found AS (SELECT *, (SELECT level FROM levelled WHERE level * weight < lim ORDER BY lim / weight, level LIMIT 1) AS common FROM levelled),
+found AS (SELECT *, (SELECT level FROM levelled WHERE level * weight < lim ORDER BY lim / weight, level DESC LIMIT 1) AS common FROM levelled),
 targets AS (
   SELECT nth, source, source_size, CASE WHEN common IS NULL THEN CAST(lim AS DOUBLE) ELSE least(CAST(lim AS DOUBLE), weight * common) END AS target,
          CAST(ceil(source_size / {mixing.BLOCK_WORDS}.0) AS BIGINT) AS blocks FROM found),
@@ -134,21 +134,25 @@ needing AS (
 numbered AS (SELECT nth, blocks, source_size, words, unnest(range(slots)) AS ordinal FROM needing),
 {_permuted_sql("ordinal % blocks", "blocks", "'mix/' || nth || '/' || (ordinal // blocks)", mixing.ROUNDS, "numbered")},
 taking AS (
-  SELECT nth, idx AS block, greatest(0, least({mixing.BLOCK_WORDS}, words - (ordinal * {mixing.BLOCK_WORDS} - (blocks * {mixing.BLOCK_WORDS} - source_size)
+  SELECT nth, ordinal, idx AS block, greatest(0, least({mixing.BLOCK_WORDS}, words - (ordinal * {mixing.BLOCK_WORDS} - (blocks * {mixing.BLOCK_WORDS} - source_size)
      * coalesce(sum(CASE WHEN idx = blocks - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY nth ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))) AS block_most
   FROM p{mixing.ROUNDS}),
+drawn AS (SELECT place, CAST('0x' || substr(md5('mix/draw/' || place), 1, 14) AS BIGINT) % (SELECT greatest(sum(slots), 1) FROM needing) AS draw FROM range((SELECT CAST(sum(slots) AS BIGINT) FROM needing)) AS g(place)),
+ranked_places AS (SELECT place, row_number() OVER (ORDER BY draw, place) - 1 AS slot FROM drawn),
+firsts AS (SELECT nth, coalesce(sum(slots) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_slot FROM needing),
+located AS (SELECT taking.nth, taking.block, taking.block_most, place, place // {mixing.SHARD_SLOTS} AS shard FROM taking JOIN firsts USING (nth) JOIN ranked_places ON slot = first_slot + ordinal),
 placed AS (
-  SELECT doc_id, size, nth, sum(size) OVER (PARTITION BY nth ORDER BY substr(md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 3),
-         md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS frm
+  SELECT doc_id, size, nth, sum(size) OVER (PARTITION BY nth ORDER BY md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS frm
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
 pieces AS (
   SELECT doc_id, size, nth, frm, unnest(range(CAST(frm // {mixing.BLOCK_WORDS} AS BIGINT), CAST((frm + size - 1) // {mixing.BLOCK_WORDS} AS BIGINT) + 1)) AS block
   FROM placed WHERE size > 0),
-taken AS (
-  SELECT doc_id, nth, sum(greatest(0, least(least(frm + size, (block + 1) * {mixing.BLOCK_WORDS}) - greatest(frm, block * {mixing.BLOCK_WORDS}),
-         block_most - (greatest(frm, block * {mixing.BLOCK_WORDS}) - block * {mixing.BLOCK_WORDS})))) AS taken
-  FROM pieces JOIN taking USING (nth, block) GROUP BY doc_id, nth)
-SELECT s.doc_id, s.size, t.source_size, t.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
+shares AS (
+  SELECT doc_id, nth, place, shard, least(least(frm + size, (block + 1) * {mixing.BLOCK_WORDS}) - greatest(frm, block * {mixing.BLOCK_WORDS}),
+         block_most - (greatest(frm, block * {mixing.BLOCK_WORDS}) - block * {mixing.BLOCK_WORDS})) AS taken
+  FROM pieces JOIN located USING (nth, block)),
+taken AS (SELECT doc_id, nth, sum(taken) AS taken, count(*) AS n_pieces, min(shard) AS first_shard, min(place) AS first_place FROM shares WHERE taken > 0 GROUP BY doc_id, nth)
+SELECT s.doc_id, s.size, t.source_size, t.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken, CAST(coalesce(k.n_pieces, 0) AS BIGINT) AS n_pieces, k.first_shard, k.first_place
 FROM sized AS s JOIN targets AS t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN taken AS k ON k.doc_id = s.doc_id AND k.nth = t.nth
 """
 
