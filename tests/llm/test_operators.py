@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -154,6 +155,54 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_links(vectors, threshold=0.9):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    a, b = [], []
+    for i in range(0, len(unit), 1000):
+        p, q = np.nonzero(unit[i : i + 1000] @ unit.T >= threshold)
+        a.append(p[p + i < q] + i)
+        b.append(q[p + i < q])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def planted(r, base, cosine):
+    """A vector at a given cosine to each of ``base`` (unit vectors)."""
+    side = r.standard_normal(base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = r.uniform(*cosine, (len(base), 1))
+    return c * base + np.sqrt(1 - c * c) * side
+
+
+@pytest.mark.parametrize("kind", ["even", "dense"])
+def test_embedding_recall(spark, kind, tmp_path):
+    """Links at 0.9005 to 0.92: among 16,000 vectors, and inside a cluster of 6,000 whose cosine to each other is about 0.8."""
+    r = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "even":
+        base = unit(r.standard_normal((15000, 64)))
+        vectors = np.concatenate([base, planted(r, base[:1000], (0.9005, 0.92))])
+    else:
+        centre = unit(r.standard_normal((1, 256)))
+        cluster = planted(r, np.repeat(centre, 5700, 0), (0.894, 0.895))
+        vectors = np.concatenate([unit(r.standard_normal((2000, 256))), cluster, planted(r, cluster[:300], (0.905, 0.92))])
+    frame = pd.DataFrame({"vec_id": np.arange(len(vectors)), "embedding": list(vectors.astype(np.float32)), "node": 1})
+    frame.to_parquet(tmp_path / "vectors.parquet")
+    found = embedding_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "vectors.parquet")).repartition(4), block=1024).toPandas().set_index("vec_id")
+    a, b = brute_links(vectors.astype(np.float32).astype(np.float64))
+    links = np.bincount(np.r_[a, b], minlength=len(vectors))
+    together = (found.component_id.loc[a].to_numpy() == found.component_id.loc[b].to_numpy()).mean()
+    print(kind, "links", len(a), "recall", together)
+    assert len(a) >= 300 and together >= 0.95 and (found.n_links.loc[np.arange(len(vectors))].to_numpy() <= links).all()
+
+
+def test_embeddings_of_one_direction(spark):
+    rows = [(i, [float(1 + i % 7), 0.5 * (1 + i % 7), 0.25]) for i in range(900)] + [(5, [8.0, 4.0, 0.5]), (1000, [1.0, -1.0]), (1001, [2.0, -2.0]), (1002, [3.0])]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), window=16, block=100).collect()}
+    assert {got[i].component_id for i in range(900)} == {0} and got[0].n_links == 899
+    assert (got[1001].component_id, got[1001].n_links, got[1002].n_links) == (1000, 1, 0)
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ana", "Hé"), (1, 2, "bo", None), (1, 3, None, "x"), (2, 0, "system", "alone"), (None, None, "ana", "lost"), (1, 130, "ana", "late")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
