@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -72,7 +74,11 @@ def test_exact(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
 
 
-def test_substring(docs, none):
+@pytest.mark.parametrize("chunk,held", [(None, None), (700, 8), (64, 2)])
+def test_substring(docs, none, monkeypatch, chunk, held):
+    if chunk:  # texts in stretches, groups in parts
+        monkeypatch.setattr(substring_dedup, "_CHUNK", chunk)
+        monkeypatch.setattr(substring_dedup, "_HELD", held)
     seqs = [(r[0], tokens(r[1])) for r in corpus()]
     count = collections.Counter(tuple(w[i : i + 35]) for _, w in seqs for i in range(len(w) - 34))
     want = []
@@ -87,6 +93,19 @@ def test_substring(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_stretches(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_CHUNK", 50)
+    text = " \n".join(words(300, 3)).encode()
+    for t in (text, text + b"  ", b"x" * 500 + b" " + text, b"", b" " * 300, text[:60]):
+        want = np.flatnonzero(np.arange(len(t.split())) + 35 <= len(t.split()))
+        got = [substring_dedup.Windows([t[a:b]], 35).start + first for a, b, first in substring_dedup.stretches(t, 35)]
+        assert np.array_equal(np.sort(np.concatenate(got)), want)
+    anchors = [(k, w) for k, (a, b, _) in enumerate(substring_dedup.stretches(text, 35)) for w in [substring_dedup.Windows([text[a:b]], 35)]]
+    marks = np.unique(np.concatenate([((k << substring_dedup._LOCAL | w.anchor) << 2) + substring_dedup._OPEN for k, w in anchors]))
+    settled, waiting = substring_dedup._starts_of(text, marks, 35)
+    assert not len(settled) and np.array_equal(np.sort(waiting), np.arange(266))
+
+
 def brute_print(text):
     w = [x for x in tokens("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]
     if not w:
@@ -349,6 +368,47 @@ def test_blocks_and_extraction(spark):
     assert got[2].text == got[3].text == got[4].text == "" and html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_chain_against_enumeration():
+    r = np.random.default_rng(17)
+    s, moves = r.standard_normal((3, 6, 2)), r.standard_normal((2, 2))
+    there = np.arange(6) < np.array([[6], [4], [1]])
+    p, joint, z = html_extract.chain_sums(s, moves, there)
+    for page in range(3):
+        n = int(there[page].sum())
+        score = {ys: sum(s[page, i, y] for i, y in enumerate(ys)) + sum(moves[a, b] for a, b in zip(ys, ys[1:], strict=False)) for ys in itertools.product((0, 1), repeat=n)}
+        total = sum(np.exp(v) for v in score.values())
+        assert z[page] == pytest.approx(np.log(total))
+        for i in range(n):
+            assert p[page, i, 1] == pytest.approx(sum(np.exp(v) for ys, v in score.items() if ys[i]) / total)
+        for i in range(n - 1):
+            assert joint[page, i, 0, 1] == pytest.approx(sum(np.exp(v) for ys, v in score.items() if ys[i : i + 2] == (0, 1)) / total)
+        blocks = blocks_of("".join(f"<{t}>x</{t}>" for t in ["h1", "p", "li", "div", "h2", "td"][:n]))
+        weights = {f"own={b.place.tag}": tuple(s[page, i]) for i, b in enumerate(blocks)}
+        model = html_extract.Extractor(weights, moves.tolist())
+        assert tuple(model.decode(blocks)) == max(score, key=score.get)
+
+
+def test_deep_pages():
+    began = time.perf_counter()
+    deep = "<div class=a>x" * 80_000
+    assert len(blocks_of(deep)) == 80_000 and len(blocks_of("<div>x" * 5000 + "</section>" * 20_000)) == 5000
+    assert html_extract.default_extractor().text(deep[:200_000]) is not None
+    assert time.perf_counter() - began < 40
+
+
+def test_extractor_on_hostile_pages():
+    """Layouts that the training pages do not have."""
+    text = "The river rose again in the night, and by the morning the lower fields were under water. Nobody had seen it so high since the mill was built."
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>Archive</a></li></ul>"
+    pages = [
+        f"<body><div><div>{menu}</div><div><h1>The flood</h1><div>{text}</div><div>{text}</div></div><footer>&copy; 2020 Mill Press</footer></div></body>",
+        f"<body><div id=wrap><div class=topnavbar>{menu}</div><div class=maincontent><h2>The flood</h2><p>{text}</p><p>{text}</p></div><section class=commentsection><p>Nice one</p><p>I do not agree with this at all, sorry.</p></section><div class=sidebarright><p>More from us</p></div></div></body>",
+        f"<body><header><p>Mill Press</p></header><main><h1>The flood</h1><p>{text}</p><aside><p>Buy our book today!</p></aside><p>{text}</p></main><div class=cookiebar><p>We use cookies to make this site better.</p></div></body>",
+    ]
+    for page in pages:
+        assert html_extract.default_extractor().text(page).split("\n") == ["The flood", text, text], html_extract.default_extractor().text(page)
+
+
 def test_extractor_on_unseen_pages():
     model = html_extract.default_extractor()
     examples = html_extract._examples(labelled_pages(80, seed=77))

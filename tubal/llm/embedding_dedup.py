@@ -34,8 +34,9 @@ THRESHOLD = 0.9
 WINDOW = 256
 #: Chance that a pair just at the threshold is in no window of any pass: aimed at, and at most.
 MISS, MOST_MISS = 0.02, 0.05
-#: Vectors of a block in the comparison of all pairs of a component.
-BLOCK = 4096
+#: Vectors of a block in the comparison of all pairs of a component, at most; components of some hundreds are
+#: cut into up to ``SPREAD`` blocks all the same, so that one of them is the work of many tasks.
+BLOCK, SPREAD, _LEAST_BLOCK = 8192, 16, 256
 MOST_PASSES = 24
 _HASHES = 62
 _TILE = 512
@@ -230,9 +231,10 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
 def block_pairs(members: DataFrame, threshold: float, block: int, forest: bool = False) -> DataFrame:
     """``node, links, other``: for members of one group (``component, node, data, copies, size``) how many
     other members link with them, copies counted; with ``forest`` (``links`` null) the pairs ``node, other``
-    of a spanning forest of the links of each comparison. Groups of up to ``block`` members are compared at
-    once, many small ones together; larger ones block by block."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    of a spanning forest of the links of each comparison. Small groups are compared at once, many together;
+    larger ones block by block."""
+    spread = F.least(F.lit(SPREAD).cast("long"), F.floor(F.col("size") / _LEAST_BLOCK))
+    blocks = F.greatest(F.ceil(F.col("size") / block), spread).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
     dealt = members.withColumn("own", own).select("component", "node", "data", "copies", "own", F.explode(pairs).alias("p")).select("component", "p.i", "p.j", "own", "node", "data", "copies")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 from html import unescape
 
 #: Elements that start and end blocks; all others are inline.
@@ -24,20 +26,56 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Characters of a class, id or role that are looked at for words.
+MOST_NAME = 200
+
+
+@cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I)
+
+
+
+
+#: Ancestors that tell what a block is; of others only the innermost counts.
+TELLING = frozenset("article main nav aside header footer form section ul ol table blockquote figure select button label fieldset dialog details".split())
+#: Named ancestors whose words a block keeps, from the innermost.
+NAMED = 3
+
+
+@dataclass(frozen=True, slots=True)
+class Place:
+    """Where a block stands: its element, the telling elements around it, and words of the classes, ids and
+    roles of the innermost named ones. Elements that add nothing share the place of their parent's sets."""
+
+    tag: str
+    around: frozenset[str]
+    named: tuple[frozenset[str], ...]
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    tags: tuple[str, ...]  # block-level ancestors, from the root
-    names: frozenset[str]  # words of their classes, ids and roles
+    place: Place
     link_chars: int
 
 
+NOWHERE = Place("", frozenset(), ())
+
+
+def _inside(outer: Place, tag: str, attributes: str) -> Place:
+    around = outer.around if tag not in TELLING or tag in outer.around else outer.around | {tag}
+    found = _ATTRIBUTE.findall(attributes) if attributes else ()
+    own = frozenset(w for a in found for w in _WORDS.findall(_CAMEL.sub(" ", "".join(a)[:MOST_NAME]).lower()))
+    return Place(tag, around, (own, *outer.named)[:NAMED] if own else outer.named)
+
+
 def blocks_of(html: str) -> list[Block]:
-    """In page order, without empty ones; character references decoded, white space made one space."""
+    """In page order, without empty ones; character references decoded, white space made one space. Time
+    and memory are linear in the length of the page, however deep its elements nest."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Place] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     links, in_link, at, n = 0, False, 0, len(html)
 
@@ -45,10 +83,14 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal links, text
         joined = " ".join(unescape("".join(text)).split())
         if joined:
-            tags = tuple(t for t, _ in stack)
-            out.append(Block(joined, tags, stack[-1][1] if stack else frozenset(), min(links, len(joined))))
+            out.append(Block(joined, stack[-1] if stack else NOWHERE, min(links, len(joined))))
         text, links = [], 0
 
+    def close() -> str:
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        return tag
+
     while at < n:
         m = _TOKEN.search(html, at)
         end = m.start() if m else n
@@ -66,8 +108,8 @@ def blocks_of(html: str) -> list[Block]:
         tag = tag.lower()
         if tag in RAW_TAGS:
             if not closing and not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = close.end() if close else n
+                closes = _closing(tag).search(html, at)
+                at = closes.end() if closes else n
             text.append(" ")
         elif tag == "a":
             in_link = not closing
@@ -77,15 +119,13 @@ def blocks_of(html: str) -> list[Block]:
             flush()
             in_link = False
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                while opened[tag] and close() != tag:
+                    pass
             elif tag not in _VOID:
-                ended = _ENDS.get(tag, set()) | ({"p"} if tag in _NO_P_INSIDE else set())
-                while stack and stack[-1][0] in ended:
-                    stack.pop()
-                own = frozenset(w for a in _ATTRIBUTE.findall(attributes) for w in _WORDS.findall(_CAMEL.sub(" ", "".join(a)).lower())) if attributes else frozenset()
-                stack.append((tag, stack[-1][1] | own if stack else own))
+                ended = _ENDS.get(tag, frozenset()) | ({"p"} if tag in _NO_P_INSIDE else frozenset())
+                while stack and stack[-1].tag in ended:
+                    close()
+                stack.append(_inside(stack[-1] if stack else NOWHERE, tag, attributes))
+                opened[tag] += 1
     flush()
     return out

@@ -1,6 +1,7 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of a page.
 
-Features are the blocks' ancestor tags, the words of ancestors' classes and ids, and shape of the text.
+Features are the blocks' ancestor tags, the words of ancestors' classes and ids with their three-letter
+parts, and shape of the text.
 The field is trained by maximum likelihood on labelled pages and decoded by Viterbi."""
 
 from __future__ import annotations
@@ -30,17 +31,23 @@ NAME_GROUPS = {
     "content": "content article post entry story main text body".split(),
 }
 _GROUP_OF = {w: g for g, words in NAME_GROUPS.items() for w in words}
-_TELLING = frozenset("article main nav aside header footer form section ul ol table blockquote figure select button label fieldset dialog details".split())
+
+
+def _parts(word: str) -> set[str]:
+    """Three letters in a row, with marks at both ends: ``sidebarleft`` shares some with ``sidebar``."""
+    marked = f"^{word[:24]}$"
+    return {marked[i : i + 3] for i in range(len(marked) - 2)}
 
 
 def features(block: Block, place: int, count: int) -> list[str]:
-    own = block.tags[-1] if block.tags else ""
-    out = ["bias", f"own={own}"]
-    out += {f"in={t}" for t in block.tags if t in _TELLING}
-    groups = {_GROUP_OF[w] for w in block.names if w in _GROUP_OF}
+    at = block.place
+    out = ["bias", f"own={at.tag}", *(f"in={t}" for t in at.around)]
+    words_of = frozenset().union(*at.named)
+    groups = {_GROUP_OF[w] for w in words_of if w in _GROUP_OF}
     out += [f"name={g}" for g in groups]
     if groups - {"content"}:
         out.append("name=aside-of-text")
+    out += [f"part={p}" for p in set().union(*map(_parts, sorted(words_of)[:12]))]
     words = block.text.count(" ") + 1
     out.append("words=" + ("1" if words == 1 else "2-4" if words < 5 else "5-9" if words < 10 else "10-24" if words < 25 else "25-79" if words < 80 else "80+"))
     share = block.link_chars / len(block.text)
@@ -99,6 +106,25 @@ def _examples(pages: list[list[tuple[str, int]]]) -> list[tuple[list[Block], lis
     return out
 
 
+def chain_sums(s: np.ndarray, moves: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chances of each block's labels and of each pair of neighbours' labels, and the logarithm of the sum over
+    all labellings, by sums forwards and backwards over pages of ``s`` (page, block, label)."""
+    longest, pairs = s.shape[1], there[:, 1:] & there[:, :-1]
+    ahead, behind = np.zeros_like(s), np.zeros_like(s)
+    ahead[:, 0] = s[:, 0]
+    for t in range(1, longest):
+        step = np.logaddexp(ahead[:, t - 1, :1] + moves[0], ahead[:, t - 1, 1:] + moves[1]) + s[:, t]
+        ahead[:, t] = np.where(there[:, t, None], step, ahead[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        nxt = s[:, t + 1] + behind[:, t + 1]
+        step = np.logaddexp(nxt[:, :1] + moves[:, 0], nxt[:, 1:] + moves[:, 1])
+        behind[:, t] = np.where(there[:, t + 1, None], step, 0)
+    z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
+    p = np.exp(ahead + behind - z[:, None, None]) * there[..., None]
+    joint = np.exp(ahead[:, :-1, :, None] + moves + (s + behind)[:, 1:, None, :] - z[:, None, None, None]) * pairs[..., None, None]
+    return p, joint, z
+
+
 def train(pages: list[list[tuple[str, int]]] | None = None, steps: int = 150, ridge: float = 0.05) -> Extractor:
     """Maximum likelihood with a ridge, by gradient steps with momentum on all pages at once."""
     examples = _examples(pages or labelled_pages())
@@ -115,26 +141,16 @@ def train(pages: list[list[tuple[str, int]]] | None = None, steps: int = 150, ri
     truth = np.eye(2)[y] * there[..., None]
     pairs = there[:, 1:] & there[:, :-1]
     true_moves = np.einsum("nti,ntj->ij", truth[:, :-1] * pairs[..., None], truth[:, 1:])
-    flat = x.reshape(-1, width)
-    true_counts = flat.T @ truth.reshape(-1, 2)
+    flat = x[there]
+    true_counts = flat.T @ truth[there]
     w, moves = np.zeros((width, 2)), np.zeros((2, 2))
     vw, vm = np.zeros_like(w), np.zeros_like(moves)
     total = there.sum()
     for _ in range(steps):
-        s = (flat @ w).reshape(n, longest, 2)
-        ahead, behind = np.zeros_like(s), np.zeros_like(s)
-        ahead[:, 0] = s[:, 0]
-        for t in range(1, longest):
-            step = np.logaddexp(ahead[:, t - 1, :1] + moves[0], ahead[:, t - 1, 1:] + moves[1]) + s[:, t]
-            ahead[:, t] = np.where(there[:, t, None], step, ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            nxt = s[:, t + 1] + behind[:, t + 1]
-            step = np.logaddexp(nxt[:, :1] + moves[:, 0], nxt[:, 1:] + moves[:, 1])
-            behind[:, t] = np.where(there[:, t + 1, None], step, 0)
-        z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        p = np.exp(ahead + behind - z[:, None, None]) * there[..., None]
-        joint = np.exp(ahead[:, :-1, :, None] + moves + (s + behind)[:, 1:, None, :] - z[:, None, None, None]) * pairs[..., None, None]
-        gw = (true_counts - flat.T @ p.reshape(-1, 2)) / total - ridge * w / width
+        s = np.zeros((n, longest, 2))
+        s[there] = flat @ w.astype(np.float32)
+        p, joint, _ = chain_sums(s, moves, there)
+        gw = (true_counts - flat.T @ p[there].astype(np.float32)) / total - ridge * w / width
         gm = (true_moves - joint.sum((0, 1))) / total - ridge * moves / width
         vw, vm = 0.9 * vw + gw, 0.9 * vm + gm
         w, moves = w + vw, moves + vm
@@ -154,7 +170,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     """The columns ``keep``, ``text`` (main text; blocks in page order, joined by newlines) and ``n_chars``.
 
     A null or empty page, and one without article blocks, has an empty text. Markup may be cut off
-    anywhere: an unfinished tag at the end is dropped. Repeated rows are each answered; an empty table
+    anywhere: an unfinished tag at the end is dropped. Pages of any length and depth are taken whole. Repeated rows are each answered; an empty table
     gives no rows; other columns are ignored."""
     model = extractor or default_extractor()
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)

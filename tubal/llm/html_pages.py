@@ -101,7 +101,8 @@ def labelled_pages(count: int = 400, seed: int = 1) -> list[list[tuple[str, int]
         page.append((opening, -1))
         for i, p in enumerate(_article(r)):
             if i > 2 and r.random() < 0.05:
-                page.append((_around(r, "div", r.choice(["ad", "advert", "promo", "share", "related"]), f"<p>{_sentences(r, 1, 2)}</p>"), 0))
+                tag, names = r.choice([("div", "ad"), ("div", "advert"), ("div", "promo"), ("div", "share"), ("aside", "related"), ("aside", ""), ("aside", "")])
+                page.append((_around(r, tag, names, f"<p>{_sentences(r, 1, 2)}</p>"), 0))
             page.append((p, 1))
         page.append((closing, -1))
         page += [(p, 0) for p in _after(r)]

@@ -9,12 +9,14 @@ are settled; the other windows are hashed one by one (128 bits) and counted.
 
 Each level is one shuffle by hash. Rows of one hash within a batch are reduced to one that takes part
 and copies that are known to be repeated and are dealt out anywhere, so that a passage in a third of
-all documents does not gather in one task; a task reads its rows in hash order and holds only one group.
+all documents does not gather in one task; a task reads its rows in hash order and holds one group, or a
+bounded part of it. Very long texts are worked on in stretches that overlap by a window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,11 @@ _KNOWN_HALF, _KNOWN_SPAN, _FOLLOWER = 1, 2, 4
 _SETTLED, _OPEN, _PARTNER = 0, 1, 2
 #: Texts that more rows than this have are dealt out over so many parts where they meet their marks.
 _OFTEN, _SALTS = 1000, 64
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Bits of a word's number in its stretch; more bits tell the stretches apart.
+_LOCAL = 22
+#: Rows of one group that a task holds before it settles those it has.
+_HELD = 1 << 18
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -41,6 +48,27 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return wider(half, half, length - (length + 1) // 2)
 
 
+def stretches(text: bytes, window: int) -> list[tuple[int, int, int]]:
+    """First byte, end and number of the first word of parts of about ``_CHUNK`` bytes, each with the
+    ``window`` - 1 words after it, so that each window lies in the part in which it starts and in no other."""
+    out, start, first = [], 0, 0
+    while start < len(text) or not out:
+        found = _GAP.search(text, start + _CHUNK)
+        cut = found.start() if found else len(text)
+        more = re.compile(rb"(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,%d}" % (window - 1)).match(text, cut)
+        out.append((start, more.end(), first))
+        if cut < len(text):
+            first += len(text[start:cut].split())
+        start = cut
+    return out
+
+
+def cut_up(texts: list[bytes], window: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Stretches of the texts, the text of each, and its number in that text."""
+    found = [(t[a:b], i, k) for i, t in enumerate(texts) for k, (a, b, _) in enumerate(stretches(t, window))]
+    return [x for x, _, _ in found], np.array([i for _, i, _ in found], np.int64), np.array([k for _, _, k in found], np.int64)
+
+
 class Windows:
     """Anchors and windows of some texts. ``anchor`` are word indexes, ``owned`` their numbers of
     windows, ``start`` all windows' starts, grouped by anchor."""
@@ -102,14 +130,14 @@ def _doc_key(text: str = "text") -> tuple[Column, Column]:
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_strings(batch.column(2))
+            parts, text_of, number = cut_up(byte_strings(batch.column(2)), window)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             found = []
-            for a, b in runs_of([len(t) for t in texts], _CHUNK):
-                w = Windows(texts[a:b], window)
-                doc = w.words.doc[w.anchor] + a if len(w.anchor) else w.anchor
-                rel = w.anchor - w.words.first[doc - a] if len(doc) else doc
-                found.append((w.half[w.anchor], w.spans() if len(doc) else np.empty(0, np.uint64), doc, rel))
+            for a, b in runs_of([len(t) for t in parts], _CHUNK):
+                w = Windows(parts[a:b], window)
+                part = w.words.doc[w.anchor] + a if len(w.anchor) else w.anchor
+                rel = number[part] << _LOCAL | (w.anchor - w.words.first[part - a]) if len(part) else part
+                found.append((w.half[w.anchor], w.spans() if len(part) else np.empty(0, np.uint64), text_of[part], rel))
             half, span, doc, rel = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(half):
                 arrays = [pa.array(signed(half)), pa.array(signed(span)), batch.column(0).take(pa.array(doc)), pa.array(_place(keys[doc], rel)), pa.array(_flags(half, span))]
@@ -161,14 +189,17 @@ def _judged_anchors(anchors: DataFrame) -> DataFrame:
                 found, _ = judge(held.slice(0, cut), opened, False)
                 yield from found
                 held, opened = held.slice(cut), False
-            if held.num_rows > 1 << 18:  # one large group: with an open row seen, only its last span waits
+            if held.num_rows > _HELD:  # one large group, taken as open from here on, which costs work but no window
                 tail = held.column("span").to_numpy()
                 same_span = tail == tail[-1]
-                cut = len(tail) - int(np.argmin(same_span[::-1])) if not same_span.all() else 0
-                found, now_open = judge(held.slice(0, cut), opened, True) if cut else ([], False)
-                if now_open:
-                    yield from found
-                    held, opened = held.slice(cut), True
+                one = bool(same_span.all())  # then its last row stays, known to be repeated
+                cut = len(tail) - 1 if one else len(tail) - int(np.argmin(same_span[::-1]))
+                found, _ = judge(held.slice(0, cut), True, True)
+                yield from found
+                held, opened = held.slice(cut), True
+                if one:
+                    known = pa.array(held.column("flags").to_numpy() | _KNOWN_HALF | _KNOWN_SPAN)
+                    held = held.set_column(held.schema.get_field_index("flags"), "flags", known)
         if held is not None and held.num_rows:
             yield from judge(held, opened, False)[0]
 
@@ -187,7 +218,7 @@ def _with_marks(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     """``docs`` and their ``marks``. Rows of a text that many rows have, and those too short for any
     mark, are dealt out over ``_SALTS`` parts."""
     often = marks.where(F.col("copies") > _OFTEN)
-    frequent = F.broadcast(often.select(F.col("key_").alias("_key"), F.col("dk_").alias("_dk")))
+    frequent = often.select(F.col("key_").alias("_key"), F.col("dk_").alias("_dk"))
     flagged = docs.join(frequent, (F.col("key") == F.col("_key")) & (F.col("dk") == F.col("_dk")), "left")
     any_part = F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))
     short = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) < 2 * window - 1
@@ -200,10 +231,12 @@ def _with_marks(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
 
 def _digest(words: Words, gone: np.ndarray) -> tuple[int, int, str]:
     """Of one text: words, words removed, SHA-256 of the others."""
-    kept = np.flatnonzero(~gone)
-    data = words.data
-    joined = b" ".join([data[s:e] for s, e in zip(words.start[kept].tolist(), words.end[kept].tolist(), strict=True)])
-    return len(gone), int(gone.sum()), hashlib.sha256(joined).hexdigest()
+    kept, data, digest = np.flatnonzero(~gone), words.data, hashlib.sha256()
+    for i in range(0, len(kept), 1 << 16):
+        part = kept[i : i + (1 << 16)]
+        joined = b" ".join([data[s:e] for s, e in zip(words.start[part].tolist(), words.end[part].tolist(), strict=True)])
+        digest.update(b" " + joined if i else joined)
+    return len(gone), int(gone.sum()), digest.hexdigest()
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -214,6 +247,19 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def _starts_of(text: bytes, marks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows that are settled and of those that wait, by the marks of a text's anchors."""
+    settled, waiting = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k, (a, b, first) in enumerate(stretches(text, window)):
+        own = marks[marks >> (_LOCAL + 2) == k]
+        if len(own):
+            w = Windows([text[a:b]], window)
+            at, state = np.searchsorted(w.anchor, own >> 2 & ((1 << _LOCAL) - 1)), own & 3
+            settled.append(w.of(at[state != _OPEN]) + first)
+            waiting.append(w.of(at[state != _SETTLED]) + first)
+    return np.concatenate(settled), np.concatenate(waiting)
+
+
 def _first_results(marked: DataFrame, window: int) -> DataFrame:
     """Documents without open windows get their results; of the others the text goes on, with the
     starts that are settled and those still to be counted (``waiting``)."""
@@ -228,14 +274,12 @@ def _first_results(marked: DataFrame, window: int) -> DataFrame:
                         words = Words([text])
                         rows.append((*_digest(words, np.zeros(len(words.start), bool)), None, None, None))
                         continue
-                    w = Windows([text], window)
-                    marks = np.unique(np.array(marks, np.int64))
-                    at, state = np.searchsorted(w.anchor, marks >> 2), marks & 3
-                    settled, waiting = w.of(at[state != _OPEN]), w.of(at[state != _SETTLED])
+                    settled, waiting = _starts_of(text, np.unique(np.array(marks, np.int64)), window)
                     if len(waiting):
                         rows.append((None, None, None, text, settled.astype("<i4").tobytes(), waiting.astype("<i4").tobytes()))
                     else:
-                        rows.append((*_digest(w.words, covered(len(w.single), settled, window)), None, None, None))
+                        words = Words([text])
+                        rows.append((*_digest(words, covered(len(words.start), settled, window)), None, None, None))
                 types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.record_batch([part.column(0), part.column(1), part.column(4), *columns], ["doc_id", "dk", "key", "n_words", "n_removed", "kept_sha256", "text", "settled", "waiting"])
@@ -247,15 +291,22 @@ def _first_results(marked: DataFrame, window: int) -> DataFrame:
 def _waiting_windows(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_strings(batch.column(2))
-            keys, found = batch.column(1).to_numpy(zero_copy_only=False), []
-            waiting = [np.frombuffer(x, "<i4").astype(np.int64) for x in batch.column(3).to_pylist()]
-            for a, b in runs_of([len(t) for t in texts], _CHUNK):
-                words = Words(texts[a:b])
-                one, two = (window_hashes(words.hashes(k), window) for k in (0, 1))
-                at = np.concatenate([x + words.first[i] for i, x in enumerate(waiting[a:b])])
-                doc = np.repeat(np.arange(a, b), [len(x) for x in waiting[a:b]])
-                found.append((one[at], two[at], doc, at - words.first[doc - a]))
+            keys, found, parts = batch.column(1).to_numpy(zero_copy_only=False), [], []
+            for i, (text, raw) in enumerate(zip(byte_strings(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
+                waits, pieces = np.sort(np.frombuffer(raw, "<i4").astype(np.int64)), stretches(text, window)
+                ends = [*(f for _, _, f in pieces[1:]), 1 << 40]
+                for (a, b, first), end in zip(pieces, ends, strict=True):
+                    own = waits[(waits >= first) & (waits < end)]
+                    if len(own):
+                        parts.append((text[a:b], i, first, own))
+            for a, b in runs_of([len(p[0]) for p in parts], _CHUNK):
+                words = Words([p[0] for p in parts[a:b]])
+                at = np.concatenate([own - first + words.first[i] for i, (_, _, first, own) in enumerate(parts[a:b])])
+                doc, rel = np.repeat([p[1] for p in parts[a:b]], [len(p[3]) for p in parts[a:b]]), np.concatenate([p[3] for p in parts[a:b]])
+                one, two = (window_hashes(words.hashes(k), window)[at] for k in (0, 1))
+                found.append((one, two, doc, rel))
+            if not found:
+                continue
             one, two, doc, rel = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(one):
                 arrays = [pa.array(signed(one)), pa.array(signed(two)), batch.column(0).take(pa.array(doc)), pa.array(_place(keys[doc], rel)), pa.array(_flags(one, two))]
