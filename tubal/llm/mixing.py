@@ -150,7 +150,8 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(f"{seed}/draw"), F.col("place").cast("string"))), 1, 14), 16, 10).cast("long")
     drawn = sized.sparkSession.range(slots).withColumnRenamed("id", "place").withColumn("draw", F.pmod(draw, F.lit(max(slots, 1)).cast("long")))
     ranked = running_sums(drawn, [F.col("draw"), F.col("place")], {"slot": F.lit(1).cast("long")}, "mix-draws")
-    slots_df = filled.where("block_most > 0").join(ranked.select("slot", "place"), "slot")
+    filled = materialize(filled.where("block_most > 0"), "mix-slots")  # as a table it has its true size, which decides how it is joined
+    slots_df = filled.join(ranked.select("slot", "place"), "slot")
     return sources, pieces, slots_df.select("slot", F.floor(F.col("place") / shard_slots).alias("shard"), "place", "nth", "block", "block_most")
 
 
