@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tubal.functions import transforms
 from tubal.operators import factors as fx
-from tubal.operators import products, shape, threshold
+from tubal.operators import blocks, products, ragged, shape, threshold
 from tubal.plans import analytics, compression
-from tubal.sources import arrays, sinks
+from tubal.sources import arrays, sinks, text
 from tubal.streaming.slices import compress_stream
 from tubal.tensor import Matrix, dense, from_numpy, matrix_from_numpy, random_tensor, to_numpy
 
@@ -49,6 +49,8 @@ def test_matrix_parts(spark):
     m = matrix_from_numpy(spark, a)
     assert shape.get_element(m, 2, 1).first()[0] == a[2, 1]
     assert shape.set_element(m, 2, 1, -1).to_numpy()[2, 1] == -1
+    sparse = Matrix(m.entries.where("v > 100"), 4, 3)
+    assert shape.get_element(sparse, 2, 1).first()[0] == 0 and shape.set_element(sparse, 2, 1, 5).to_numpy().sum() == 5
     assert sorted(r.v for r in shape.get_row(m, 1).collect()) == sorted(a[1])
     assert np.array_equal(shape.set_column(m, 0, shape.get_column(m, 2)).to_numpy()[:, 0], a[:, 2])
     assert np.array_equal(shape.set_row(m, 0, shape.get_row(m, 3)).to_numpy()[0], a[3])
@@ -173,7 +175,7 @@ def test_files(spark, tmp_path):
         np.save(tmp_path / f"{k}.npy", a + k)
     paths = [str(tmp_path / f"{k}.npy") for k in range(2)]
     assert np.array_equal(to_numpy(arrays.read_npy(spark, paths[0], a.shape)), a)
-    series = arrays.read_npy_series(spark, paths, a.shape)
+    series = arrays.read_series(spark, paths, a.shape)
     assert np.array_equal(to_numpy(series), np.stack([a, a + 1], axis=-1))
     both = arrays.read_yearly([from_numpy(spark, a), from_numpy(spark, a + 1)])
     assert np.array_equal(to_numpy(both), np.concatenate([a, a + 1], axis=2))
@@ -224,6 +226,149 @@ def test_stream(spark, tmp_path):
     assert np.allclose(to_numpy(back), a)  # these slices have rank 2
 
 
-def test_gram_refuses_long_sides(spark):
+def test_gram_and_sketch(spark, monkeypatch):
+    r = np.random.default_rng(40)
+    a = r.standard_normal((60, 5)) @ r.standard_normal((5, 90))
+    m = matrix_from_numpy(spark, a)
+    got = np.zeros((60, 60))
+    for x in compression.gram(m).collect():
+        got[x.a, x.b] = x.g
+    assert np.allclose(got, a @ a.T)
+    want = np.linalg.svd(a, compute_uv=False)[:5] ** 2
+    energies, vectors = compression.leading_eigen(m, 5)
+    assert np.allclose(energies, want) and np.allclose(vectors @ (vectors.T @ a), a)
+    monkeypatch.setattr(compression, "GRAM_ROWS", 20)
+    t = from_numpy(spark, a.T.reshape((9, 10, 60), order="F"))
+    back, k, _ = compression.eof(t, 1e-6, k_max=8)
+    assert k == 5 and np.allclose(to_numpy(back), to_numpy(t))
+    with pytest.raises(ValueError):
+        compression.gram(m)
+
+
+def test_blocks(spark):
+    dims = (4, 3, 5, 2)
+    a = np.random.default_rng(41).standard_normal(dims)
+    b = blocks.blocks_of(from_numpy(spark, a), block_cells=25)
+    m2, m3 = counting(3, 5), counting(4, 2)
+    moved, new = blocks.transform_blocks(b, dims, [m2, m3], [2, 3])
+    want = np.einsum("kc,ijcd,ld->ijkl", m2, a, m3)
+    assert new == (4, 3, 3, 4) and np.allclose(to_numpy(blocks.cells_of(moved, new, 2)), want)
+    assert np.allclose(to_numpy(fx.to_cells(blocks.block_slices(moved, new), new)), want)
+    assert blocks.block_slices(blocks.random_blocks(spark, (6, 5, 7), block_cells=28), (6, 5, 7)).count() == 7
+
+
+def test_ragged(spark):
+    ranks = [4, 3, 0, 2, 0, 3]
+    values = np.arange(5.0 * sum(ranks))
+    t = ragged.ragged_tensor(spark, values, 5, ranks)
+    assert [r.v for r in ragged.flat(t).orderBy("at").collect()] == values.tolist()
+    one = ragged.get_slice(t, 1).first()
+    assert (one.nrow, one.ncol, list(one.data)) == (5, 3, values[20:35].tolist())
+    changed = ragged.with_slice(t, 3, [-1.0] * 10)
+    assert [r.v for r in ragged.flat(changed).orderBy("at").collect()] == [*values[:35], *[-1.0] * 10, *values[45:]]
+    assert list(ragged.ragged_tensor(spark, values, 5, ranks, True).where("slice = 1").first()[1:3]) == [3, 5]
+    m = ragged.ragged_matrix(spark, values[:9], [2, 3, 2, 2])
+    assert ragged.get_value(m, 2, 1).first()[0] == 4 and [r.v for r in ragged.get_column(m, 3).orderBy("r").collect()] == [7, 8]
+    assert list(ragged.set_value(m, 0, 2, 9).where("c = 2").first().data) == [9, 6]
+    assert list(ragged.with_column(m, 0, [3, 4]).where("c = 0").first().data) == [3, 4]
+    for bad in (lambda: ragged.get_value(m, 2, 0), lambda: ragged.set_value(m, 2, 0, 1), lambda: ragged.with_slice(t, 1, [1.0]), lambda: ragged.with_column(m, 1, [1.0])):
+        with pytest.raises(Exception):
+            bad().collect()
+    with pytest.raises(ValueError):
+        ragged.ragged_matrix(spark, [1.0], [2])
+
+
+def test_normalised_and_levels(spark):
+    a = counting(3, 4, 5)
+    t = from_numpy(spark, a)
+    assert np.allclose(to_numpy(shape.normalised(t)), a / np.linalg.norm(a))
+    assert np.array_equal(to_numpy(shape.normalised(t.with_cells(t.cells.where("v < 0")))), np.zeros(a.shape))
+    assert np.array_equal(to_numpy(shape.at_level(t, 2, [1000, 925, 850, 700, 600], 850)), a[:, :, 2])
     with pytest.raises(ValueError):
-        compression._eigen(Matrix(spark.createDataFrame([(0, 0, 1.0)], "r int, c int, v double"), 1 << 20, 1))
+        shape.at_level(t, 2, [1000, 925, 850, 700, 600], 500)
+
+
+LOG = """alg      : two
+mtype    : dct
+k        : None
+tol      : 0.01
+dname    : air
+dfile    : /data/air
+perm_mode: default (identity)
+Tensor shape: (73, 144, 17)
+Time to generate transformation matrices: 0.5
+Time to convert to dense tensor: 1.25
+[two_compress] ttm_modes [2, 3]
+[two_compress] Time for TTM on mode 2 : 1.5
+[two_compress] Time for TTM on mode 3 : 2.5e-1
+[two_compress] Time for slicewise_svdvals: 3
+[two_compress] Time for thresholds: 0.25
+[two_compress] Time for slicewise_svdks: 4
+Compression ratio: 12.5
+[two_reconstruct] Time to reconstruct A_hat: 5
+[two_reconstruct] Time for TTM on mode 3 : 6
+[two_reconstruct] Time for TTM on mode 2 : 7
+Absolute err: 1e-3
+Relative err: {err}
+Norm of original tensor: 100
+Norm of reconstructed tensor: 99.5
+"""
+
+
+def test_logs(spark, tmp_path):
+    names = {"air_two_0.01_dct_0123_64_run3": LOG.format(err="0.009"), "air_two_0.01_dct_0123_8": LOG.format(err="-nan"), "odd_run1": LOG.split("Compression")[0], "x": "?"}
+    for name, content in names.items():
+        (tmp_path / name).write_text(content)
+    logs = text.read_logs(spark, str(tmp_path))
+    got = {r.filename: r for r in analytics.parse_logs(logs).collect()}
+    assert set(got) == set(names) and len(analytics.LOG_COLUMNS) == 31
+    r = got["air_two_0.01_dct_0123_64_run3"]
+    assert r.complete and (r.dname_f, r.k_or_tol_f, r.omp_threads_f, r.run_id, r.tensor_shape, r.perm_mode, r.k) == ("air", "0.01", "64", "run3", "(73, 144, 17)", "default (identity)", "None")
+    assert (r.time_compress_ttm_total, r.time_reconstruct_ttm_total, r.time_slicewise_svd, r.time_slicewise_svdks, r.time_reconstruct_matmul, r.compression_ratio) == (1.75, 13, None, 4, 5, 12.5)
+    assert not got["air_two_0.01_dct_0123_8"].complete and got["air_two_0.01_dct_0123_8"].run_id is None
+    assert not got["odd_run1"].complete and got["odd_run1"].dname_f is None and got["odd_run1"].time_reconstruct_ttm_total is None
+    times = analytics.phase_times(logs.where(F.col("file").endswith("run3"))).collect()
+    assert {(x.phase, x.mode, x.time_sec) for x in times} == {("compress", 2, 1.5), ("compress", 3, 0.25), ("reconstruct", 3, 6), ("reconstruct", 2, 7)}
+
+
+def test_csv_upsert_and_saved(spark, tmp_path):
+    path, schema, keys = str(tmp_path / "t"), "dname string, mode int, time_sec double", ["dname", "mode"]
+    row = lambda *r: spark.createDataFrame([r], schema)
+    text.upsert_csv(spark, path, row("a", 2, text.STARTED), keys, schema)
+    text.upsert_csv(spark, path, row("a", 3, 7.5), keys, schema)
+    text.upsert_csv(spark, path, row("a", 2, 1.5), keys, schema)
+    got = text.read_csv(spark, path, schema)
+    assert got.columns == ["dname", "mode", "time_sec"] and {tuple(r) for r in got.collect()} == {("a", 2, 1.5), ("a", 3, 7.5)}
+    made = []
+    for _ in range(2):
+        text.saved_or(spark, str(tmp_path / "s"), lambda: made.append(1) or spark.range(3)).count()
+    assert made == [1]
+
+
+def test_years(spark, tmp_path):
+    r, paths, want = np.random.default_rng(42), [], []
+    for year in (2003, 2004):
+        raw = r.random((4 * (366 if year == 2004 else 365), 2, 3, 1))  # time, level, lat, lon
+        np.save(tmp_path / f"air.{year}.npy", raw)
+        paths.append(str(tmp_path / f"air.{year}.npy"))
+        a = raw.transpose(2, 3, 1, 0)
+        a = np.delete(a, slice(236, 240), axis=3) if year == 2004 else a
+        want.append(a.reshape((3, 1, 2, 4, 365), order="F"))
+    t = arrays.read_years(spark, paths, 2003, (3, 1, 2), axes=(2, 3, 1, 0))
+    assert t.dims == (3, 1, 2, 4, 365, 2) and np.array_equal(to_numpy(t), np.stack(want, axis=-1))
+
+
+def test_extremes_of_missing_cells(spark):
+    a = np.zeros((1, 2, 200))
+    a[0, 0, :3], a[0, 1] = [5, -7, 9], np.arange(200)
+    t = from_numpy(spark, a)
+    sparse = t.with_cells(t.cells.where("v <> 0"))
+    one, two = (sorted(map(tuple, analytics.extremes(x, x).select("i1", "n_extreme", "max_err").collect())) for x in (t, sparse))
+    assert one == two
+
+
+def test_threshold_of_equal_values(spark):
+    values = [1.0] * 500 + [1.0 + k / 5000 for k in range(100)] + [0.0] * 50
+    df = spark.createDataFrame([(k, 0, v) for k, v in enumerate(values)], "slice long, q int, sigma double")
+    for tol in (0.05, 0.5, 0.92, 0.97):
+        assert threshold.cutoff(df, tol).first()[0] == pytest.approx(brute_cutoff(np.array(values), tol))

@@ -22,7 +22,7 @@ def dct(spark: SparkSession, n: int) -> Matrix:
     """The orthonormal DCT-II; its transpose is its inverse."""
     scale = F.when(F.col("r") == 0, F.lit(math.sqrt(1 / n))).otherwise(F.lit(math.sqrt(2 / n)))
     v = scale * F.cos(F.lit(math.pi) * (2 * F.col("c") + 1) * F.col("r") / F.lit(2.0 * n))
-    return Matrix(_grid(spark, n, n).withColumn("v", v), n, n)
+    return Matrix(_grid(spark, n, n).withColumn("v", v), n, n, dct_array(n))
 
 
 def dct_array(n: int) -> np.ndarray:

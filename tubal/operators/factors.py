@@ -19,6 +19,17 @@ from tubal.tensor import Matrix, Tensor, index_names, linear_index, slice_number
 FACTORS = "slice long, nrow int, ncol int, k int, u array<double>, s array<double>, v array<double>"
 
 
+#: Cells that a task turns into arrays at a time.
+FRAME_CELLS = 1 << 22
+
+
+def _bounded(frame: pd.DataFrame, cells: int) -> Iterator[pd.DataFrame]:
+    """Parts of a frame whose rows have so many cells each."""
+    step = max(1, FRAME_CELLS // max(1, cells))
+    for a in range(0, len(frame), step):
+        yield frame.iloc[a : a + step]
+
+
 def to_slices(t: Tensor) -> DataFrame:
     """One row per frontal slice that has cells, and one for every other, all zero."""
     rows, columns = t.dims[:2]
@@ -27,7 +38,7 @@ def to_slices(t: Tensor) -> DataFrame:
     size = rows * columns
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (part for whole in frames for part in _bounded(whole, size)):
             data = []
             for at, v in zip(frame["at"], frame["v"], strict=True):
                 x = np.zeros(size)
@@ -49,11 +60,13 @@ def matrix_slice(m: Matrix) -> DataFrame:
 
 def _stacks(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of one shape, and their matrices."""
-    for (m, n), at in frame.groupby(["nrow", "ncol"]).indices.items():
-        flat = np.stack([np.asarray(frame["data"].iloc[i], float) for i in at])
-        if not np.isfinite(flat).all():
-            raise ValueError("a slice has cells that are not finite")
-        yield at, flat.reshape(len(at), n, m).transpose(0, 2, 1)
+    for (m, n), every in frame.groupby(["nrow", "ncol"]).indices.items():
+        step = max(1, FRAME_CELLS // max(1, m * n))
+        for at in (every[a : a + step] for a in range(0, len(every), step)):
+            flat = np.stack([np.asarray(frame["data"].iloc[i], float) for i in at])
+            if not np.isfinite(flat).all():
+                raise ValueError("a slice has cells that are not finite")
+            yield at, flat.reshape(len(at), n, m).transpose(0, 2, 1)
 
 
 def _signed(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +132,7 @@ def multiply(factors: DataFrame) -> DataFrame:
     """Slice rows of u diag(s) v' ; rank 0 gives zeros."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (part for whole in frames for part in _bounded(whole, int((whole["nrow"] * whole["ncol"]).max() or 1) if len(whole) else 1)):
             data = []
             for m, n, k, u, s, v in zip(*(frame[c] for c in ("nrow", "ncol", "k", "u", "s", "v")), strict=True):
                 if k:

@@ -81,10 +81,16 @@ def ttm_tubes(t: Tensor, matrices: Sequence[np.ndarray], modes: Sequence[int], b
     return t.with_cells(done.select(*columns, "v"), tuple(out_dims))
 
 
-def transform(t: Tensor, matrices: Sequence[Matrix], modes: Sequence[int], strategy: str = "cells") -> Tensor:
-    """Mode products one after the other; none: the tensor as it is."""
+def transform(t: Tensor, matrices: Sequence[Matrix], modes: Sequence[int], strategy: str = "auto") -> Tensor:
+    """Mode products one after the other; none: the tensor as it is. ``auto`` takes ``tubes`` where the modes are
+    trailing ones, the matrices small enough to ship and a tube fits a task, else ``cells``."""
     if not matrices:
         return t
+    if strategy == "auto":
+        sizes = {mode: max(m.rows, m.columns) for m, mode in zip(matrices, modes, strict=True)}
+        tube = prod(sizes.get(k, d) for k, d in enumerate(t.dims) if k >= 2)
+        fits = min(modes) >= 2 and tube <= BLOCK_CELLS and all(m.rows * m.columns <= BROADCAST_ENTRIES for m in matrices)
+        strategy = "tubes" if fits else "cells"
     if strategy == "tubes":
         return ttm_tubes(t, [m.to_numpy() for m in matrices], modes)
     for m, mode in sorted(zip(matrices, modes, strict=True), key=lambda x: x[0].rows / x[0].columns):

@@ -17,15 +17,33 @@ def matrix_norm(m: Matrix) -> DataFrame:
     return m.entries.agg(F.sqrt(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).alias("norm"))
 
 
+def normalised(t: Tensor) -> Tensor:
+    """Divided by its Frobenius norm; a zero tensor stays as it is."""
+    cells = t.cells.join(F.broadcast(norm(t)))  # one row
+    return t.with_cells(cells.withColumn("v", F.when(F.col("norm") > 0, F.col("v") / F.col("norm")).otherwise(F.col("v"))))
+
+
+def at_level(t: Tensor, mode: int, levels: list, value) -> Tensor:
+    """The tensor without a mode, where that mode's position stands for ``value`` in the list ``levels``."""
+    if value not in levels or len(levels) != t.dims[mode]:
+        raise ValueError(f"no level {value!r} among the {t.dims[mode]} of mode {mode}: {levels}")
+    kept = [n for n in t.modes if n != t.mode(mode)]
+    cells = t.cells.where(F.col(t.mode(mode)) == levels.index(value)).select(*[F.col(n).alias(f"i{k}") for k, n in enumerate(kept)], "v")
+    return t.with_cells(cells, tuple(d for k, d in enumerate(t.dims) if k != mode))
+
+
 def get_element(m: Matrix, r: int, c: int) -> DataFrame:
     if not (0 <= r < m.rows and 0 <= c < m.columns):
         raise ValueError(f"no element {r}, {c} in a {m.rows} x {m.columns} matrix")
-    return m.entries.where((F.col("r") == r) & (F.col("c") == c)).select("v")
+    return m.entries.where((F.col("r") == r) & (F.col("c") == c)).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
 
 
 def set_element(m: Matrix, r: int, c: int, value: float) -> Matrix:
-    here = (F.col("r") == r) & (F.col("c") == c)
-    return Matrix(m.entries.withColumn("v", F.when(here, F.lit(float(value))).otherwise(F.col("v"))), m.rows, m.columns)
+    if not (0 <= r < m.rows and 0 <= c < m.columns):
+        raise ValueError(f"no element {r}, {c} in a {m.rows} x {m.columns} matrix")
+    kinds = {f.name: f.dataType for f in m.entries.schema.fields}
+    one = m.entries.sparkSession.range(1).select(F.lit(r).cast(kinds["r"]).alias("r"), F.lit(c).cast(kinds["c"]).alias("c"), F.lit(float(value)).alias("v"))
+    return Matrix(m.entries.where(~((F.col("r") == r) & (F.col("c") == c))).select("r", "c", "v").unionByName(one), m.rows, m.columns)
 
 
 def get_row(m: Matrix, r: int) -> DataFrame:

@@ -9,32 +9,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values are first summed in bins of the exponent, so many an octave; only one bin is sorted.
-BINS = 64
+#: Values are summed in bins of the exponent, so many an octave, and those of one bin in so many parts of it.
+BINS, PARTS = 64, 4096
 
 
-def cutoff(sigma: DataFrame, tol: float, bins: int = BINS) -> DataFrame:
+def _crossed(rows: DataFrame, part: str, before: DataFrame) -> DataFrame:
+    """One row: of the parts in order the first with which the sum of ``energy`` passes the limit; and ``base``, the
+    energy, and ``top``, the largest value, of all parts before it. ``before`` has ``limit, base, top`` so far."""
+    sums = rows.groupBy(part).agg(F.sum("energy").alias("energy"), F.max("sigma").alias("most"))
+    upto = Window.orderBy(part)  # their number does not follow the number of values
+    through = sums.withColumn("through", F.sum("energy").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    through = through.withColumn("below", F.max("most").over(upto.rowsBetween(Window.unboundedPreceding, -1)))
+    start = before.select("limit", F.col("base").alias("_base"), F.col("top").alias("_top"))
+    found = through.join(F.broadcast(start)).where((F.col("limit") > 0) & (F.col("_base") + F.col("through") > F.col("limit")))  # one row
+    first = found.agg(F.min(F.struct(part, "energy", "through", "below", "limit", "_base", "_top")).alias("x")).select("x.*")
+    return first.select(part, "limit", (F.col("_base") + F.col("through") - F.col("energy")).alias("base"), F.coalesce("below", "_top").alias("top"))
+
+
+def cutoff(sigma: DataFrame, tol: float, bins: int = BINS, parts: int = PARTS) -> DataFrame:
     """``cutoff``, one row, from a column ``sigma``.
 
-    Sums by bin are prefix-summed first: their number follows the range of the values, not their count.
-    Then the values of the one bin in which the limit is crossed are sorted."""
+    Equal values are one row with their number from the first shuffle on. Sums by bin are prefix-summed,
+    then sums by parts of the one bin in which the limit is crossed; only values of one part are sorted."""
     if not 0 < tol < 1:
         raise ValueError("the tolerance lies between 0 and 1")
+    counted = sigma.groupBy("sigma").agg(F.count(F.lit(1)).alias("n")).withColumn("energy", F.col("sigma") * F.col("sigma") * F.col("n"))
     bin_of = F.when(F.col("sigma") > 0, F.floor(F.log2("sigma") * bins)).otherwise(F.lit(-(1 << 40))).cast("long")
-    binned = sigma.select("sigma", bin_of.alias("bin"))
-    sums = binned.groupBy("bin").agg(F.sum(F.col("sigma") * F.col("sigma")).alias("energy"), F.max("sigma").alias("top"))
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    prefix = sums.withColumn("through", F.sum("energy").over(upto)).withColumn("top_before", F.max("top").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)))
-    total = prefix.agg(F.max("through").alias("total"))
-    crossing = (
-        prefix.join(F.broadcast(total))  # one row
-        .where((F.col("total") > 0) & (F.col("through") > F.lit(tol * tol) * F.col("total")))
-        .agg(F.min(F.struct("bin", "energy", "through", "top_before", "total")).alias("x"))
-        .select("x.*")
-    )
-    inside = binned.join(F.broadcast(crossing), "bin").withColumn("within", F.sum(F.col("sigma") * F.col("sigma")).over(Window.partitionBy("bin").orderBy("sigma").rowsBetween(Window.unboundedPreceding, 0)))
-    droppable = (F.col("through") - F.col("energy") + F.col("within")) <= F.lit(tol * tol) * F.col("total")
-    return inside.agg(F.coalesce(F.max(F.when(droppable, F.col("sigma"))), F.max("top_before"), F.lit(0.0)).alias("cutoff"))
+    binned = counted.withColumn("bin", bin_of)
+    limit = F.coalesce(F.sum("energy"), F.lit(0.0)) * F.lit(tol * tol)
+    start = counted.agg(limit.alias("limit")).select("limit", F.lit(0.0).alias("base"), F.lit(None).cast("double").alias("top"))
+    one = _crossed(binned, "bin", start)
+    low = F.when(F.col("sigma") > 0, F.pow(F.lit(2.0), F.col("bin") / bins)).otherwise(F.lit(1.0))
+    inside = binned.join(F.broadcast(one.select("bin")), "bin").withColumn("part", F.floor((F.col("sigma") / low - 1) * (parts / (2 ** (1 / bins) - 1))))
+    two = _crossed(inside, "part", one)
+    order = Window.partitionBy("part").orderBy("sigma").rowsBetween(Window.unboundedPreceding, -1)
+    last = inside.join(F.broadcast(two), "part").withColumn("within", F.coalesce(F.sum("energy").over(order), F.lit(0.0)))
+    # Of equal values one at least must be able to go.
+    droppable = F.col("base") + F.col("within") + F.col("sigma") * F.col("sigma") <= F.col("limit")
+    return last.agg(F.coalesce(F.max(F.when(droppable, F.col("sigma"))), F.max("top"), F.lit(0.0)).alias("cutoff"))
 
 
 def ranks(sigma: DataFrame, tol: float) -> DataFrame:

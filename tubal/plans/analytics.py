@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tubal.tensor import Tensor
-
-#: Names of the timed phases in a log, in the order in which they run. Fixed values.
-PHASES = ("transform", "svdvals", "thresholds", "vectors", "matmul", "inverse")
-
+from tubal.tensor import Tensor, dense, index_names
 
 def extremes(original: Tensor, back: Tensor, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Relative errors at extreme events, by the first two indexes: ``i0, i1, n_extreme, mean_err,
-    max_err, median_err``. Extreme is what lies at or beyond the interpolated percentiles."""
+    max_err, median_err``. Extreme is what lies at or beyond the interpolated percentiles. Cells that are
+    missing are zeros, in both tensors; an error relative to zero is null and left out of the means."""
+    original = dense(original)
     ends = original.cells.groupBy("i0", "i1").agg(F.percentile("v", F.lit(low)).alias("lo"), F.percentile("v", F.lit(high)).alias("hi"))
     joined = original.cells.join(ends, ["i0", "i1"]).where((F.col("v") <= F.col("lo")) | (F.col("v") >= F.col("hi")))
-    joined = joined.join(back.cells.withColumnRenamed("v", "w"), original.modes)
+    joined = joined.join(back.cells.withColumnRenamed("v", "w"), original.modes, "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     err = F.when(F.col("v") != 0, F.abs(F.col("v") - F.col("w")) / F.abs(F.col("v")))
     rel = joined.select("i0", "i1", err.alias("e"))
     return rel.groupBy("i0", "i1").agg(F.count(F.lit(1)).alias("n_extreme"), F.avg("e").alias("mean_err"), F.max("e").alias("max_err"), F.median("e").alias("median_err"))
@@ -36,6 +34,17 @@ def fold_calendar(steps: DataFrame, per_day: int = 4) -> DataFrame:
     return kept.withColumn("doy", F.floor(step / per_day).cast("int")).withColumn("tod", F.pmod(step, F.lit(per_day)).cast("int")).drop("step")
 
 
+def calendar_tensor(steps: DataFrame, lead: tuple[int, ...], first_year: int, years: int, per_day: int = 4) -> Tensor:
+    """``i0 ... , year, step, v`` (``lead`` the sizes of the index columns) as a tensor with three modes more:
+    time of day, day of the year (365, without the 29th of February) and year. Years outside the range are an error."""
+    folded = fold_calendar(steps, per_day)
+    year = F.col("year") - first_year
+    fits = F.assert_true(year.between(0, years - 1), F.lit("a year outside the range"))
+    n = len(lead)
+    placed = folded.select(*index_names(n), F.col("tod").alias(f"i{n}"), F.col("doy").alias(f"i{n + 1}"), F.coalesce(fits.cast("int"), year.cast("int")).alias(f"i{n + 2}"), "v")
+    return Tensor(placed.groupBy(*index_names(n + 3)).agg(F.sum("v").alias("v")), (*lead, per_day, 365, years))
+
+
 def means(bench: DataFrame, keys: list[str], time: str = "time_sec") -> DataFrame:
     """Mean time of the runs that succeeded (above zero)."""
     return bench.where(F.col(time) > 0).groupBy(*keys).agg(F.avg(time).alias("mean_sec"), F.count(F.lit(1)).alias("runs"))
@@ -65,35 +74,77 @@ def phase_stack(runs: DataFrame, keys: list[str], phases: list[str]) -> DataFram
     return long.withColumn("stacked_sec", F.sum("mean_sec").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+_NUMBER = r"([-+]?(?:[0-9.]+(?:[eE][-+]?[0-9]+)?|nan|inf))"
+#: Lines of a log by the column that they fill; sums are over all modes. Fixed values.
+_TEXTS = {
+    "alg": r"alg\s+:\s+(\S+)", "mtype": r"mtype\s+:\s+(\S+)", "k": r"k\s+:\s+(\S+)", "tol": r"tol\s+:\s+(\S+)", "dname": r"dname\s+:\s+(\S+)",
+    "dfile": r"dfile\s+:\s+(\S+)", "perm_mode": r"perm_mode\s*:\s+(.+)", "tensor_shape": r"Tensor shape:\s+(.+)",
+}
+_NUMBERS = {
+    "time_transform_matrix": "Time to generate transformation matrices:", "time_data_to_tensor": r"Time to convert to \S+ tensor:",
+    "compression_ratio": "Compression ratio:",
+}
+_COMPRESS = {
+    "time_slicewise_svd": "Time for slicewise SVD:", "time_slicewise_svdvals": "Time for slicewise_svdvals:",
+    "time_thresholds": "Time for thresholds:", "time_slicewise_svdks": "Time for slicewise_svdks:",
+}
+_RECONSTRUCT = {"time_reconstruct_matmul": "Time to reconstruct A_hat:"}
+_ERRORS = {
+    "absolute_err": "Absolute err:", "relative_err": "Relative err:", "norm_original": "Norm of original tensor:",
+    "norm_reconstructed": "Norm of reconstructed tensor:",
+}
+_NAME_PARTS = ["dname_f", "alg_f", "k_or_tol_f", "mtype_f", "perm_mode_f", "omp_threads_f"]
+_MODE = r"Time for TTM on mode (\d+) :"
+LOG_COLUMNS = [
+    "filename", "complete", *_NAME_PARTS, "run_id", *_TEXTS, "time_transform_matrix", "time_data_to_tensor", "compression_ratio",
+    "time_compress_ttm_total", *_COMPRESS, "time_reconstruct_matmul", "time_reconstruct_ttm_total", *_ERRORS,
+]
+
+
+def _sections(text: Column) -> tuple[Column, Column]:
+    """A log up to the first line of the reconstruction, and from there on."""
+    return F.regexp_replace(text, r"(?ms)^\[\w+_reconstruct\].*", ""), F.regexp_extract(text, r"(?ms)(^\[\w+_reconstruct\].*)", 1)
+
+
 def parse_logs(logs: DataFrame, name: str = "file", text: str = "content") -> DataFrame:
-    """One row per log: what its name says (``alg_dname_mtype_threads[_runN]``), its parameters, times,
-    ratio and error. Times of the inverse transforms are those after the line that starts reconstruction."""
-    number = r"([-+0-9.eE]+|nan|inf)"
-    parts = F.split(F.regexp_replace(F.element_at(F.split(F.col(name), "/"), -1), r"\.[a-z]+$", ""), "_")
-    run = F.regexp_extract(F.col(name), r"_run(\d+)", 1)
-    halves = F.split(F.col(text), r"(?m)^reconstruct.*$", 2)
-
-    def first(pattern: str) -> Column:
-        found = F.regexp_extract(F.col(text), rf"(?m)^{pattern}\s*[:=]\s*{number}", 1)
-        return F.when(found == "", None).otherwise(found).cast("double")
-
-    def total(half: Column, pattern: str) -> Column:
-        found = F.regexp_extract_all(half, F.lit(rf"(?m)^{pattern}\s*[:=]\s*{number}"), F.lit(1))
-        return F.aggregate(F.transform(found, lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b)
-
-    err = first("relative error")
-    return logs.select(
-        F.col(name), parts[0].alias("alg"), parts[1].alias("dname"), parts[2].alias("mtype"), parts[3].cast("int").alias("threads"),
-        F.when(run == "", 1).otherwise(run.cast("int")).alias("run_id"), first("tol").alias("tol"),
-        total(halves[0], "ttm time").alias("transform"), first("svdvals time").alias("svdvals"), first("thresholds time").alias("thresholds"),
-        first("svd time").alias("vectors"), first("matmul time").alias("matmul"),
-        total(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), "ttm time").alias("inverse"),
-        first("compression ratio").alias("compression_ratio"), err.alias("relative_err"),
-        (err.isNotNull() & ~F.isnan(err) & (F.abs(err) < float("inf"))).alias("complete"),
-    )
+    """One row per log, ``LOG_COLUMNS``: what its name says (six parts joined by ``_``, then perhaps
+    ``_runN``; nulls if it has fewer), its parameters, times, ratio and errors. What a log lacks is null.
+    It is complete where ratio and both errors are there and finite."""
+    content = F.col(text)
+    compress, reconstruct = _sections(content)
+    base = F.element_at(F.split(F.col(name), "/"), -1)
+    run = F.regexp_extract(base, r"_(run\d+)$", 1)
+    parts = F.split(F.regexp_replace(base, r"_run\d+$", ""), "_")
+
+    def found(source: Column, pattern: str) -> Column:
+        value = F.regexp_extract(source, f"(?m)^{pattern}", 1)
+        return F.when(value != "", value)
+
+    def number(source: Column, label: str, section: str = "") -> Column:
+        return found(source, section + label + r"\s+" + _NUMBER).try_cast("double")
+
+    def total(source: Column, section: str) -> Column:
+        values = F.regexp_extract_all(source, F.lit(f"(?m)^{section}{_MODE}\\s+{_NUMBER}"), F.lit(2))
+        return F.when(F.size(values) > 0, F.aggregate(F.transform(values, lambda x: x.try_cast("double")), F.lit(0.0), lambda a, b: a + b))
+
+    ahead, back = r"\[\w+_compress\] ", r"\[\w+_reconstruct\] "
+    columns = {"filename": base} | {n: F.when(F.size(parts) >= 6, parts[i]) for i, n in enumerate(_NAME_PARTS)}
+    columns["run_id"] = F.when((run != "") & (F.size(parts) >= 6), run)
+    columns |= {n: found(content, p) for n, p in _TEXTS.items()} | {n: number(content, p) for n, p in (_NUMBERS | _ERRORS).items()}
+    columns |= {n: number(compress, p, ahead) for n, p in _COMPRESS.items()} | {n: number(reconstruct, p, back) for n, p in _RECONSTRUCT.items()}
+    columns |= {"time_compress_ttm_total": total(compress, ahead), "time_reconstruct_ttm_total": total(reconstruct, back)}
+    rows = logs.select(*[c.alias(n) for n, c in columns.items()])
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("relative_err", "absolute_err", "compression_ratio")]
+    return rows.withColumn("complete", finite[0] & finite[1] & finite[2]).select(*LOG_COLUMNS)
 
 
 def phase_times(logs: DataFrame, name: str = "file", text: str = "content") -> DataFrame:
-    """Each mode product's time in a log, in order: ``file, nth, time_sec``."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"(?m)^ttm time\s*[:=]\s*([-+0-9.eE]+)"), F.lit(1))
-    return logs.select(F.col(name), F.posexplode(found).alias("nth", "t")).select(name, "nth", F.col("t").cast("double").alias("time_sec"))
+    """Each mode product's time in a log: ``file, phase`` (compress or reconstruct), ``mode, time_sec``."""
+    out = None
+    for phase, source in zip(("compress", "reconstruct"), _sections(F.col(text)), strict=True):
+        pattern = rf"(?m)^\[\w+_{phase}\] {_MODE}\s+{_NUMBER}"
+        both = F.arrays_zip(*[F.regexp_extract_all(source, F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "mode"), (2, "time"))])
+        found = logs.select(F.col(name), F.lit(phase).alias("phase"), F.explode(both).alias("x"))
+        found = found.select(name, "phase", F.col("x.mode").cast("int").alias("mode"), F.col("x.time").try_cast("double").alias("time_sec"))
+        out = found if out is None else out.unionByName(found)
+    return out

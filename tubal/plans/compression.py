@@ -6,10 +6,11 @@ truncated: to a rank, or to what a relative error allows over all slices togethe
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +19,17 @@ from tubal.operators import factors as fx
 from tubal.operators import products, shape, threshold
 from tubal.tensor import Matrix, Tensor, matrix_from_numpy
 
-#: A tube that is longer than this in the modes to transform goes mode by mode.
-FUSED_TUBE = 1 << 18
-
-
 @dataclass(frozen=True)
 class Compressed:
     factors: DataFrame
     dims: tuple[int, ...]  # in the transform domain
     inverses: list[Matrix]
     modes: list[int]
+    kept: DataFrame | None = None  # what was persisted on the way
+
+    def unpersist(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 def mode_transforms(t: Tensor, kind: str, modes: Sequence[int] | None = None) -> tuple[list[Matrix], list[Matrix], list[int]]:
@@ -47,7 +49,7 @@ def mode_transforms(t: Tensor, kind: str, modes: Sequence[int] | None = None) ->
     raise ValueError(f"no transform {kind!r}")
 
 
-def compress(t: Tensor, kind: str = "dct", modes: Sequence[int] | None = None, *, rank: int | None = None, tol: float | None = None, strategy: str = "cells") -> Compressed:
+def compress(t: Tensor, kind: str = "dct", modes: Sequence[int] | None = None, *, rank: int | None = None, tol: float | None = None, strategy: str = "auto") -> Compressed:
     """Give either ``rank`` or ``tol``. The tolerance bounds the relative error of the whole tensor
     where the transform is orthonormal."""
     if (rank is None) == (tol is None):
@@ -58,12 +60,12 @@ def compress(t: Tensor, kind: str = "dct", modes: Sequence[int] | None = None, *
     if rank is not None:
         return Compressed(fx.decompose(slices, rank), hat.dims, inverse, modes)
     # One decomposition serves both the cut-off and the factors.
-    full = fx.decompose(slices).cache()
+    full = fx.decompose(slices).persist()
     ks = threshold.ranks(fx.sigma_rows(full), tol)
-    return Compressed(fx.truncate(full, ks), hat.dims, inverse, modes)
+    return Compressed(fx.truncate(full, ks), hat.dims, inverse, modes, full)
 
 
-def reconstruct(c: Compressed, strategy: str = "cells") -> Tensor:
+def reconstruct(c: Compressed, strategy: str = "auto") -> Tensor:
     return products.transform(fx.to_cells(fx.multiply(c.factors), c.dims), c.inverses, c.modes, strategy)
 
 
@@ -84,28 +86,109 @@ def errors(a: Tensor, b: Tensor) -> DataFrame:
     return sums.select("abs_err", (F.col("abs_err") / F.col("norm")).alias("relative_err"), "norm", "norm_back")
 
 
+def _summed(m: Matrix, width: int, add) -> DataFrame:
+    """``a, data``: the rows of a matrix of ``width`` columns that is the sum of ``add(X, columns)`` over blocks X of
+    whole columns. Each task adds its blocks up first, so as many rows are shuffled as tasks times rows."""
+
+    count = m.rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = None, None
+
+        def blocks(t: pa.Table) -> None:
+            nonlocal total
+            columns, at = np.unique(t.column("c").to_numpy(), return_inverse=True)
+            x = np.zeros((count, len(columns)))
+            np.add.at(x, (t.column("r").to_numpy(), at), t.column("v").to_numpy())
+            step = max(1, products.BLOCK_CELLS // max(count, width))
+            for k in range(0, len(columns), step):
+                part = add(x[:, k : k + step], columns[k : k + step])
+                total = part if total is None else total + part
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            c = t.column("c").to_numpy()
+            cut = int(np.searchsorted(c, c[-1])) if len(c) else 0  # the last column may go on
+            if t.num_rows >= products.BLOCK_CELLS // 4 and cut:
+                blocks(t.slice(0, cut))
+                t = t.slice(cut)
+            held = t
+        if held is not None and held.num_rows:
+            blocks(held)
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(len(total))), pa.array([r.tobytes() for r in total], pa.binary())], ["a", "data"])
+
+    def sum_up(key: tuple, table: pa.Table) -> pa.Table:
+        data = np.sum([np.frombuffer(x, np.float64) for x in table.column("data").to_pylist()], axis=0)
+        return pa.table({"a": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([data.tobytes()], pa.binary())})
+
+    entries = m.entries.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("v").cast("double").alias("v"))
+    parts = entries.repartition("c").sortWithinPartitions("c").mapInArrow(run, "a long, data binary")
+    return parts.groupBy("a").applyInArrow(sum_up, "a long, data binary")
+
+
+def _array(rows: DataFrame, count: int, width: int) -> np.ndarray:
+    table = rows.toArrow()
+    out = np.zeros((count, width))
+    for a, data in zip(table.column("a").to_pylist(), table.column("data").to_pylist(), strict=True):
+        out[a] = np.frombuffer(data, np.float64)
+    return out
+
+
+#: A Gram matrix of more rows than this is not made; a sketch of so many entries at most is.
+GRAM_ROWS, SKETCH_ENTRIES = 4096, 1 << 24
+
+
+def _gram_rows(m: Matrix) -> DataFrame:
+    if m.rows > GRAM_ROWS:
+        raise ValueError(f"a side of {m.rows} is too long for a Gram matrix")
+    return _summed(m, m.rows, lambda x, _: x @ x.T)
+
+
 def gram(m: Matrix) -> DataFrame:
-    """``a, b, g``: M M', by rows."""
-    left = m.entries.select("c", F.col("r").alias("a"), F.col("v").alias("x"))
-    right = m.entries.select("c", F.col("r").alias("b"), F.col("v").alias("y"))
-    return left.join(right, "c").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
+    """``a, b, g``: M M', by rows, without zeros."""
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                g = np.frombuffer(data, np.float64)
+                b = np.flatnonzero(g)
+                yield pa.record_batch([pa.array(np.full(len(b), a)), pa.array(b), pa.array(g[b])], ["a", "b", "g"])
 
-#: A Gram matrix of more rows than this is not sent to the driver.
-GRAM_ROWS = 4096
+    return _gram_rows(m).mapInArrow(unpack, "a long, b long, g double")
+
+
+def _signs(u: np.ndarray) -> np.ndarray:
+    top = np.take_along_axis(u, np.abs(u).argmax(axis=0)[None, :], axis=0)
+    return u * np.where(top < 0, -1.0, 1.0)
 
 
 def _eigen(m: Matrix) -> tuple[np.ndarray, np.ndarray]:
     """Squared singular values, descending, and left singular vectors, of a matrix with few rows."""
-    if m.rows > GRAM_ROWS:
-        raise ValueError(f"a side of {m.rows} is too long for a Gram matrix; fold the mode first")
-    g = np.zeros((m.rows, m.rows))
-    for r in gram(m).collect():
-        g[r.a, r.b] = r.g
+    g = _array(_gram_rows(m), m.rows, m.rows)
     w, u = np.linalg.eigh((g + g.T) / 2)
-    w, u = np.maximum(w[::-1], 0), u[:, ::-1]
-    top = np.take_along_axis(u, np.abs(u).argmax(axis=0)[None, :], axis=0)
-    return w, u * np.where(top < 0, -1.0, 1.0)
+    return np.maximum(w[::-1], 0), _signs(u[:, ::-1])
+
+
+def leading_eigen(m: Matrix, k: int, oversample: int = 10, powers: int = 2, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest squared singular values and their left vectors, of a matrix with many rows: by a random
+    sketch of its range (Halko, Martinsson, Tropp 2011), refined by power steps. Exact where the rank is
+    k + ``oversample`` or less."""
+    width = min(m.rows, m.columns, k + oversample)
+    if m.rows * width > SKETCH_ENTRIES:
+        raise ValueError(f"a sketch of {m.rows} x {width} is not sent to the driver; ask for fewer values")
+    # The random columns are numbers of the columns' own, so that a lost task makes the same again.
+    random = lambda columns: np.stack([np.random.default_rng([seed, int(c)]).standard_normal(width) for c in columns])
+    q = np.linalg.qr(_array(_summed(m, width, lambda x, c: x @ random(c)), m.rows, width))[0]
+    for _ in range(powers):
+        q = np.linalg.qr(_array(_summed(m, width, lambda x, _, q=q: x @ (x.T @ q)), m.rows, width))[0]
+
+    def small(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+        y = q.T @ x
+        return y @ y.T
+
+    w, u = np.linalg.eigh(_array(_summed(m, width, small), width, width))
+    return np.maximum(w[::-1], 0)[:k], _signs(q @ u[:, ::-1])[:, :k]
 
 
 def mode_vectors(t: Tensor, mode: int) -> np.ndarray:
@@ -124,10 +207,11 @@ def eof(t: Tensor, tol: float, k_max: int = 1000) -> tuple[Tensor, int, float]:
     reconstruction, the rank and the compression ratio."""
     last = len(t.dims) - 1
     flat = shape.unfold(t, [last])
-    energies, vectors = _eigen(flat)
+    energies, vectors = _eigen(flat) if flat.rows <= GRAM_ROWS else leading_eigen(flat, min(k_max, flat.rows))
     k = energy_rank(energies, tol, k_max)
-    kept = vectors[:, :k]
-    back = products.ttm(t, matrix_from_numpy(t.cells.sparkSession, kept @ kept.T), last)
+    spark, kept = t.cells.sparkSession, vectors[:, :k]
+    # Through the k coefficients of each place, never through a matrix of time by time.
+    back = products.transform(products.transform(t, [matrix_from_numpy(spark, kept.T)], [last]), [matrix_from_numpy(spark, kept)], [last])
     return back, k, t.size / (k * (flat.rows + flat.columns + 1))
 
 

@@ -4,7 +4,7 @@ numbered with mode 2 fastest. A matrix is a table ``r, c, v``."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from math import prod
 
@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Entries of a matrix that may be sent to the driver (8 bytes each there, more on the way).
+DRIVER_ENTRIES = 1 << 24
+
+
 def index_names(count: int) -> list[str]:
     return [f"i{k}" for k in range(count)]
 
@@ -57,12 +61,18 @@ class Matrix:
     entries: DataFrame
     rows: int
     columns: int
+    known: np.ndarray | None = field(default=None, compare=False, repr=False)  # the same, where it is at hand
 
     def transposed(self) -> Matrix:
-        return Matrix(self.entries.select(F.col("c").alias("r"), F.col("r").alias("c"), "v"), self.columns, self.rows)
+        known = None if self.known is None else self.known.T
+        return Matrix(self.entries.select(F.col("c").alias("r"), F.col("r").alias("c"), "v"), self.columns, self.rows, known)
 
     def to_numpy(self) -> np.ndarray:
         """For matrices that fit the driver: transforms along one mode."""
+        if self.known is not None:
+            return self.known
+        if self.rows * self.columns > DRIVER_ENTRIES:
+            raise ValueError(f"a matrix of {self.rows} x {self.columns} is not sent to the driver")
         out = np.zeros((self.rows, self.columns))
         for r in self.entries.collect():
             out[r.r, r.c] += r.v
@@ -110,7 +120,7 @@ def from_numpy(spark: SparkSession, array: np.ndarray) -> Tensor:
 def matrix_from_numpy(spark: SparkSession, array: np.ndarray) -> Matrix:
     array = np.asarray(array, float)
     rows = [(int(r), int(c), float(array[r, c])) for r in range(array.shape[0]) for c in range(array.shape[1])]
-    return Matrix(spark.createDataFrame(rows, "r int, c int, v double"), *array.shape)
+    return Matrix(spark.createDataFrame(rows, "r int, c int, v double"), *array.shape, array)
 
 
 def to_numpy(t: Tensor) -> np.ndarray:
