@@ -11,6 +11,7 @@ from tubal.operators import factors as fx
 from tubal.operators import blocks, products, ragged, shape, threshold
 from tubal.plans import analytics, compression
 from tubal.sources import arrays, sinks, text
+from tubal.sources.tables import tensor_from_table
 from tubal.streaming.slices import compress_stream
 from tubal.tensor import Matrix, dense, from_numpy, matrix_from_numpy, random_tensor, to_numpy
 
@@ -372,3 +373,13 @@ def test_threshold_of_equal_values(spark):
     df = spark.createDataFrame([(k, 0, v) for k, v in enumerate(values)], "slice long, q int, sigma double")
     for tol in (0.05, 0.5, 0.92, 0.97):
         assert threshold.cutoff(df, tol).first()[0] == pytest.approx(brute_cutoff(np.array(values), tol))
+
+
+def test_rows_outside_the_modes(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0), (1, float("nan")), (5, 4.0), (None, 8.0)], "k int, v double")
+    modes = [(F.col("k"), 2), (F.lit(0), 1)]
+    assert to_numpy(tensor_from_table(df, modes, F.col("v"))).tolist() == [[1.0], [2.0]]
+    assert tensor_from_table(df.where("k < 2"), modes, F.col("v"), strict=True).cells.count() == 2
+    for bad in ("k < 2 or k > 4", "k < 2 or k is null"):
+        with pytest.raises(Exception):
+            tensor_from_table(df.where(bad), modes, F.col("v"), strict=True).cells.collect()

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from tubal.functions import transforms
 from tubal.operators import factors as fx
-from tubal.operators import products, shape, threshold
+from tubal.operators import blocks, products, ragged, shape, threshold
 from tubal.plans import analytics, compression
 from tubal.sources.sinks import upserted
 from tubal.sources.tables import code_of, read, tensor_from_table
-from tubal.tensor import Matrix, Tensor, matrix_from_numpy
+from tubal.tensor import Matrix, Tensor, dense, matrix_from_numpy
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 STATUSES, PRIORITIES = ["F", "O", "P"], ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -161,6 +161,60 @@ def matrix_element(spark, sf):
     return shape.get_element(m, 1 + 2 * 3, 2 + 7).agg(F.round(F.coalesce(F.sum("v"), F.lit(0.0)), 4).alias("v"))
 
 
+@_query(f"WITH t AS ({_LINES4}), m AS (SELECT i0 + 2 * i1 AS r, i2 + 7 * i3 AS c, v FROM t) SELECT r, c, round(v, 4) AS v FROM m WHERE r <> 3 UNION ALL SELECT 3 AS r, 4 AS c, CAST(5 AS DOUBLE) AS v")
+def matrix_set_element(spark, sf):
+    """Of a row that has no cells at all."""
+    m = shape.unfold(lines4(spark, sf), [0, 1])
+    return shape.set_element(Matrix(m.entries.where("r <> 3"), m.rows, m.columns), 3, 4, 5.0).entries.withColumn("v", F.round("v", 4))
+
+
+@_query(f"WITH t AS ({_LINES4}), m AS (SELECT i0 + 2 * i1 AS r, i2 + 7 * i3 AS c, v FROM t) SELECT r, c, round(v, 4) AS v FROM m WHERE r <> 3 AND c <> 2 UNION ALL SELECT 3 AS r, c, round(v, 4) AS v FROM m WHERE r = 5 AND c <> 2 UNION ALL SELECT r, 2 AS c, round(v, 4) AS v FROM (SELECT CASE WHEN r = 3 THEN 5 ELSE r END AS src, r, 9 AS c FROM range(14) AS g(r)) AS w JOIN (SELECT r AS src, c, v FROM m) AS n USING (src, c)")
+def matrix_rows_columns(spark, sf):
+    """Row 5 in the place of row 3, then column 9 in that of column 2."""
+    m = shape.unfold(lines4(spark, sf), [0, 1])
+    m = shape.set_row(m, 3, shape.get_row(m, 5))
+    return shape.set_column(m, 2, shape.get_column(m, 9)).entries.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.round("v", 4).alias("v"))
+
+
+@_query(f"WITH t AS ({_EVENTS3}) SELECT i0, i1, i2, round(v / (SELECT sqrt(sum(v * v)) FROM t), 6) AS v FROM t WHERE round(v / (SELECT sqrt(sum(v * v)) FROM t), 6) <> 0")
+def normalised_tensor(spark, sf):
+    return _cells(shape.normalised(events3(spark, sf)), 6)
+
+
+@_query(f"SELECT i0, i1, i3 AS i2, round(v, 4) AS v FROM ({_LINES4}) AS t WHERE i2 = 4")
+def level_of_mode(spark, sf):
+    """The tensor of one year, by the year."""
+    return _cells(shape.at_level(lines4(spark, sf), 2, list(range(1995, 2002)), 1999))
+
+
+_BALANCES = "b AS (SELECT CAST(c_nationkey AS INTEGER) AS c, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS r, c_acctbal AS v FROM customer)"
+
+
+def _balances(spark, sf) -> DataFrame:
+    """Customers' balances, a ragged column for each nation."""
+    rows = F.sort_array(F.collect_list(F.struct("c_custkey", "c_acctbal")))
+    columns = read(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("int").alias("c")).agg(rows.alias("rows"))
+    return columns.select("c", F.col("rows.c_acctbal").alias("data"))
+
+
+@_query(f"WITH {_BALANCES} SELECT r, v FROM b WHERE c = 5")
+def ragged_column(spark, sf):
+    return ragged.get_column(_balances(spark, sf), 5)
+
+
+@_query(f"WITH {_BALANCES} SELECT c, count(*) AS n, round(sum(CASE WHEN c = 7 AND r = 0 THEN 0.5 ELSE v END), 2) AS total FROM b GROUP BY ALL")
+def ragged_set_value(spark, sf):
+    out = ragged.set_value(_balances(spark, sf), 0, 7, 0.5).select("c", F.explode("data").alias("v"))
+    return out.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
+
+
+@_query(f"WITH {_BALANCES}, n AS (SELECT c, count(*) AS k FROM b GROUP BY ALL), o AS (SELECT c, sum(k) OVER (ORDER BY c) - k AS first FROM n) SELECT CAST(first + r AS BIGINT) AS at, v FROM b JOIN o USING (c)")
+def ragged_flat(spark, sf):
+    """Slices of one row and as many columns as a nation has customers, in one buffer."""
+    slices = _balances(spark, sf).select(F.col("c").cast("long").alias("slice"), F.lit(1).alias("nrow"), F.size("data").alias("ncol"), "data")
+    return ragged.flat(slices).select(F.col("at").cast("long").alias("at"), "v")
+
+
 # Products
 
 
@@ -213,7 +267,7 @@ def ttm_dct(spark, sf):
 
 @_query(_DCT_MULTI)
 def transform_cells(spark, sf):
-    return _cells(products.transform(events4(spark, sf), [transforms.dct(spark, 7), transforms.dct(spark, 4)], [2, 3]))
+    return _cells(products.transform(events4(spark, sf), [transforms.dct(spark, 7), transforms.dct(spark, 4)], [2, 3], "cells"))
 
 
 @_query(_DCT_MULTI)
@@ -221,6 +275,14 @@ def transform_tubes(spark, sf):
     return _cells(products.transform(events4(spark, sf), [transforms.dct(spark, 7), transforms.dct(spark, 4)], [2, 3], "tubes"))
 
 
+@_query(_DCT_MULTI)
+def transform_blocks(spark, sf):
+    t = events4(spark, sf)
+    step = blocks.tubes_of_block(t.dims, 100)
+    moved, dims = blocks.transform_blocks(blocks.blocks_of(t, 100), t.dims, [transforms.dct_array(7), transforms.dct_array(4)], [2, 3])
+    return _cells(blocks.cells_of(moved, dims, step))
+
+
 @_query(_cells_sql("t", "i0, i1, i2", ctes=f"t AS ({_EVENTS3})"))
 def transform_roundtrip(spark, sf):
     t = events3(spark, sf)
@@ -235,12 +297,23 @@ def gray_channels(spark, sf):
 
 # Slices: two-row slices have closed forms
 
-_GRAM2 = (
-    f"t AS ({_LINES3}), g AS (SELECT i2 AS slice, sum(CASE WHEN i0 = 0 THEN v * v ELSE 0 END) AS a, sum(CASE WHEN i0 = 1 THEN v * v ELSE 0 END) AS c FROM t GROUP BY ALL),"
-    " h AS (SELECT x.i2 AS slice, sum(x.v * y.v) AS b FROM t AS x JOIN t AS y ON x.i1 = y.i1 AND x.i2 = y.i2 AND x.i0 = 0 AND y.i0 = 1 GROUP BY ALL),"
-    " e AS (SELECT slice, a, coalesce(b, 0) AS b, c, sqrt((a - c) * (a - c) + 4 * coalesce(b, 0) * coalesce(b, 0)) AS root FROM g LEFT JOIN h USING (slice)),"
-    " s AS (SELECT slice, CAST(q AS BIGINT) AS q, sqrt(greatest(0, CASE WHEN q = 0 THEN (a + c + root) / 2 ELSE (a + c - root) / 2 END)) AS sigma FROM e CROSS JOIN range(2) AS d(q))"
+
+def _gram2(tensor: str) -> str:
+    """CTEs of a tensor ``i0 (0 and 1), i1, i2, v``: by slice the Gram matrix (a b, b c) and both singular values."""
+    return (
+        f"t AS ({tensor}), g AS (SELECT i2 AS slice, sum(CASE WHEN i0 = 0 THEN v * v ELSE 0 END) AS a, sum(CASE WHEN i0 = 1 THEN v * v ELSE 0 END) AS c FROM t GROUP BY ALL),"
+        " h AS (SELECT x.i2 AS slice, sum(x.v * y.v) AS b FROM t AS x JOIN t AS y ON x.i1 = y.i1 AND x.i2 = y.i2 AND x.i0 = 0 AND y.i0 = 1 GROUP BY ALL),"
+        " e AS (SELECT slice, a, coalesce(b, 0) AS b, c, sqrt((a - c) * (a - c) + 4 * coalesce(b, 0) * coalesce(b, 0)) AS root FROM g LEFT JOIN h USING (slice)),"
+        " s AS (SELECT slice, CAST(q AS BIGINT) AS q, sqrt(greatest(0, CASE WHEN q = 0 THEN (a + c + root) / 2 ELSE (a + c - root) / 2 END)) AS sigma FROM e CROSS JOIN range(2) AS d(q))"
+    )
+
+
+#: Of e the leading left vector (x, y) of each slice.
+_LEADING2 = (
+    "p AS (SELECT *, CASE WHEN b <> 0 THEN b ELSE CASE WHEN a >= c THEN 1 ELSE 0 END END AS x, CASE WHEN b <> 0 THEN (a + c + root) / 2 - a ELSE CASE WHEN a >= c THEN 0 ELSE 1 END END AS y FROM e),"
+    " f AS (SELECT slice, x / sqrt(x * x + y * y) AS x, y / sqrt(x * x + y * y) AS y FROM p)"
 )
+_GRAM2 = _gram2(_LINES3)
 _CUT = " o AS (SELECT sigma, sum(sigma * sigma) OVER (ORDER BY sigma, slice, q ROWS UNBOUNDED PRECEDING) AS cum, sum(sigma * sigma) OVER () AS total FROM s), x AS (SELECT coalesce(max(CASE WHEN cum <= {tol2} * total THEN sigma END), 0) AS cutoff FROM o)"
 TOL = 0.05
 
@@ -278,14 +351,23 @@ def leading_values(spark, sf):
     return shape.leading(_prices(spark, sf), 5)
 
 
-@_query(
-    f"WITH {_GRAM2}, {_CUT.format(tol2=TOL * TOL)}, k AS (SELECT sigma, sigma >= cutoff AS kept FROM s, x)"
-    " SELECT CAST(7 AS BIGINT) AS n_slices, count(*) FILTER (WHERE kept) AS sum_rank, round(98.0 / (count(*) FILTER (WHERE kept) * 10), 4) AS compression_ratio,"
-    " round(sqrt(sum(CASE WHEN kept THEN 0 ELSE sigma * sigma END) / sum(sigma * sigma)), 4) AS relative_err FROM k"
-)
+def _tolerance_sql(ctes: str, slices: int, shape: tuple[int, int], tol: float) -> str:
+    m, n = shape
+    return (
+        f"WITH {ctes}, {_CUT.format(tol2=tol * tol)}, k AS (SELECT sigma, sigma >= cutoff AS kept FROM s, x)"
+        f" SELECT CAST({slices} AS BIGINT) AS n_slices, count(*) FILTER (WHERE kept) AS sum_rank, round({float(m * n * slices)} / (count(*) FILTER (WHERE kept) * {m + n + 1}), 4) AS compression_ratio,"
+        " round(sqrt(sum(CASE WHEN kept THEN 0 ELSE sigma * sigma END) / sum(sigma * sigma)), 4) AS relative_err FROM k"
+    )
+
+
+def _reported(report: DataFrame) -> DataFrame:
+    return report.select("n_slices", "sum_rank", F.round("compression_ratio", 4).alias("compression_ratio"), F.round("relative_err", 4).alias("relative_err"))
+
+
+@_query(_tolerance_sql(_GRAM2, 7, (2, 7), TOL))
 def compress_tolerance(spark, sf):
     t = lines3(spark, sf)
-    return compression.report(t, compression.compress(t, "eye", tol=TOL)).select("n_slices", "sum_rank", F.round("compression_ratio", 4).alias("compression_ratio"), F.round("relative_err", 4).alias("relative_err"))
+    return _reported(compression.report(t, compression.compress(t, "eye", tol=TOL)))
 
 
 @_query(
@@ -306,15 +388,56 @@ def truncate_factors(spark, sf):
     return cut.select("slice", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x), 4).alias("energy"))
 
 
-@_query("SELECT range AS slice, true AS equal FROM range(7)")
+@_query(f"WITH {_GRAM2}, {_CUT.format(tol2=TOL * TOL)} SELECT slice, round(coalesce(sum(CASE WHEN sigma >= cutoff THEN sigma * sigma END), 0), 4) AS truncated, round(coalesce(sum(CASE WHEN sigma >= cutoff THEN sigma * sigma END), 0), 4) AS direct, CAST(0 AS DOUBLE) AS gap FROM s, x GROUP BY ALL")
 def strategies_agree(spark, sf):
-    """Full decomposition then truncation, against decomposition at given ranks."""
+    """Energies of full decomposition then truncation, of decomposition at given ranks, and the largest gap."""
     slices = fx.to_slices(lines3(spark, sf))
     full = fx.decompose(slices)
     ranks = threshold.ranks(fx.sigma_rows(full), TOL)
     one, two = fx.multiply(fx.truncate(full, ranks)), fx.multiply(fx.decompose_ranks(slices, ranks)).withColumnRenamed("data", "other")
+    energy = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x), 4)
     gap = F.array_max(F.zip_with("data", "other", lambda a, b: F.abs(a - b)))
-    return one.join(two.select("slice", "other"), "slice").select("slice", (gap < 1e-9).alias("equal"))
+    return one.join(two.select("slice", "other"), "slice").select("slice", energy("data").alias("truncated"), energy("other").alias("direct"), F.round(gap, 6).alias("gap"))
+
+
+@_query(f"WITH {_GRAM2} SELECT slice, CAST(slice % 3 AS INTEGER) AS k, round(coalesce(sum(CASE WHEN q < slice % 3 THEN sigma * sigma END), 0), 4) AS energy FROM s GROUP BY ALL")
+def ranks_by_slice(spark, sf):
+    """Decomposition at ranks 0, 1 and 2, and the energy of the products."""
+    ranks = spark.range(7).select(F.col("id").alias("slice"), F.pmod("id", F.lit(3)).cast("int").alias("k"))
+    found = fx.decompose_ranks(fx.to_slices(lines3(spark, sf)), ranks)
+    energy = F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x * x), 4)
+    return fx.multiply(found).select("slice", energy.alias("energy")).join(found.select("slice", "k"), "slice")
+
+
+@_query(f"WITH {_GRAM2} SELECT slice, q, round(sigma, 4) AS sigma FROM s")
+def tall_slice_values(spark, sf):
+    """Slices of seven rows and two columns."""
+    found = fx.singular_values(fx.to_slices(shape.permute(lines3(spark, sf), [1, 0, 2])))
+    return found.select("slice", F.col("q").cast("long").alias("q"), F.round("sigma", 4).alias("sigma"))
+
+
+_MATRIX2 = f"SELECT i0, i1 + 7 * i2 AS i1, 0 AS i2, v FROM ({_LINES3}) AS l"
+
+
+@_query(f"WITH {_gram2(_MATRIX2)} SELECT q, round(sigma, 4) AS sigma FROM s")
+def matrix_singular_values(spark, sf):
+    found = fx.singular_values(fx.matrix_slice(shape.unfold(lines3(spark, sf), [0])))
+    return found.select(F.col("q").cast("long").alias("q"), F.round("sigma", 4).alias("sigma"))
+
+
+_PROJECTED = " d AS (SELECT i1, i2, sum(v * CASE WHEN i0 = 0 THEN x ELSE y END) AS dot FROM t JOIN f ON i2 = slice GROUP BY ALL)"
+
+
+@_query(f"WITH {_gram2(_MATRIX2)}, {_LEADING2}, {_PROJECTED} SELECT * FROM (SELECT CAST(r AS BIGINT) AS i0, d.i1, round(dot * CASE WHEN r = 0 THEN x ELSE y END, 4) + 0.0 AS v FROM d JOIN f ON i2 = slice CROSS JOIN range(2) AS z(r)) AS u WHERE v <> 0")
+def matrix_rank_one(spark, sf):
+    m = shape.unfold(lines3(spark, sf), [0])
+    return _cells(fx.to_cells(fx.multiply(fx.decompose(fx.matrix_slice(m), 1)), (m.rows, m.columns)))
+
+
+@_query(f"WITH t AS ({_MATRIX2}) SELECT i0, i1, round(v, 4) AS v FROM t WHERE round(v, 4) <> 0")
+def matrix_full_svd(spark, sf):
+    m = shape.unfold(lines3(spark, sf), [0])
+    return _cells(fx.to_cells(fx.multiply(fx.decompose(fx.matrix_slice(m))), (m.rows, m.columns)))
 
 
 @_query(f"WITH t AS ({_ORDERS5}), g AS (SELECT x.i0 AS a, y.i0 AS b, x.i2, x.i3, x.i4, sum(x.v * y.v) AS g FROM t AS x JOIN t AS y USING (i1, i2, i3, i4) GROUP BY ALL) SELECT i2 + 5 * i3 + 25 * i4 AS slice, round(sum(CASE WHEN a = b THEN g ELSE 0 END), 4) AS energy, round(sum(g * g), 4) AS energy2 FROM g GROUP BY ALL")
@@ -331,17 +454,36 @@ def full_rank_roundtrip(spark, sf):
     return _cells(compression.reconstruct(compression.compress(t, "dct", rank=3, strategy="tubes"), "tubes"))
 
 
-@_query()
+def events2(spark: SparkSession, sf: str) -> Tensor:
+    """Purchases and all other events x hour x day: sum of values."""
+    modes = [((F.col("event_type") == "purchase").cast("int"), 2), (F.hour("ts"), 24), (F.dayofmonth("ts") - 1, 31)]
+    return tensor_from_table(read(spark, sf, "events"), modes, F.col("value"))
+
+
+_EVENTS2 = "SELECT CAST(event_type = 'purchase' AS BIGINT) AS i0, CAST(hour(ts) AS BIGINT) AS i1, CAST(day(ts) - 1 AS BIGINT) AS i2, sum(value) AS v FROM events GROUP BY ALL"
+_EVENTS2_DCT = f"SELECT l.i0, l.i1, m.r AS i2, sum(l.v * m.w) AS v FROM ({_EVENTS2}) AS l JOIN ({_dct_sql(31)}) AS m ON l.i2 = m.c GROUP BY ALL"
+
+
+@_query(_tolerance_sql(_gram2(_EVENTS2_DCT), 31, (2, 24), 0.1))
 def compress_tolerance_events(spark, sf):
-    """Method by tolerance in the cosine domain; the achieved error is in the report."""
+    """Method by tolerance in the cosine domain; the achieved error is measured on the reconstruction."""
+    t = events2(spark, sf)
+    return _reported(compression.report(t, compression.compress(t, "dct", tol=0.1)))
+
+
+@_query()
+def compress_tolerance_types(spark, sf):
+    """The same with a row for each event type."""
     t = events3(spark, sf)
     return compression.report(t, compression.compress(t, "dct", tol=0.1))
 
 
-@_query("SELECT unnest(['dct', 'hosvd', 'hosvd_t']) AS kind, true AS within")
+@_query(f"SELECT unnest(['dct', 'hosvd', 'hosvd_t']) AS kind, round(sqrt(sum(v * v)), 4) AS norm, round(sqrt(sum(v * v)), 4) AS rebuilt, true AS within FROM ({_EVENTS4}) AS t")
 def tolerance_holds(spark, sf):
+    """What is dropped is orthogonal to what is kept: their squares sum to that of the norm."""
     t = events4(spark, sf)
-    rows = [compression.report(t, compression.compress(t, kind, tol=0.2)).select(F.lit(kind).alias("kind"), (F.col("relative_err") <= 0.2).alias("within")) for kind in ("dct", "hosvd", "hosvd_t")]
+    rebuilt = F.sqrt(F.col("norm_back") * F.col("norm_back") + F.col("abs_err") * F.col("abs_err"))
+    rows = [compression.report(t, compression.compress(t, kind, tol=0.2)).select(F.lit(kind).alias("kind"), F.round("norm", 4).alias("norm"), F.round(rebuilt, 4).alias("rebuilt"), (F.col("relative_err") <= 0.2).alias("within")) for kind in ("dct", "hosvd", "hosvd_t")]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
@@ -354,8 +496,52 @@ def hosvd_gram(spark, sf):
     return g.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("g", 4).alias("g"))
 
 
-@_query()
+_PARITY = (
+    f"SELECT {_list_sql('l_linestatus', ['F', 'O'])} AS i0, CAST(l_linenumber % 2 AS BIGINT) AS i1, CAST(year(l_shipdate) % 2 AS BIGINT) AS i2, sum(l_extendedprice / 1e6) AS v FROM lineitem GROUP BY ALL"
+)
+
+
+def _mode_vector_sql(k: int) -> str:
+    """u{k} (i, w): the leading vector of the Gram matrix of mode k, of size two."""
+    others = [m for m in range(3) if m != k]
+    same = " AND ".join(f"x.i{m} = y.i{m}" for m in others)
+    return (
+        f"a{k} AS (SELECT sum(CASE WHEN i{k} = 0 THEN v * v ELSE 0 END) AS a, sum(CASE WHEN i{k} = 1 THEN v * v ELSE 0 END) AS c FROM t),"
+        f" b{k} AS (SELECT coalesce(sum(x.v * y.v), 0) AS b FROM t AS x JOIN t AS y ON {same} AND x.i{k} = 0 AND y.i{k} = 1),"
+        f" l{k} AS (SELECT b, (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 - a AS y FROM a{k}, b{k}),"
+        f" u{k} AS (SELECT CAST(r AS BIGINT) AS i, CASE WHEN r = 0 THEN b ELSE y END / sqrt(b * b + y * y) AS w FROM l{k}, range(2) AS z(r))"
+    )
+
+
+@_query(
+    f"WITH t AS ({_PARITY}), {', '.join(_mode_vector_sql(k) for k in range(3))}, n AS (SELECT sum(v * v) AS total FROM t),"
+    " c AS (SELECT sum(v * u0.w * u1.w * u2.w) AS core FROM t JOIN u0 ON u0.i = t.i0 JOIN u1 ON u1.i = t.i1 JOIN u2 ON u2.i = t.i2)"
+    " SELECT round(sqrt(total), 4) AS norm, round(abs(core), 4) AS norm_back, round(sqrt(greatest(total - core * core, 0)), 3) AS abs_err, round(8.0 / 7, 4) AS compression_ratio FROM n, c"
+)
 def hosvd_compress(spark, sf):
+    """A tensor of two by two by two, half of each mode kept."""
+    modes = [(code_of("l_linestatus", ["F", "O"]), 2), (F.pmod("l_linenumber", F.lit(2)), 2), (F.pmod(F.year("l_shipdate"), F.lit(2)), 2)]
+    t = tensor_from_table(read(spark, sf, "lineitem"), modes, F.col("l_extendedprice") / 1e6)
+    core, vectors = compression.hosvd(t, share=0.5)
+    stored = core.size + sum(u.size for u in vectors)
+    found = compression.errors(t, compression.hosvd_back(core, vectors)).withColumn("compression_ratio", F.round(F.lit(t.size / stored), 4))
+    return found.select(F.round("norm", 4).alias("norm"), F.round("norm_back", 4).alias("norm_back"), F.round("abs_err", 3).alias("abs_err"), "compression_ratio")
+
+
+@_query(
+    f"WITH {_gram2(f'SELECT i0, i1 + 7 * i2 AS i1, 0 AS i2, v FROM ({_LINES3}) AS l')}, w AS (SELECT (SELECT sigma FROM s WHERE q = 0) AS s0, (SELECT sigma FROM s WHERE q = 1) AS s1),"
+    " k AS (SELECT *, CASE WHEN s0 * s0 >= (1 - 0.3 * 0.3) * (s0 * s0 + s1 * s1) THEN 1 ELSE 2 END AS k FROM w)"
+    " SELECT CAST(k AS INTEGER) AS k, round(98.0 / (k * 52), 4) AS compression_ratio, round(CASE WHEN k = 1 THEN s1 / sqrt(s0 * s0 + s1 * s1) ELSE 0 END, 4) AS relative_err FROM k"
+)
+def eof_compress(spark, sf):
+    """Line status in the place of time."""
+    t = shape.permute(lines3(spark, sf), [1, 2, 0])
+    back, k, ratio = compression.eof(t, 0.3)
+    return compression.errors(t, back).select(F.lit(k).alias("k"), F.round(F.lit(ratio), 4).alias("compression_ratio"), F.round("relative_err", 4).alias("relative_err"))
+
+
+@_query()
+def hosvd_compress_orders(spark, sf):
     t = orders5(spark, sf)
     core, vectors = compression.hosvd(t, share=0.5)
     stored = core.size + sum(u.size for u in vectors)
@@ -363,7 +549,7 @@ def hosvd_compress(spark, sf):
 
 
 @_query()
-def eof_compress(spark, sf):
+def eof_compress_events(spark, sf):
     t = events3(spark, sf)
     back, k, ratio = compression.eof(t, 0.1)
     return compression.errors(t, back).withColumn("k", F.lit(k)).withColumn("compression_ratio", F.lit(ratio))
@@ -380,15 +566,15 @@ def eof_gram(spark, sf):
 
 
 @_query(
-    f"WITH t AS ({_EVENTS3}), m AS (SELECT i0, i1, avg(v) AS mean, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM t GROUP BY ALL)"
-    " SELECT t.i0, t.i1, count(*) AS n_extreme, round(avg(abs(v - mean) / abs(v)), 4) AS mean_err, round(max(abs(v - mean) / abs(v)), 4) AS max_err, round(median(abs(v - mean) / abs(v)), 4) AS median_err"
+    f"WITH k AS ({_EVENTS3}), t AS (SELECT CAST(a.i0 AS BIGINT) AS i0, CAST(b.i1 AS BIGINT) AS i1, c.i2, coalesce(k.v, 0) AS v FROM range(5) AS a(i0) CROSS JOIN range(24) AS b(i1) CROSS JOIN range(30) AS c(i2) LEFT JOIN k ON k.i0 = a.i0 AND k.i1 = b.i1 AND k.i2 = c.i2), m AS (SELECT i0, i1, avg(v) AS mean, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM t GROUP BY ALL)"
+    " SELECT t.i0, t.i1, count(*) AS n_extreme, round(avg(abs(v - mean) / nullif(abs(v), 0)), 4) AS mean_err, round(max(abs(v - mean) / nullif(abs(v), 0)), 4) AS max_err, round(median(abs(v - mean) / nullif(abs(v), 0)), 4) AS median_err"
     " FROM t JOIN m ON t.i0 = m.i0 AND t.i1 = m.i1 WHERE v <= lo OR v >= hi GROUP BY ALL"
 )
 def extreme_events(spark, sf):
     """Against the tubes' means in place of a reconstruction."""
     t = events3(spark, sf)
-    tubes = t.cells.groupBy("i0", "i1").agg(F.avg("v").alias("mean"))
-    back = t.with_cells(t.cells.drop("v").join(tubes, ["i0", "i1"]).withColumnRenamed("mean", "v"))
+    tubes = t.cells.groupBy("i0", "i1").agg((F.sum("v") / t.dims[2]).alias("mean"))
+    back = t.with_cells(dense(t).cells.drop("v").join(tubes, ["i0", "i1"]).withColumnRenamed("mean", "v"))
     errs = [F.round(c, 4).alias(c) for c in ("mean_err", "max_err", "median_err")]
     return analytics.extremes(t, back).select(F.col("i0").cast("long").alias("i0"), F.col("i1").cast("long").alias("i1"), "n_extreme", *errs)
 
@@ -403,6 +589,17 @@ def calendar_fold(spark, sf):
     return analytics.fold_calendar(steps, 1).groupBy("year", "doy", "tod").agg(F.round(F.sum("p"), 2).alias("revenue"))
 
 
+@_query(
+    "WITH d AS (SELECT list_position(['F', 'O', 'P'], o_orderstatus) - 1 AS i0, CAST(year(o_orderdate) AS INTEGER) AS year, dayofyear(o_orderdate) - 1 AS step, o_totalprice AS p FROM orders),"
+    " k AS (SELECT *, (year % 4 = 0 AND year % 100 <> 0) OR year % 400 = 0 AS leap FROM d)"
+    " SELECT i0, CAST(0 AS BIGINT) AS i1, CAST(CASE WHEN leap AND step >= 59 THEN step - 1 ELSE step END AS BIGINT) AS i2, CAST(year - 1990 AS BIGINT) AS i3, round(sum(p), 2) AS v FROM k WHERE NOT (leap AND step = 59) GROUP BY ALL"
+)
+def calendar_modes(spark, sf):
+    """Status x time of day x day of the year x year."""
+    steps = read(spark, sf, "orders").select(code_of("o_orderstatus", STATUSES).cast("int").alias("i0"), F.year("o_orderdate").alias("year"), (F.dayofyear("o_orderdate") - 1).alias("step"), F.col("o_totalprice").alias("v"))
+    return _cells(analytics.calendar_tensor(steps, (3,), 1990, 20, 1), 2)
+
+
 def _runs(spark, sf):
     """Orders read as benchmark runs: the year gives the threads, the price the time."""
     threads = F.pow(F.lit(2), F.year("o_orderdate") - YEAR).cast("int")
@@ -455,23 +652,32 @@ def upsert_rows(spark, sf):
 
 def _logs(spark, sf):
     """A log for each order, written from its columns."""
-    key, price = F.col("o_orderkey"), F.round("o_totalprice", 2)
-    content = F.concat_ws(
-        "\n", F.lit("start"), F.concat(F.lit("tol: "), F.lit("0.01")), F.concat(F.lit("ttm time: "), price.cast("string")), F.concat(F.lit("ttm time: "), price.cast("string")),
-        F.concat(F.lit("svd time = "), key.cast("string")), F.lit("reconstruct"), F.lit("ttm time: 0.5"),
-        F.concat(F.lit("relative error: "), F.when(F.col("o_orderstatus") == "P", F.lit("nan")).otherwise(F.lit("0.25"))),
-    )
-    return read(spark, sf, "orders").select(F.format_string("/logs/bytol_%s_dct_%d_run%d.log", F.lower("o_orderstatus"), F.pmod(key, F.lit(8)), F.pmod(key, F.lit(3))).alias("file"), content.alias("content"), key.alias("o_orderkey"))
+    key, price = F.col("o_orderkey").cast("string"), F.round("o_totalprice", 2).cast("string")
+    lines = [
+        "alg      : two", "mtype    : dct", F.concat(F.lit("dname    : "), F.lower("o_orderstatus")), "Tensor shape: (2, 3)", "[two_compress] ttm_modes [2, 3]",
+        F.concat(F.lit("[two_compress] Time for TTM on mode 2 : "), price), F.concat(F.lit("[two_compress] Time for TTM on mode 3 : "), key),
+        F.concat(F.lit("[two_compress] Time for slicewise_svdks: "), price), F.concat(F.lit("Compression ratio: "), key),
+        "[two_reconstruct] Time to reconstruct A_hat: 0.25", F.concat(F.lit("[two_reconstruct] Time for TTM on mode 3 : "), price), "Absolute err: 1e-3",
+        F.concat(F.lit("Relative err: "), F.when(F.col("o_orderstatus") == "P", F.lit("nan")).otherwise(F.lit("0.5"))),
+    ]
+    content = F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
+    run = F.when(F.pmod("o_orderkey", F.lit(3)) > 0, F.concat(F.lit("_run"), F.pmod("o_orderkey", F.lit(3)).cast("string"))).otherwise(F.lit(""))
+    file = F.concat(F.lit("/logs/air_two_0.1_dct_0123_"), F.pmod("o_orderkey", F.lit(8)).cast("string"), run)
+    return read(spark, sf, "orders").select(file.alias("file"), content.alias("content"), "o_orderkey")
 
 
 @_query(
-    "SELECT lower(o_orderstatus) AS dname, CAST(o_orderkey % 8 AS INTEGER) AS threads, CAST(o_orderkey % 3 AS INTEGER) AS run_id, round(2 * round(o_totalprice, 2), 2) AS transform, CAST(o_orderkey AS DOUBLE) AS vectors,"
-    " CAST(0.5 AS DOUBLE) AS inverse, CAST(0.01 AS DOUBLE) AS tol, o_orderstatus <> 'P' AS complete FROM orders"
+    "SELECT lower(o_orderstatus) AS dname, 'two' AS alg, 'air' AS dname_f, CAST(o_orderkey % 8 AS VARCHAR) AS omp_threads_f, CASE WHEN o_orderkey % 3 > 0 THEN 'run' || CAST(o_orderkey % 3 AS VARCHAR) END AS run_id,"
+    " round(round(o_totalprice, 2) + o_orderkey, 2) AS time_compress_ttm_total, round(o_totalprice, 2) AS time_slicewise_svdks, CAST(NULL AS DOUBLE) AS time_slicewise_svd, CAST(0.25 AS DOUBLE) AS time_reconstruct_matmul,"
+    " round(o_totalprice, 2) AS time_reconstruct_ttm_total, CAST(o_orderkey AS DOUBLE) AS compression_ratio, '(2, 3)' AS tensor_shape, o_orderstatus <> 'P' AS complete FROM orders"
 )
 def log_table(spark, sf):
-    return analytics.parse_logs(_logs(spark, sf)).select("dname", "threads", "run_id", F.round("transform", 2).alias("transform"), "vectors", "inverse", "tol", "complete")
+    kept = ["dname", "alg", "dname_f", "omp_threads_f", "run_id", "time_slicewise_svdks", "time_slicewise_svd", "time_reconstruct_matmul", "time_reconstruct_ttm_total", "compression_ratio", "tensor_shape", "complete"]
+    return analytics.parse_logs(_logs(spark, sf)).select(*kept, F.round("time_compress_ttm_total", 2).alias("time_compress_ttm_total"))
 
 
-@_query("SELECT o_orderkey, unnest([0, 1, 2]) AS nth, unnest([round(o_totalprice, 2), round(o_totalprice, 2), 0.5]) AS time_sec FROM orders")
+@_query(
+    "SELECT o_orderkey, unnest(['compress', 'compress', 'reconstruct']) AS phase, CAST(unnest([2, 3, 3]) AS INTEGER) AS mode, unnest([round(o_totalprice, 2), CAST(o_orderkey AS DOUBLE), round(o_totalprice, 2)]) AS time_sec FROM orders"
+)
 def log_phase_times(spark, sf):
-    return analytics.phase_times(_logs(spark, sf), "o_orderkey").select("o_orderkey", "nth", "time_sec")
+    return analytics.phase_times(_logs(spark, sf), "o_orderkey")

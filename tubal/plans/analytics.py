@@ -110,9 +110,9 @@ def parse_logs(logs: DataFrame, name: str = "file", text: str = "content") -> Da
     """One row per log, ``LOG_COLUMNS``: what its name says (six parts joined by ``_``, then perhaps
     ``_runN``; nulls if it has fewer), its parameters, times, ratio and errors. What a log lacks is null.
     It is complete where ratio and both errors are there and finite."""
-    content = F.col(text)
-    compress, reconstruct = _sections(content)
-    base = F.element_at(F.split(F.col(name), "/"), -1)
+    content, compress, reconstruct, base = (F.col(c) for c in ("content", "compress", "reconstruct", "base"))
+    parted = [c.alias(n) for n, c in zip(("compress", "reconstruct"), _sections(F.col(text)), strict=True)]
+    logs = logs.select(F.col(text).alias("content"), F.element_at(F.split(F.col(name), "/"), -1).alias("base"), *parted)
     run = F.regexp_extract(base, r"_(run\d+)$", 1)
     parts = F.split(F.regexp_replace(base, r"_run\d+$", ""), "_")
 

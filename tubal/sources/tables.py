@@ -12,15 +12,16 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tensor_from_table(df: DataFrame, modes: list[tuple[Column, int]], measure: Column) -> Tensor:
-    """Sums ``measure`` by the index columns. Rows with an index outside its mode or null are left out,
-    and null or non-finite measures count as zero."""
+def tensor_from_table(df: DataFrame, modes: list[tuple[Column, int]], measure: Column, strict: bool = False) -> Tensor:
+    """Sums ``measure`` by the index columns. Null or non-finite measures count as zero. Rows with an index
+    outside its mode or null are left out, or if ``strict`` are an error."""
     dims = tuple(n for _, n in modes)
     names = index_names(len(dims))
     value = F.when(F.isnan(measure.cast("double")) | F.isnull(measure) | (F.abs(measure.cast("double")) == float("inf")), 0.0).otherwise(measure.cast("double"))
     placed = df.select(*[c.cast("int").alias(n) for (c, _), n in zip(modes, names, strict=True)], value.alias("v"))
     for n, d in zip(names, dims, strict=True):
-        placed = placed.where(F.col(n).between(0, d - 1))
+        inside = F.coalesce(F.col(n).between(0, d - 1), F.lit(False))
+        placed = placed.where(F.assert_true(inside, F.concat(F.lit(f"{n} outside its mode: "), F.coalesce(F.col(n).cast("string"), F.lit("null")))).isNull() if strict else inside)
     return Tensor(placed.groupBy(*names).agg(F.sum("v").alias("v")), dims)
 
 
