@@ -218,7 +218,8 @@ def _with_marks(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     """``docs`` and their ``marks``. Rows of a text that many rows have, and those too short for any
     mark, are dealt out over ``_SALTS`` parts."""
     often = marks.where(F.col("copies") > _OFTEN)
-    frequent = often.select(F.col("key_").alias("_key"), F.col("dk_").alias("_dk"))
+    # As a table it has its true size, by which Spark decides whether to broadcast it.
+    frequent = materialize(often.select(F.col("key_").alias("_key"), F.col("dk_").alias("_dk")), "repeat-often")
     flagged = docs.join(frequent, (F.col("key") == F.col("_key")) & (F.col("dk") == F.col("_dk")), "left")
     any_part = F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))
     short = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) < 2 * window - 1
