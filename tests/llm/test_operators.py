@@ -709,3 +709,34 @@ def test_substring_texts_of_one_short_hash(spark, monkeypatch):
     df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
     got = sorted((r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
     assert got == [(60 + 30 * k, 40) for k in range(4)]
+
+
+@pytest.mark.parametrize("window,lengths", [(5, []), (35, [9]), (70, [9, 18]), (100, [13, 25])])
+def test_substring_levels(spark, window, lengths):
+    """Runs of all lengths that documents share: the survivors of a level are those repeated at its length,
+    and what is removed is what all windows compared say."""
+    assert substring_dedup.short_lengths(window) == lengths
+    texts = []
+    for k, n in enumerate((3, 8, 9, 12, 17, 18, 24, 34, 35, 50, 69, 70, 99, 100, 150)):
+        shared = words(n, 500 + k)
+        texts += [words(11 + k, 600 + k) + shared + words(90, 700 + k), words(40, 800 + k) + shared + words(60, 900 + k)]
+    texts += [words(12, 1000) * 20, words(13, 1001) * 2]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count = collections.Counter(tuple(t[i : i + window]) for t in texts for i in range(len(t) - window + 1))
+    want = []
+    for doc_id, t in enumerate(texts):
+        gone = set()
+        for i in range(len(t) - window + 1):
+            if count[tuple(t[i : i + window])] > 1:
+                gone.update(range(i, i + window))
+        want.append((doc_id, len(t), len(gone)))
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df, window=window).collect())
+    assert got == want and sum(x[2] for x in want) > 150
+    anchors = every = [r.asDict() for r in substring_dedup._anchors(df, window).collect()]
+    for k in range(len(lengths)):
+        met = collections.Counter(r[f"short{k}"] for r in anchors)
+        anchors = [r for r in anchors if met[r[f"short{k}"]] > 1]
+    assert anchors and (len(anchors) < len(every)) == bool(lengths)
+    left = sorted((r.key, r.place) for r in substring_dedup._candidates(df, window).collect())
+    assert left == sorted((r["key"], r["place"]) for r in anchors)

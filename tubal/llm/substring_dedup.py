@@ -1,11 +1,14 @@
 """Removal of repeated word windows, by level-wise doubling.
 
-Level 1 looks at windows of half the length (18 words for 35). Of these only anchors count: a window of
-the full length owns the one of its 18 half windows whose hash is least, so that equal windows own equal
-anchors at the same place, and about one half window in ten is an anchor. Anchors that stand nowhere
-else are dropped with all that they own. Level 2 extends the anchors that are left to the full length:
+The lengths double: 9, 18 and 35 words for windows of 35. Only anchors count: a window of the full
+length owns the one of its 18 half windows whose hash is least, so that equal windows own equal anchors
+at the same place, and about one half window in ten is an anchor. Level 1 looks at the first 9 words of
+each anchor; those that stand nowhere else are dropped with all that they own. Level 2 extends those
+that are left to 18 words, of which again only the repeated go on. Level 3 extends to the full length:
 where the whole stretch of words that an anchor's windows cover is repeated, all its windows are, and
-are settled; the other windows are hashed one by one (128 bits) and counted.
+are settled; the other windows are hashed one by one (128 bits) and counted. Where no candidate survives
+a level, the next ones have nothing to do. A row carries its hashes of all lengths up to 18, so that
+levels need no text.
 
 Each level is one shuffle by hash. Rows of one hash within a batch are reduced to one that takes part
 and copies that are known to be repeated and are dealt out anywhere, so that a passage in a third of
@@ -28,6 +31,8 @@ from tubal.llm.common import byte_strings, materialize, runs_of, signed
 from tubal.llm.wordhash import Words, mix, pair, wider
 
 WINDOW = 35
+#: The first level's windows have this many words or more.
+FIRST = 8
 _CHUNK = 1 << 22
 _KNOWN_HALF, _KNOWN_SPAN, _FOLLOWER = 1, 2, 4
 _SETTLED, _OPEN, _PARTNER = 0, 1, 2
@@ -48,6 +53,15 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return wider(half, half, length - (length + 1) // 2)
 
 
+def short_lengths(window: int, least: int = FIRST) -> list[int]:
+    """Lengths of the levels below half a window, shortest first, each about twice the one before."""
+    out, n = [], ((window + 1) // 2 + 1) // 2
+    while n >= least:
+        out.append(n)
+        n = (n + 1) // 2
+    return out[::-1]
+
+
 def stretches(text: bytes, window: int) -> list[tuple[int, int, int]]:
     """First byte, end and number of the first word of parts of about ``_CHUNK`` bytes, each with the
     ``window`` - 1 words after it, so that each window lies in the part in which it starts and in no other."""
@@ -96,6 +110,10 @@ class Windows:
         place = mix(((self.anchor - low) << 40 | (high - self.anchor) << 20 | self.owned).astype(np.uint64))
         return pair(pair(full[low], full[high]), place)
 
+    def shorter(self) -> list[np.ndarray]:
+        """Hashes of each anchor's first words, for each of the ``short_lengths``."""
+        return [window_hashes(self.single, n)[self.anchor] for n in short_lengths(self.window)]
+
     def of(self, anchors: np.ndarray) -> np.ndarray:
         """Starts of the windows that these anchors (positions in ``anchor``) own."""
         return np.concatenate([self.start[self.first[a] : self.first[a] + self.owned[a]] for a in anchors]) if len(anchors) else np.empty(0, np.int64)
@@ -117,6 +135,19 @@ def _flags(half: np.ndarray, span: np.ndarray) -> np.ndarray:
     return flags
 
 
+def _level_flags(level: int) -> tuple[int, int]:
+    """Bits of a level below half a window: the batch shows the row to be repeated; an earlier row is like it."""
+    return 8 << 2 * level, 16 << 2 * level
+
+
+def _short_flags(hashes: np.ndarray, level: int) -> np.ndarray:
+    _, first, group, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    known, follower = _level_flags(level)
+    out = np.where(count[group] > 1, known | follower, 0)
+    out[first] &= ~follower
+    return out
+
+
 def _place(kept: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (kept.astype(np.int64) << 32) | words
 
@@ -128,6 +159,9 @@ def _doc_key(text: str = "text") -> tuple[Column, Column]:
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
+    """Anchors of all texts, with the hashes ``short0, short1, ...`` of the levels below half a window."""
+    shorts = [f"short{k}" for k in range(len(short_lengths(window)))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, text_of, number = cut_up(byte_strings(batch.column(2)), window)
@@ -137,19 +171,33 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 w = Windows(parts[a:b], window)
                 part = w.words.doc[w.anchor] + a if len(w.anchor) else w.anchor
                 rel = number[part] << _LOCAL | (w.anchor - w.words.first[part - a]) if len(part) else part
-                found.append((w.half[w.anchor], w.spans() if len(part) else np.empty(0, np.uint64), text_of[part], rel))
-            half, span, doc, rel = (np.concatenate(x) for x in zip(*found, strict=True))
+                found.append((w.half[w.anchor], w.spans() if len(part) else np.empty(0, np.uint64), text_of[part], rel, *w.shorter()))
+            half, span, doc, rel, *short = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(half):
-                arrays = [pa.array(signed(half)), pa.array(signed(span)), batch.column(0).take(pa.array(doc)), pa.array(_place(keys[doc], rel)), pa.array(_flags(half, span))]
-                yield pa.record_batch(arrays, ["half", "span", "key", "place", "flags"])
+                flags = _flags(half, span)
+                for k, hashes in enumerate(short):
+                    flags |= _short_flags(hashes, k)
+                arrays = [pa.array(signed(half)), pa.array(signed(span)), batch.column(0).take(pa.array(doc)), pa.array(_place(keys[doc], rel)), pa.array(flags)]
+                yield pa.record_batch([*arrays, *[pa.array(signed(x)) for x in short]], ["half", "span", "key", "place", "flags", *shorts])
 
-    return docs.select(*_doc_key(), "text").mapInArrow(run, "half long, span long, key long, place long, flags long")
+    schema = "half long, span long, key long, place long, flags long" + "".join(f", {c} long" for c in shorts)
+    return docs.select(*_doc_key(), "text").mapInArrow(run, schema)
 
 
-def _dealt(rows: DataFrame, key: str, *order: str) -> DataFrame:
+def _candidates(docs: DataFrame, window: int) -> DataFrame:
+    """The anchors that survive the levels below half a window. Each level meets only those of the one before."""
+    rows = _anchors(docs, window)
+    for level in range(len(short_lengths(window))):
+        known, follower = _level_flags(level)
+        kept = [c for c in rows.columns if c != f"short{level}"]
+        rows = _met_again(rows, [f"short{level}"], kept, known, follower)
+    return rows
+
+
+def _dealt(rows: DataFrame, key: str, *order: str, follower_bit: int = _FOLLOWER) -> DataFrame:
     """By hash, followers anywhere; in a task followers first, then in hash order."""
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    follower = F.col("flags").bitwiseAND(F.lit(_FOLLOWER)) > 0
+    follower = F.col("flags").bitwiseAND(F.lit(follower_bit)) > 0
     return rows.repartition(n, F.when(follower, F.col("place")).otherwise(F.col(key))).sortWithinPartitions(follower, *order)
 
 
@@ -316,30 +364,43 @@ def _waiting_windows(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("key", "dk", "text", "waiting").mapInArrow(run, "one long, two long, key long, place long, flags long")
 
 
-def _repeated_windows(windows: DataFrame) -> DataFrame:
+def _met_again(rows: DataFrame, keys: list[str], kept: list[str], known: int, follower: int) -> DataFrame:
+    """The columns ``kept`` of the rows whose ``keys`` some other row has too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, False  # the last row waits for the next one
 
-        def judge(t: pa.Table, before: bool, after: bool):
-            one, two, flags = (t.column(c).to_numpy() for c in ("one", "two", "flags"))
-            like = (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & ((flags[1:] | flags[:-1]) & _FOLLOWER == 0)
-            hit = np.r_[before, like] | np.r_[like, after] | ((flags & _KNOWN_SPAN) > 0)
-            return t.select(["key", "place"]).take(pa.array(np.flatnonzero(hit))).combine_chunks().to_batches(), like
+        def alike(t: pa.Table) -> np.ndarray:
+            flags = t.column("flags").to_numpy()
+            like = (flags[1:] | flags[:-1]) & follower == 0
+            for name in keys:
+                x = t.column(name).to_numpy()
+                like &= x[1:] == x[:-1]
+            return like
+
+        def judge(t: pa.Table, like: np.ndarray, before: bool, after: bool) -> list[pa.RecordBatch]:
+            hit = np.r_[before, like] | np.r_[like, after] | ((t.column("flags").to_numpy() & known) > 0)
+            return t.select(kept).take(pa.array(np.flatnonzero(hit))).combine_chunks().to_batches()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
             if t.num_rows > 1:
-                _, like = judge(t, before, False)
-                found, _ = judge(t.slice(0, t.num_rows - 1), before, bool(like[-1]))
-                yield from found
+                like = alike(t)
+                yield from judge(t.slice(0, t.num_rows - 1), like[:-1], before, bool(like[-1]))
                 before = bool(like[-1])
             held = t.slice(t.num_rows - 1)
         if held is not None:
-            yield from judge(held, before, False)[0]
+            yield from judge(held, alike(held), before, False)
+
+    dealt = _dealt(rows, keys[0], *keys, follower_bit=follower)
+    return dealt.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept))
 
-    return _dealt(windows, "one", "one", "two").mapInArrow(run, "key long, place long")
+
+def _repeated_windows(windows: DataFrame) -> DataFrame:
+    """``key, place`` of the windows that stand elsewhere too."""
+    return _met_again(windows, ["one", "two"], ["key", "place"], _KNOWN_SPAN, _FOLLOWER)
 
 
 def _last_results(rows: DataFrame, window: int) -> DataFrame:
@@ -369,7 +430,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text repeat each other. An empty table gives no rows; other columns are ignored. Windows are
     compared by 128 bits of hash, texts by 96."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = _per_document(_judged_anchors(_anchors(base, window)), F.shiftleft(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 2) + F.col("state"))
+    marks = _per_document(_judged_anchors(_candidates(base, window)), F.shiftleft(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 2) + F.col("state"))
     first = materialize(_first_results(_with_marks(base.select("doc_id", *_doc_key(), "text"), marks, window), window), "repeats")
     done = first.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     going = first.where("text is not null").select("doc_id", "key", "dk", "text", "settled", "waiting")
