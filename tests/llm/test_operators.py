@@ -662,6 +662,27 @@ def test_large_buckets_of_near_copies(spark):
         assert [r.doc_id for r in simhash_wide.drop_near_copies(df, large=large).collect()] == [0]
 
 
+def test_large_buckets_of_chains(spark):
+    """All sketches share all least hashes, so that no dealing out parts them; links by way of others than the pivot count."""
+    r = np.random.default_rng(21)
+    bits = [r.integers(0, 2, 8 * simhash_wide.BYTES)]
+    for k in range(160):
+        row = (bits[-1] if k % 40 else r.integers(0, 2, 8 * simhash_wide.BYTES)).copy()
+        row[r.choice(len(row), 60 + k, False)] ^= 1
+        bits.append(row)
+    bits = np.array(bits)
+    rows = [(k, np.packbits(b).tobytes() + bytes(simhash_wide._MINIMA)) for k, b in enumerate(bits)]
+    df = spark.createDataFrame(rows, "node long, sketch binary")
+    root = list(range(len(bits)))
+    for a, b in zip(*np.nonzero((bits[:, None] != bits[None]).sum(2) <= simhash_wide.RADIUS), strict=True):
+        low, high = sorted((root[a], root[b]))
+        root = [low if x == high else x for x in root]
+    assert 3 < len(set(root)) < 120
+    for large in (6, 50, 4096):
+        found = {x.node: x.component for x in connected_components(simhash_wide.similar_pairs(df, large)).collect()}
+        assert [found.get(k, k) for k in range(len(bits))] == root
+
+
 def test_mixing_keeps_white_space(spark):
     texts = ["\n\n  def f(x):\n\treturn x\n\n\nf(1)\r\n", "a\tb\n" * 300, " one ", "no space", "é \u00a0x\n"]
     df = spark.createDataFrame([(i, t, f"s{i}", 0) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")

@@ -6,7 +6,9 @@ about 155 of them (standard deviation 11.5), of 0.7 in 197 (12.6); the radius of
 of pairs at 0.8 are linked and 6 % of those at 0.7, as a binomial draw. Texts meet in buckets by
 least hashes of their shingles, five for each of 12 tables, of which a pair at 0.8 shares one with a chance of
 99 %. In a bucket fingerprints are compared bit-sliced, as ``simhash`` does. Equal sketches are one throughout.
-A bucket of many is dealt out anew by three more least hashes, in eight tables.
+A bucket of many is dealt out anew by three more least hashes, in eight tables. What is large even then is
+compared with one of its rows, the pivot: rows within the radius of it are one component, and only rows
+farther away are compared with all of the bucket, block by block.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BYTES, RADIUS = 128, 177
 TABLES, LEAST = 12, 5
 #: Buckets with more fingerprints than this are dealt out anew.
 LARGE_BUCKET = 4096
+#: A task compares the buckets that it holds when they have so many rows.
+HELD = 8192
 AGAIN_TABLES, AGAIN_LEAST = 8, 3
 _CHUNK = 1 << 21
 _MINIMA = TABLES * LEAST + AGAIN_TABLES * AGAIN_LEAST
@@ -85,40 +89,65 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(docs.select(F.col(id_col).alias("doc_id"), _digest(text_col), text_or_empty(text_col)), run, f"doc_id {kind}, digest binary, sketch binary")
 
 
-def _compare(buckets: DataFrame, large: int, radius: int) -> DataFrame:
-    """Links ``a, b`` of ``key, node, print``. Of a bucket that is large still, ``large`` rows at a time are
-    compared with each other and with one row of each component before; so a row that is near to
-    others of a component and not to that one may stay apart there."""
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
+
+
+def _compare(buckets: DataFrame, radius: int) -> DataFrame:
+    """Links ``a, b`` of ``key, node, print``. A task holds whole buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, rows = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BYTES), np.uint8)
 
         def judge(n: int) -> Iterator[pa.RecordBatch]:
-            """The first ``n`` rows; of a bucket that goes on one row of each component stays."""
-            nonlocal keys, nodes, rows
             a, b = bucket_links(keys[:n], rows[:n], radius)
             if len(a):
                 yield pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
-            stays = np.ones(len(keys), bool)
-            stays[:n] = (keys[:n] == keys[-1]) if n < len(keys) else False
-            stays[a] = False
-            keys, nodes, rows = keys[stays], nodes[stays], rows[stays]
 
         for batch in batches:
-            for c in range(0, batch.num_rows, large):
-                part = batch.slice(c, large)
-                keys, nodes = np.r_[keys, part.column(0).to_numpy()], np.r_[nodes, part.column(1).to_numpy()]
-                rows = np.r_[rows, np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, BYTES)]
-                if len(keys) >= 2 * large:
-                    whole = int(np.searchsorted(keys != keys[-1], False))
-                    yield from judge(whole or len(keys) - 1)
-        if len(keys) > 1:
-            yield from judge(len(keys))
+            keys, nodes = np.r_[keys, batch.column(0).to_numpy()], np.r_[nodes, batch.column(1).to_numpy()]
+            rows = np.r_[rows, _rows(batch.column(2))]
+            if len(keys) >= HELD:
+                whole = int(np.searchsorted(keys != keys[-1], False))  # the last bucket may go on
+                yield from judge(whole)
+                keys, nodes, rows = keys[whole:], nodes[whole:], rows[whole:]
+        yield from judge(len(keys))
 
     n = max(1, int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return buckets.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def _around_pivots(rows: DataFrame, large: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """For buckets ``key, node, print, n`` (their number of rows) the links of rows to their bucket's pivot, its
+    least node; and smaller buckets in which each row that is farther from the pivot meets all rows. Two
+    rows near the pivot need not meet, as both are linked to it. A bucket with f rows far from the pivot is cut
+    into about 4 f n / large^2 buckets of ``large`` rows."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        apart = np.bitwise_count(_rows(batch.column(3)) ^ _rows(batch.column(5))).sum(axis=1, dtype=np.int64)
+        yield pa.record_batch([*batch.columns[:5], pa.array(apart > radius)], ["key", "node", "n", "print", "pivot", "far"])
+
+    pivots = materialize(rows.groupBy("key").agg(F.min(F.struct("node", "print")).alias("low")), "near-pivots")
+    joined = rows.join(pivots, "key").select("key", "node", "n", "print", F.col("low.node").alias("pivot"), F.col("low.print").alias("center"))
+    placed = materialize(map_batches(joined, run, "key long, node long, n long, print binary, pivot long, far boolean"), "near-placed")
+    far = materialize(placed.where("far").groupBy("key").agg(F.count(F.lit(1)).alias("n_far")), "near-far")
+    both = placed.join(far, "key")
+
+    def parts(n: str):
+        return F.ceil(F.col(n) / max(1, large // 2))
+
+    def own(n: str):
+        return F.pmod(F.xxhash64("node"), parts(n))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), parts(n) - 1))
+
+    left = both.where("far").select("key", "node", "print", own("n_far").alias("i"), every("n").alias("j"))
+    right = both.select("key", "node", "print", own("n").alias("j"), every("n_far").alias("i"))
+    blocks = left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("key"), "node", "print")
+    return placed.where("not far and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), blocks
+
+
 def _keys(first: int, tables: int, size: int, *more):
     return F.array(*[F.xxhash64(*more, F.lit(t), F.substring("sketch", BYTES + first + 1 + t * size, size)) for t in range(tables)])
 
@@ -132,8 +161,14 @@ def similar_pairs(distinct: DataFrame, large: int = LARGE_BUCKET, radius: int =
     bits = F.substring("sketch", 1, BYTES).alias("print")
     usual = rows.where(F.col("n") <= large).select("key", "node", bits)
     again = _keys(TABLES * LEAST, AGAIN_TABLES, AGAIN_LEAST, "key")
-    hot = rows.where(F.col("n") > large).select(F.explode(again).alias("key"), "node", bits)
-    return _compare(usual.unionByName(hot), large, radius)
+    dealt = materialize(rows.where(F.col("n") > large).select(F.explode(again).alias("key"), "node"), "near-dealt")
+    still = materialize(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large), "near-large")
+    prints = usable.select("node", bits)
+    buckets = usual.unionByName(dealt.join(still, "key", "left_anti").join(prints, "node").select("key", "node", "print"))
+    if still.isEmpty():
+        return _compare(buckets, radius)
+    links, blocks = _around_pivots(dealt.join(still, "key").join(prints, "node").select("key", "node", "print", "n"), large, radius)
+    return _compare(buckets.unionByName(blocks), radius).unionByName(links)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE_BUCKET, radius: int = RADIUS) -> DataFrame:
