@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tubal.llm import chat, embedding_dedup, exact_dedup, html_extract, langid, mixing, packing, quality, simhash, substring_dedup
+from tubal.llm import chat, embedding_dedup, exact_dedup, html_extract, langid, licenses, merkle, mixing, packing, periodic_runs, quality, simhash, substring_dedup
 from tubal.llm.common import table
 
 
@@ -15,8 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _crc():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
 def _remainder(n: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+    return F.pmod(_crc(), F.lit(n))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +71,30 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.floor(_crc() / 10)
+    tail = F.when(_crc() % 10 == 0, F.struct(g.alias("shift"), (3 + g % 8).alias("spread")))
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), tail, keep=["doc_id"])
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period", "exponent_milli")]
+    return found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), *best, "runs_sha256", "collapsed_sha256")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaf, tampered = (merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text) for text in (F.col("text"), lowered))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", leaf.alias("leaf"), F.when(_crc() % 5 == 0, tampered).alias("claimed"))
+    found = merkle.manifest(rows).withColumn("folded_root", merkle.fold(F.coalesce("claimed", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_embedding_near_dedup, op3_chat_rotation, op4_packing, op5_language_id, op6_substring_dedup,
     op7_exact_dedup, op8_source_mixing, op9_quality_classifier, op10_simhash_near_dedup,
+    op11_periodic_runs, op12_merkle_manifest, op13_license_scan,
 )}
 
 _CHAT_SQL = f"""
@@ -182,4 +207,89 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM worded LEFT JOIN kept USING (nth)
 """
 
-ORACLE_SQL = {"op2_embedding_near_dedup": _EMBEDDING_SQL, "op6_substring_dedup": _REPEATS_SQL, "op3_chat_rotation": _CHAT_SQL, "op7_exact_dedup": _EXACT_SQL, "op8_source_mixing": _MIX_SQL}
+
+def _trees_sql(name: str, leaves: str, levels: int) -> str:
+    """CTEs over ``leaves`` (tree, nth, node, n): ``{name}{k}``, their nodes k levels up, ``{name}_runs{k}``, the runs of
+    nodes that have a parent, and ``{name}_tops``. With ``levels`` levels a tree may have 16 ** levels leaves."""
+    out = [f"{name}0 AS ({leaves})"]
+    for k in range(levels):
+        out.append(f"{name}_runs{k} AS (SELECT tree, nth // 16 AS run, list(node ORDER BY nth) AS nodes, max(n) AS n FROM {name}{k} WHERE n > 1 GROUP BY ALL)")
+        out.append(f"{name}{k + 1} AS (SELECT tree, run AS nth, sha256(array_to_string(nodes, '')) AS node, (n + 15) // 16 AS n FROM {name}_runs{k})")
+    tops = " UNION ALL ".join(f"SELECT tree, node FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    return ", ".join([*out, f"{name}_tops AS ({tops})"])
+
+
+def _folds_sql(name: str, trees: str, start: str, levels: int) -> str:
+    """CTEs ``{name}0`` to ``{name}{levels}`` that take the rows of ``start`` (tree, nth, node, proof) up their trees."""
+    out = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        before, after = (f"array_to_string(r.nodes[{cut}], '')" for cut in ("1:p.nth % 16", "p.nth % 16 + 2:"))
+        out.append(
+            f"{name}{k + 1} AS (SELECT p.* EXCLUDE (nth, node, proof), p.nth // 16 AS nth, CASE WHEN r.run IS NULL THEN p.node ELSE sha256({before} || p.node || {after}) END AS node, "
+            f"p.proof || CASE WHEN r.run IS NULL THEN '' ELSE {before} || {after} END AS proof FROM {name}{k} AS p LEFT JOIN {trees}_runs{k} AS r ON p.tree = r.tree AND p.nth // 16 = r.run)"
+        )
+    return ", ".join(out)
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit."""
+    byte = "xor(crc, ascii(c))"
+    for _ in range(8):
+        byte = f"list_transform([{byte}], lambda b: xor(b >> 1, (b & 1) * 3988292384))[1]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda crc, c: {byte.replace('ascii(c)', 'c')}), 4294967295)"
+
+
+_FIELDS = [_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars")]
+_MERKLE_SQL = f"""
+WITH hashed AS (
+  SELECT doc_id, source, sha256({" || ".join(_FIELDS)} || {_field_sql("text")}) AS leaf,
+         sha256({" || ".join(_FIELDS)} || {_field_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS lowered,
+         coalesce({_crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0, false) AS tampers
+  FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth, count(*) OVER (PARTITION BY source) AS n
+  FROM hashed),
+{_trees_sql("t", "SELECT tree, nth, leaf AS node, n FROM placed", 5)},
+{_trees_sql("s", "SELECT 0 AS tree, tree AS nth, node, count(*) OVER () AS n FROM t_tops", 4)},
+{_folds_sql("f", "t", "SELECT doc_id, tree, tree AS source_nth, nth, leaf, CASE WHEN tampers THEN lowered ELSE leaf END AS node, '' AS proof FROM placed", 5)},
+{_folds_sql("g", "s", "SELECT doc_id, source_nth, leaf, 0 AS tree, source_nth AS nth, node, proof FROM f5", 4)}
+SELECT g4.doc_id, g4.leaf, t_tops.node AS subroot, s_tops.node AS root, sha256(g4.proof) AS proof_sha256, g4.node AS folded_root, g4.node = s_tops.node AS verified
+FROM g4 JOIN t_tops ON t_tops.tree = g4.source_nth CROSS JOIN s_tops
+"""
+
+
+def _places_sql() -> str:
+    rows = []
+    for i, (base, (label, text)) in enumerate([*((True, x) for x in licenses.PHRASES), *((False, x) for x in licenses.NOTICES)]):
+        words = text.split(" ")
+        grams = [" ".join(words[k : k + licenses.GRAM]) for k in range(len(words) - licenses.GRAM + 1)]
+        rows += [f"({i}, '{label}', {base}, {len(grams)}, {at}, '{gram}')" for at, gram in enumerate(grams)]
+    return ", ".join(rows)
+
+
+_LICENSE_SQL = f"""
+WITH places(template, label, base, length, place, gram) AS (VALUES {_places_sql()}),
+worded AS MATERIALIZED (
+  SELECT row_number() OVER () AS nth, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+grams AS (SELECT nth, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT nth, w, unnest(range(1, len(w) - 1)) AS i FROM worded WHERE len(w) > 2)),
+voted AS (SELECT nth, template, label, base, length, pos - place AS diagonal, min(pos) AS frm, max(pos) AS upto, list(place) AS held FROM grams JOIN places USING (gram) GROUP BY ALL),
+apart AS (SELECT *, base OR diagonal - coalesce(lag(diagonal) OVER (PARTITION BY nth, template ORDER BY diagonal), -(1 << 30)) > {licenses.NEAR} AS new FROM voted),
+numbered AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY nth, template ORDER BY diagonal) AS span FROM apart),
+spans AS (SELECT nth, template, label, base, length, span, min(diagonal) AS start, min(frm) AS frm, max(upto) AS upto, len(list_distinct(flatten(list(held)))) / length AS share FROM numbered GROUP BY nth, template, label, base, length, span),
+fitting AS (SELECT * FROM spans WHERE CASE WHEN base THEN share = 1 ELSE share >= {licenses.COVERED} AND upto - frm + 1 <= length * {licenses.LONGEST} END),
+found AS (
+  SELECT nth, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM fitting GROUP BY nth)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM worded LEFT JOIN found USING (nth)
+"""
+
+ORACLE_SQL = {"op12_merkle_manifest": _MERKLE_SQL, "op13_license_scan": _LICENSE_SQL, "op2_embedding_near_dedup": _EMBEDDING_SQL, "op6_substring_dedup": _REPEATS_SQL, "op3_chat_rotation": _CHAT_SQL, "op7_exact_dedup": _EXACT_SQL, "op8_source_mixing": _MIX_SQL}
