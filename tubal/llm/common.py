@@ -91,9 +91,14 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def named(column: str) -> Column:
+    """A column of just this name, whatever stands in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
     """The caller's columns as one, ``row``, so that columns added beside it clash with none."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+    return docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), *more)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tubal.llm.common import byte_strings, map_batches, runs_of
+from tubal.llm.common import byte_strings, map_batches, named, runs_of
 
 #: A run is at least so many words and so many periods long.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -237,7 +237,7 @@ def find_runs(docs: DataFrame, text: Column, tail: Column | None = None, keep: l
     words from g mod n on are replaced by repetitions of the first 1 + (n - g mod n) // spread of them; null or a text without words: none are. A null
     text has no words and no runs; ids play no part; rows may repeat; an empty table gives no rows; a text of any length is taken whole, by one task."""
     extra = F.lit(None).cast("struct<shift:long,spread:long>") if tail is None else tail
-    carried = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row")
+    carried = F.struct(*[named(c) for c in (docs.columns if keep is None else keep)]).alias("row")
     rows = docs.select(carried, text.cast("string").alias("text"), extra["shift"].alias("shift"), extra["spread"].alias("spread"))
     schema = StructType([rows.schema["row"], *StructType.fromDDL(f"n_words long, runs array<{RUN}>, best {BEST}, runs_sha256 string, collapsed_sha256 string")])
 
