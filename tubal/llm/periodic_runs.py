@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from tubal.llm.common import byte_strings, map_batches, named, runs_of
 #: A run is at least so many words and so many periods long.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
 #: Bytes of text whose words are in one suffix array, but for a single longer text.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 18
 
 RUN = "struct<start:long,length:long,period:long>"
 BEST = "struct<start:long,length:long,period:long,exponent_milli:long>"
@@ -193,8 +194,7 @@ def periodic_runs(documents: list[list[bytes]], least_words: int = LEAST_WORDS,
     total = int(bounds[-1])
     rows = np.zeros((0, 3), np.int64)
     if total:
-        column = pa.chunked_array([pa.array(w, pa.binary()) for w in documents if w]).dictionary_encode().unify_dictionaries().combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        column = pa.array(list(chain.from_iterable(documents)), pa.large_binary()).dictionary_encode()
         numbers = column.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         numbers += np.repeat(np.arange(len(documents)), counts) * len(column.dictionary)
         rows = Repeats(numbers).runs()
