@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tubal.functions import transforms
 from tubal.operators import factors as fx
-from tubal.operators import blocks, products, ragged, shape, threshold
+from tubal.operators import block_matrix, blocks, kept, products, ragged, shape, threshold
 from tubal.plans import analytics, compression
 from tubal.sources.sinks import upserted
 from tubal.sources.tables import code_of, read, tensor_from_table
@@ -381,6 +383,26 @@ def compress_rank(spark, sf):
     return _cells(compression.reconstruct(compression.compress(t, "eye", rank=1)))
 
 
+@_query(ORACLE_SQL["compress_tolerance"])
+def blocks_compress_tolerance(spark, sf):
+    """The same from blocks, of which there are some."""
+    b = blocks.to_blocks(lines3(spark, sf), 28)
+    return _reported(compression.report_blocks(b, compression.compress_blocks(b, "eye", tol=TOL)))
+
+
+@_query(ORACLE_SQL["compress_rank"])
+def blocks_compress_rank(spark, sf):
+    b = blocks.to_blocks(lines3(spark, sf), 28)
+    return _cells(compression.reconstruct_blocks(compression.compress_blocks(b, "eye", rank=1)).cells())
+
+
+@_query(f"WITH {_GRAM2} SELECT count(DISTINCT slice) AS n_slices, count(DISTINCT slice) * 8 * (2 * 7 + 2 + 2) AS bytes, count(DISTINCT slice) * 8 * 2 * (2 + 7 + 1) AS factor_bytes FROM s")
+def kept_reductions(spark, sf):
+    """What is kept of two by seven slices until their ranks are known, and what full factors would take."""
+    reduced = kept.reduce_slices(fx.to_slices(lines3(spark, sf)))
+    return kept.kept_bytes(reduced).join(F.broadcast(reduced.agg(F.countDistinct("slice").alias("n_slices"))))  # one row each
+
+
 @_query(f"WITH {_GRAM2}, {_CUT.format(tol2=TOL * TOL)} SELECT slice, round(coalesce(sum(CASE WHEN sigma >= cutoff THEN sigma * sigma END), 0), 4) AS energy FROM s, x GROUP BY ALL")
 def truncate_factors(spark, sf):
     full = fx.decompose(fx.to_slices(lines3(spark, sf)))
@@ -388,16 +410,18 @@ def truncate_factors(spark, sf):
     return cut.select("slice", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x), 4).alias("energy"))
 
 
-@_query(f"WITH {_GRAM2}, {_CUT.format(tol2=TOL * TOL)} SELECT slice, round(coalesce(sum(CASE WHEN sigma >= cutoff THEN sigma * sigma END), 0), 4) AS truncated, round(coalesce(sum(CASE WHEN sigma >= cutoff THEN sigma * sigma END), 0), 4) AS direct, CAST(0 AS DOUBLE) AS gap FROM s, x GROUP BY ALL")
+@_query(f"WITH {_GRAM2}, {_CUT.format(tol2=TOL * TOL)} SELECT slice, round(coalesce(sum(CASE WHEN sigma >= cutoff THEN sigma * sigma END), 0), 4) AS truncated, round(coalesce(sum(CASE WHEN sigma >= cutoff THEN sigma * sigma END), 0), 4) AS direct, round(coalesce(sum(CASE WHEN sigma >= cutoff THEN sigma * sigma END), 0), 4) AS formed, CAST(0 AS DOUBLE) AS gap FROM s, x GROUP BY ALL")
 def strategies_agree(spark, sf):
-    """Energies of full decomposition then truncation, of decomposition at given ranks, and the largest gap."""
+    """Energies of full decomposition then truncation, of decomposition at given ranks, of vectors formed from kept reductions, and the largest gap."""
     slices = fx.to_slices(lines3(spark, sf))
     full = fx.decompose(slices)
     ranks = threshold.ranks(fx.sigma_rows(full), TOL)
-    one, two = fx.multiply(fx.truncate(full, ranks)), fx.multiply(fx.decompose_ranks(slices, ranks)).withColumnRenamed("data", "other")
+    formed = kept.form_factors(kept.reduce_slices(slices), ranks)
+    one = fx.multiply(fx.truncate(full, ranks)).select("slice", F.col("data").alias("one"))
+    two, three = (fx.multiply(x).select("slice", F.col("data").alias(n)) for x, n in ((fx.decompose_ranks(slices, ranks), "two"), (formed, "three")))
     energy = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x), 4)
-    gap = F.array_max(F.zip_with("data", "other", lambda a, b: F.abs(a - b)))
-    return one.join(two.select("slice", "other"), "slice").select("slice", energy("data").alias("truncated"), energy("other").alias("direct"), F.round(gap, 6).alias("gap"))
+    gap = F.greatest(*[F.array_max(F.zip_with("one", other, lambda a, b: F.abs(a - b))) for other in ("two", "three")])
+    return one.join(two, "slice").join(three, "slice").select("slice", energy("one").alias("truncated"), energy("two").alias("direct"), energy("three").alias("formed"), F.round(gap, 6).alias("gap"))
 
 
 @_query(f"WITH {_GRAM2} SELECT slice, CAST(slice % 3 AS INTEGER) AS k, round(coalesce(sum(CASE WHEN q < slice % 3 THEN sigma * sigma END), 0), 4) AS energy FROM s GROUP BY ALL")
@@ -421,23 +445,26 @@ _MATRIX2 = f"SELECT i0, i1 + 7 * i2 AS i1, 0 AS i2, v FROM ({_LINES3}) AS l"
 
 @_query(f"WITH {_gram2(_MATRIX2)} SELECT q, round(sigma, 4) AS sigma FROM s")
 def matrix_singular_values(spark, sf):
-    found = fx.singular_values(fx.matrix_slice(shape.unfold(lines3(spark, sf), [0])))
+    found = block_matrix.singular_values(shape.unfold(lines3(spark, sf), [0]))
     return found.select(F.col("q").cast("long").alias("q"), F.round("sigma", 4).alias("sigma"))
 
 
+def _matrix_cells(m: Matrix) -> DataFrame:
+    cells = m.entries.select(F.col("r").cast("long").alias("i0"), F.col("c").cast("long").alias("i1"), _rounded("v").alias("v"))
+    return cells.where("v <> 0")
+
+
 _PROJECTED = " d AS (SELECT i1, i2, sum(v * CASE WHEN i0 = 0 THEN x ELSE y END) AS dot FROM t JOIN f ON i2 = slice GROUP BY ALL)"
 
 
 @_query(f"WITH {_gram2(_MATRIX2)}, {_LEADING2}, {_PROJECTED} SELECT * FROM (SELECT CAST(r AS BIGINT) AS i0, d.i1, round(dot * CASE WHEN r = 0 THEN x ELSE y END, 4) + 0.0 AS v FROM d JOIN f ON i2 = slice CROSS JOIN range(2) AS z(r)) AS u WHERE v <> 0")
 def matrix_rank_one(spark, sf):
-    m = shape.unfold(lines3(spark, sf), [0])
-    return _cells(fx.to_cells(fx.multiply(fx.decompose(fx.matrix_slice(m), 1)), (m.rows, m.columns)))
+    return _matrix_cells(block_matrix.tall_svd(shape.unfold(lines3(spark, sf), [0]), 1).product())
 
 
 @_query(f"WITH t AS ({_MATRIX2}) SELECT i0, i1, round(v, 4) AS v FROM t WHERE round(v, 4) <> 0")
 def matrix_full_svd(spark, sf):
-    m = shape.unfold(lines3(spark, sf), [0])
-    return _cells(fx.to_cells(fx.multiply(fx.decompose(fx.matrix_slice(m))), (m.rows, m.columns)))
+    return _matrix_cells(block_matrix.tall_svd(shape.unfold(lines3(spark, sf), [0])).product())
 
 
 @_query(f"WITH t AS ({_ORDERS5}), g AS (SELECT x.i0 AS a, y.i0 AS b, x.i2, x.i3, x.i4, sum(x.v * y.v) AS g FROM t AS x JOIN t AS y USING (i1, i2, i3, i4) GROUP BY ALL) SELECT i2 + 5 * i3 + 25 * i4 AS slice, round(sum(CASE WHEN a = b THEN g ELSE 0 END), 4) AS energy, round(sum(g * g), 4) AS energy2 FROM g GROUP BY ALL")
@@ -471,11 +498,29 @@ def compress_tolerance_events(spark, sf):
     return _reported(compression.report(t, compression.compress(t, "dct", tol=0.1)))
 
 
-@_query()
+@_query(ORACLE_SQL["compress_tolerance_events"])
+def blocks_compress_events(spark, sf):
+    b = blocks.to_blocks(events2(spark, sf), 200)
+    return _reported(compression.report_blocks(b, compression.compress_blocks(b, "dct", tol=0.1)))
+
+
+def _held_sql(tensor: str) -> str:
+    """A tolerance's report as far as cells alone tell: the norm, and that the rest follows from it."""
+    return f"SELECT round(sqrt(sum(v * v)), 4) AS norm, true AS within, true AS parts_add_up, true AS ratio_follows FROM ({tensor}) AS t"
+
+
+def _held(report: DataFrame, tol: float, ratio: Column) -> DataFrame:
+    """That the error is within the tolerance, that kept and lost energy add up (both are orthogonal parts), and that the ratio follows from the ranks."""
+    adds = F.abs(F.col("norm") * F.col("norm") - F.col("norm_back") * F.col("norm_back") - F.col("abs_err") * F.col("abs_err")) <= 1e-9 * F.col("norm") * F.col("norm")
+    return report.select(F.round("norm", 4).alias("norm"), (F.col("relative_err") <= tol).alias("within"), adds.alias("parts_add_up"), (F.abs(F.col("compression_ratio") - ratio) < 1e-9).alias("ratio_follows"))
+
+
+@_query(_held_sql(_EVENTS3))
 def compress_tolerance_types(spark, sf):
     """The same with a row for each event type."""
     t = events3(spark, sf)
-    return compression.report(t, compression.compress(t, "dct", tol=0.1))
+    found = compression.report(t, compression.compress(t, "dct", tol=0.1))
+    return _held(found, 0.1, F.lit(float(t.size)) / (F.col("sum_rank") * (t.dims[0] + t.dims[1] + 1)))
 
 
 @_query(f"SELECT unnest(['dct', 'hosvd', 'hosvd_t']) AS kind, round(sqrt(sum(v * v)), 4) AS norm, round(sqrt(sum(v * v)), 4) AS rebuilt, true AS within FROM ({_EVENTS4}) AS t")
@@ -522,10 +567,8 @@ def hosvd_compress(spark, sf):
     """A tensor of two by two by two, half of each mode kept."""
     modes = [(code_of("l_linestatus", ["F", "O"]), 2), (F.pmod("l_linenumber", F.lit(2)), 2), (F.pmod(F.year("l_shipdate"), F.lit(2)), 2)]
     t = tensor_from_table(read(spark, sf, "lineitem"), modes, F.col("l_extendedprice") / 1e6)
-    core, vectors = compression.hosvd(t, share=0.5)
-    stored = core.size + sum(u.size for u in vectors)
-    found = compression.errors(t, compression.hosvd_back(core, vectors)).withColumn("compression_ratio", F.round(F.lit(t.size / stored), 4))
-    return found.select(F.round("norm", 4).alias("norm"), F.round("norm_back", 4).alias("norm_back"), F.round("abs_err", 3).alias("abs_err"), "compression_ratio")
+    found = compression.report_hosvd(t, *compression.hosvd(t, share=0.5))
+    return found.select(*[F.round(n, d).alias(n) for n, d in (("norm", 4), ("norm_back", 4), ("abs_err", 3), ("compression_ratio", 4))])
 
 
 @_query(
@@ -540,19 +583,30 @@ def eof_compress(spark, sf):
     return compression.errors(t, back).select(F.lit(k).alias("k"), F.round(F.lit(ratio), 4).alias("compression_ratio"), F.round("relative_err", 4).alias("relative_err"))
 
 
-@_query()
+def _stored(dims: tuple[int, ...]) -> Column:
+    """Numbers of a core and its factor matrices, by the ranks."""
+    ranks = [F.col("ranks")[k] for k in range(len(dims))]
+    return F.lit(1.0) * math.prod(ranks[1:], start=ranks[0]) + sum((r * d for r, d in zip(ranks[1:], dims[1:], strict=True)), ranks[0] * dims[0])
+
+
+@_query(_held_sql(_ORDERS5))
 def hosvd_compress_orders(spark, sf):
+    """Half of each mode; any error is within 1."""
     t = orders5(spark, sf)
-    core, vectors = compression.hosvd(t, share=0.5)
-    stored = core.size + sum(u.size for u in vectors)
-    return compression.errors(t, compression.hosvd_back(core, vectors)).withColumn("compression_ratio", F.lit(t.size / stored))
+    return _held(compression.report_hosvd(t, *compression.hosvd(t, share=0.5)), 1.0, F.lit(float(t.size)) / _stored(t.dims))
+
+
+@_query(_held_sql(_EVENTS3))
+def hosvd_tolerance_events(spark, sf):
+    t = events3(spark, sf)
+    return _held(compression.report_hosvd(t, *compression.hosvd(t, tol=0.2)), 0.2, F.lit(float(t.size)) / _stored(t.dims))
 
 
-@_query()
+@_query(_held_sql(_EVENTS3))
 def eof_compress_events(spark, sf):
     t = events3(spark, sf)
     back, k, ratio = compression.eof(t, 0.1)
-    return compression.errors(t, back).withColumn("k", F.lit(k)).withColumn("compression_ratio", F.lit(ratio))
+    return _held(compression.errors(t, back).withColumn("compression_ratio", F.lit(ratio)), 0.1, F.lit(t.size / (k * (t.dims[2] + t.dims[0] * t.dims[1] + 1))))
 
 
 @_query("WITH e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) SELECT CAST(a.d AS BIGINT) AS a, CAST(b.d AS BIGINT) AS b, round(sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)), 4) + 0.0 AS g FROM e AS a JOIN e AS b USING (vec_id) GROUP BY ALL")

@@ -58,7 +58,7 @@ def matrix_slice(m: Matrix) -> DataFrame:
     return to_slices(Tensor(cells, (m.rows, m.columns)))
 
 
-def _stacks(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def stacks(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of one shape, and their matrices."""
     for (m, n), every in frame.groupby(["nrow", "ncol"]).indices.items():
         step = max(1, FRAME_CELLS // max(1, m * n))
@@ -69,7 +69,7 @@ def _stacks(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, flat.reshape(len(at), n, m).transpose(0, 2, 1)
 
 
-def _signed(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signed_vectors(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The largest entry of each left vector made positive."""
     top = np.take_along_axis(u, np.abs(u).argmax(axis=1)[:, None, :], axis=1)
     sign = np.where(top < 0, -1.0, 1.0)
@@ -81,7 +81,7 @@ def singular_values(slices: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at, x in _stacks(frame):
+            for at, x in stacks(frame):
                 s = np.linalg.svd(x, compute_uv=False)
                 q = s.shape[1]
                 yield pd.DataFrame({"slice": np.repeat(frame["slice"].to_numpy()[at], q), "q": np.tile(np.arange(q), len(at)), "sigma": s.ravel()})
@@ -98,7 +98,7 @@ def decompose(slices: DataFrame, k: int | None = None) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at, x in _stacks(frame):
+            for at, x in stacks(frame):
                 m, n = x.shape[1:]
                 if k is not None and k > min(m, n):
                     raise ValueError(f"rank {k} of a {m} x {n} slice")
@@ -106,7 +106,7 @@ def decompose(slices: DataFrame, k: int | None = None) -> DataFrame:
                 if (ranks > min(m, n)).any() or (ranks < 0).any():
                     raise ValueError(f"a rank outside 0 to {min(m, n)}")
                 u, s, vt = np.linalg.svd(x, full_matrices=False)
-                u, v = _signed(u, vt.transpose(0, 2, 1))
+                u, v = signed_vectors(u, vt.transpose(0, 2, 1))
                 rows = [(int(i), m, n, int(r), u[j, :, :r].ravel("F"), s[j, :r], v[j, :, :r].ravel("F")) for j, (i, r) in enumerate(zip(frame["slice"].to_numpy()[at], ranks, strict=True))]
                 yield pd.DataFrame(rows, columns=["slice", "nrow", "ncol", "k", "u", "s", "v"])
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tubal.operators import block_matrix
 from tubal.tensor import Matrix, Tensor, index_names, linear_index, split_index
 
 #: Matrices up to so many entries are broadcast (24 bytes each); larger ones are joined by a shuffle.
@@ -25,12 +26,8 @@ BLOCK_CELLS = 1 << 21
 
 
 def matmul(a: Matrix, b: Matrix) -> Matrix:
-    if a.columns != b.rows:
-        raise ValueError(f"{a.rows} x {a.columns} and {b.rows} x {b.columns} matrices have no product")
-    left = a.entries.select("r", F.col("c").alias("k"), F.col("v").alias("x"))
-    right = b.entries.select(F.col("r").alias("k"), "c", F.col("v").alias("y"))
-    out = left.join(right, "k").groupBy("r", "c").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    return Matrix(out, a.rows, b.columns)
+    """Through blocks: dense products in tasks, no row for each pair of entries."""
+    return block_matrix.matmul(a, b)
 
 
 def _small(m: Matrix) -> DataFrame:

@@ -22,16 +22,23 @@ def ragged_tensor(spark: SparkSession, values: Sequence[float], fixed: int, rank
     return spark.createDataFrame(rows, "slice long, nrow int, ncol int, data array<double>")
 
 
+def _there(parts: DataFrame, name: str, number: int) -> DataFrame:
+    """The part of that number; an error, when it is read, where there is none."""
+    found = parts.where(F.col(name) == number).agg(F.first(F.struct(*parts.columns)).alias("part"), F.count(F.lit(1)).alias("n"))
+    part = F.when(F.col("n") > 0, F.col("part")).otherwise(F.raise_error(F.lit(f"no {name} {number}")))
+    return found.select(part.alias("part")).select("part.*")
+
+
 def get_slice(slices: DataFrame, number: int) -> DataFrame:
-    return slices.where(F.col("slice") == number)
+    return _there(slices, "slice", number)
 
 
 def with_slice(slices: DataFrame, number: int, data: Sequence[float]) -> DataFrame:
     """``data`` column-major; its length must be the slice's."""
     fits = F.assert_true(F.size("data") == len(data), F.lit(f"slice {number} does not have {len(data)} values"))
     new = F.array(*[F.lit(float(x)) for x in data]).cast("array<double>")
-    here = F.col("slice") == number
-    return slices.withColumn("data", F.when(here, F.coalesce(fits.cast("array<double>"), new)).otherwise(F.col("data")))
+    changed = _there(slices, "slice", number).withColumn("data", F.coalesce(fits.cast("array<double>"), new))
+    return slices.where(F.col("slice") != number).unionByName(changed)
 
 
 def flat(slices: DataFrame) -> DataFrame:
@@ -50,17 +57,18 @@ def ragged_matrix(spark: SparkSession, values: Sequence[float], ranks: Sequence[
 
 def get_value(columns: DataFrame, r: int, c: int) -> DataFrame:
     """``v``; an error where the column has no such row."""
-    return columns.where(F.col("c") == c).select(F.element_at("data", r + 1).alias("v"))
+    return _there(columns, "c", c).select(F.element_at("data", r + 1).alias("v"))
 
 
 def set_value(columns: DataFrame, r: int, c: int, value: float) -> DataFrame:
     fits = F.assert_true(F.size("data") > r, F.lit(f"column {c} has no row {r}"))
     new = F.transform("data", lambda x, k: F.when(k == r, F.lit(float(value))).otherwise(x))
-    return columns.withColumn("data", F.when(F.col("c") == c, F.coalesce(fits.cast("array<double>"), new)).otherwise(F.col("data")))
+    changed = _there(columns, "c", c).withColumn("data", F.coalesce(fits.cast("array<double>"), new))
+    return columns.where(F.col("c") != c).unionByName(changed)
 
 
 def get_column(columns: DataFrame, c: int) -> DataFrame:
-    return columns.where(F.col("c") == c).select(F.posexplode("data").alias("r", "v"))
+    return _there(columns, "c", c).select(F.posexplode("data").alias("r", "v"))
 
 
 def with_column(columns: DataFrame, c: int, data: Sequence[float]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tubal.tensor import Matrix, Tensor, index_names, linear_index, slice_number, split_index
@@ -46,21 +46,36 @@ def set_element(m: Matrix, r: int, c: int, value: float) -> Matrix:
     return Matrix(m.entries.where(~((F.col("r") == r) & (F.col("c") == c))).select("r", "c", "v").unionByName(one), m.rows, m.columns)
 
 
+def _checked(m: Matrix, r: int | None = None, c: int | None = None) -> None:
+    if (r is not None and not 0 <= r < m.rows) or (c is not None and not 0 <= c < m.columns):
+        raise ValueError(f"no {'column' if r is None else 'row'} {c if r is None else r} in a {m.rows} x {m.columns} matrix")
+
+
+def _inside(name: str, size: int) -> Column:
+    """The index column; an error where it lies outside."""
+    fits = (F.col(name) >= 0) & (F.col(name) < size)
+    return F.when(fits, F.col(name)).otherwise(F.raise_error(F.concat(F.lit(f"no {name} "), F.col(name).cast("string"), F.lit(f" of {size}")))).alias(name)
+
+
 def get_row(m: Matrix, r: int) -> DataFrame:
+    _checked(m, r=r)
     return m.entries.where(F.col("r") == r).select("c", "v")
 
 
 def get_column(m: Matrix, c: int) -> DataFrame:
+    _checked(m, c=c)
     return m.entries.where(F.col("c") == c).select("r", "v")
 
 
 def set_row(m: Matrix, r: int, row: DataFrame) -> Matrix:
     """``row`` has ``c`` and ``v``."""
-    return Matrix(m.entries.where(F.col("r") != r).unionByName(row.select(F.lit(r).alias("r"), "c", "v")), m.rows, m.columns)
+    _checked(m, r=r)
+    return Matrix(m.entries.where(F.col("r") != r).unionByName(row.select(F.lit(r).alias("r"), _inside("c", m.columns), "v")), m.rows, m.columns)
 
 
 def set_column(m: Matrix, c: int, column: DataFrame) -> Matrix:
-    return Matrix(m.entries.where(F.col("c") != c).unionByName(column.select("r", F.lit(c).alias("c"), "v")), m.rows, m.columns)
+    _checked(m, c=c)
+    return Matrix(m.entries.where(F.col("c") != c).unionByName(column.select(_inside("r", m.rows), F.lit(c).alias("c"), "v")), m.rows, m.columns)
 
 
 def frontal_slice(t: Tensor, number: int) -> DataFrame:
@@ -79,11 +94,13 @@ def frontal_slice(t: Tensor, number: int) -> DataFrame:
 
 def with_slice(t: Tensor, number: int, cells: DataFrame) -> Tensor:
     """The tensor with a slice replaced by ``cells`` (``i0, i1, v``)."""
+    if not 0 <= number < t.slices:
+        raise ValueError(f"no slice {number} of {t.slices}")
     fixed, at = [], number
     for d in t.dims[2:]:
         fixed.append(at % d)
         at //= d
-    new = cells.select("i0", "i1", *[F.lit(x).cast("int").alias(n) for x, n in zip(fixed, t.modes[2:], strict=True)], "v")
+    new = cells.select(_inside("i0", t.dims[0]), _inside("i1", t.dims[1]), *[F.lit(x).cast("int").alias(n) for x, n in zip(fixed, t.modes[2:], strict=True)], "v")
     return t.with_cells(t.cells.where(slice_number(t) != number).unionByName(new.select(*t.modes, "v")))
 
 

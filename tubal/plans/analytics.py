@@ -74,7 +74,7 @@ def phase_stack(runs: DataFrame, keys: list[str], phases: list[str]) -> DataFram
     return long.withColumn("stacked_sec", F.sum("mean_sec").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-_NUMBER = r"([-+]?(?:[0-9.]+(?:[eE][-+]?[0-9]+)?|nan|inf))"
+_NUMBER = r"([-+]?(?:[0-9.]+(?:[eE][-+]?[0-9]+)?|(?i:nan|inf)))"
 #: Lines of a log by the column that they fill; sums are over all modes. Fixed values.
 _TEXTS = {
     "alg": r"alg\s+:\s+(\S+)", "mtype": r"mtype\s+:\s+(\S+)", "k": r"k\s+:\s+(\S+)", "tol": r"tol\s+:\s+(\S+)", "dname": r"dname\s+:\s+(\S+)",
@@ -95,6 +95,7 @@ _ERRORS = {
 }
 _NAME_PARTS = ["dname_f", "alg_f", "k_or_tol_f", "mtype_f", "perm_mode_f", "omp_threads_f"]
 _MODE = r"Time for TTM on mode (\d+) :"
+#: Fixed values too: the columns of a parsed log.
 LOG_COLUMNS = [
     "filename", "complete", *_NAME_PARTS, "run_id", *_TEXTS, "time_transform_matrix", "time_data_to_tensor", "compression_ratio",
     "time_compress_ttm_total", *_COMPRESS, "time_reconstruct_matmul", "time_reconstruct_ttm_total", *_ERRORS,

@@ -16,20 +16,36 @@ from pyspark.sql import functions as F
 
 from tubal.functions import transforms
 from tubal.operators import factors as fx
-from tubal.operators import products, shape, threshold
+from tubal.operators import block_matrix, blocks, kept, products, shape, threshold
 from tubal.tensor import Matrix, Tensor, matrix_from_numpy
 
+
+class _Kept:
+    kept: DataFrame | None
+
+    def unpersist(self) -> None:
+        """Frees what was kept on the way, once the factors have been used or written."""
+        if self.kept is not None:
+            self.kept.unpersist()
+
+
 @dataclass(frozen=True)
-class Compressed:
+class Compressed(_Kept):
     factors: DataFrame
     dims: tuple[int, ...]  # in the transform domain
     inverses: list[Matrix]
     modes: list[int]
     kept: DataFrame | None = None  # what was persisted on the way
 
-    def unpersist(self) -> None:
-        if self.kept is not None:
-            self.kept.unpersist()
+
+@dataclass(frozen=True)
+class CompressedBlocks(_Kept):
+    factors: DataFrame
+    dims: tuple[int, ...]
+    step: int
+    inverses: list[np.ndarray]
+    modes: list[int]
+    kept: DataFrame | None = None
 
 
 def mode_transforms(t: Tensor, kind: str, modes: Sequence[int] | None = None) -> tuple[list[Matrix], list[Matrix], list[int]]:
@@ -59,31 +75,105 @@ def compress(t: Tensor, kind: str = "dct", modes: Sequence[int] | None = None, *
     slices = fx.to_slices(hat)
     if rank is not None:
         return Compressed(fx.decompose(slices, rank), hat.dims, inverse, modes)
-    # One decomposition serves both the cut-off and the factors.
-    full = fx.decompose(slices).persist()
-    ks = threshold.ranks(fx.sigma_rows(full), tol)
-    return Compressed(fx.truncate(full, ks), hat.dims, inverse, modes, full)
+    # One reduction of each slice serves both the cut-off and the factors.
+    reduced = kept.reduce_slices(slices).persist()
+    return Compressed(kept.form_factors(reduced, threshold.ranks(kept.kept_values(reduced), tol)), hat.dims, inverse, modes, reduced)
 
 
 def reconstruct(c: Compressed, strategy: str = "auto") -> Tensor:
     return products.transform(fx.to_cells(fx.multiply(c.factors), c.dims), c.inverses, c.modes, strategy)
 
 
+def compress_blocks(b: blocks.Blocks, kind: str = "dct", modes: Sequence[int] | None = None, *, rank: int | None = None, tol: float | None = None) -> CompressedBlocks:
+    """``compress`` of a dense tensor in blocks: the same factors, with array products from end to end and one shuffle. Matrices of the
+    transforms go to all tasks, so a mode's is of ``products.BROADCAST_ENTRIES`` at most."""
+    if (rank is None) == (tol is None):
+        raise ValueError("either a rank or a tolerance")
+    modes = list(range(2, len(b.dims))) if modes is None else list(modes)
+    if kind not in ("dct", "eye"):
+        raise ValueError(f"no transform {kind!r} of blocks")
+    forward = [transforms.dct_array(b.dims[m]) for m in modes] if kind == "dct" else []
+    modes = modes if kind == "dct" else []
+    if any(m.size > products.BROADCAST_ENTRIES for m in forward):
+        raise ValueError("a transform is too large to go to all tasks; keep the tensor as cells")
+    dims, inverse = b.dims, [m.T for m in forward]
+    small = min(dims[:2])
+    if rank is not None:
+        if not 1 <= rank <= small:
+            raise ValueError(f"rank {rank} of {dims[0]} x {dims[1]} slices")
+
+        def leading(numbers: np.ndarray, x: np.ndarray) -> pa.Table:
+            u, s, vt = np.linalg.svd(x, full_matrices=False)
+            u, v = fx.signed_vectors(u[:, :, :rank], vt[:, :rank].transpose(0, 2, 1))
+            return _slice_table(numbers, x.shape, {"k": pa.array([rank] * len(numbers), pa.int32())} | {n: _lists(y) for n, y in (("u", u.transpose(0, 2, 1)), ("s", s[:, :rank]), ("v", v.transpose(0, 2, 1)))})
+
+        return CompressedBlocks(blocks.over_slices(b, leading, fx.FACTORS, forward, modes), dims, b.step, inverse, modes)
+
+    def reduce(numbers: np.ndarray, x: np.ndarray) -> pa.Table:
+        s, work, scales = kept.reduce_stack(x)
+        return _slice_table(numbers, x.shape, {"s": _lists(s)} | {n: pa.array([r.tobytes() for r in y], pa.binary()) for n, y in (("work", work), ("scales", scales))})
+
+    reduced = blocks.over_slices(b, reduce, kept.KEPT, forward, modes).persist()
+    factors = kept.form_factors(reduced, threshold.ranks(kept.kept_values(reduced), tol))
+    return CompressedBlocks(factors, dims, b.step, inverse, modes, reduced)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """An array for each entry of the first axis."""
+    flat = np.ascontiguousarray(x).reshape(len(x), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+
+
+def _slice_table(numbers: np.ndarray, shape_: tuple[int, ...], more: dict[str, pa.Array]) -> pa.Table:
+    sizes = {n: pa.array([d] * len(numbers), pa.int32()) for n, d in zip(("nrow", "ncol"), shape_[1:], strict=True)}
+    return pa.table({"slice": pa.array(numbers, pa.int64())} | sizes | more)
+
+
+def reconstruct_blocks(c: CompressedBlocks) -> blocks.Blocks:
+    """Blocks of the factors' products, transformed back: one shuffle."""
+
+    def products_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        columns = [batch.column(n) for n in ("slice", "nrow", "ncol", "k", "u", "s", "v")]
+        for number, m, n, k, u, s, v in zip(*columns, strict=True):
+            if (k := k.as_py()) > 0:  # a slice of rank 0 is zero
+                u, s, v = (x.values.to_numpy() for x in (u, s, v))
+                yield number.as_py(), (u.reshape(k, m.as_py()).T * s) @ v.reshape(k, n.as_py())
+
+    found = blocks.from_slices(c.factors, products_of, c.dims, c.step, c.inverses, c.modes)
+    return blocks.Blocks(found.frame, c.dims, c.step)
+
+
+def report_blocks(b: blocks.Blocks, c: CompressedBlocks, back: blocks.Blocks | None = None) -> DataFrame:
+    """As ``report``, from blocks."""
+    sums = blocks.block_sums(b, back or reconstruct_blocks(c))
+    roots = [F.sqrt(x).alias(n) for n, x in (("abs_err", "lost"), ("norm", "left"), ("norm_back", "right"))]
+    return _reported(b.size, c.factors, sums.select(*roots))
+
+
+def _reported(size: int, factors: DataFrame, err: DataFrame) -> DataFrame:
+    """One row of both; a ratio to nothing stored is null, and an error relative to a norm of zero is zero where there is none."""
+    held = factors.agg(F.count(F.lit(1)).alias("n_slices"), F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("sum_rank"), F.sum(F.size("u") + F.size("s") + F.size("v")).alias("stored"))
+    relative = F.when(F.col("abs_err") == 0, F.lit(0.0)).otherwise(F.try_divide("abs_err", "norm"))
+    ratio = F.try_divide(F.lit(float(size)), F.col("stored"))
+    return held.join(F.broadcast(err)).select("n_slices", "sum_rank", ratio.alias("compression_ratio"), "abs_err", relative.alias("relative_err"), "norm", "norm_back")  # one row each
+
+
 def report(t: Tensor, c: Compressed, back: Tensor | None = None) -> DataFrame:
     """One row: ``n_slices, sum_rank, compression_ratio, relative_err``, and the norms."""
     back = back or reconstruct(c)
-    err = errors(t, back)
-    kept = c.factors.agg(F.count(F.lit(1)).alias("n_slices"), F.sum("k").cast("long").alias("sum_rank"), F.sum(F.size("u") + F.size("s") + F.size("v")).alias("stored"))
-    return kept.join(F.broadcast(err)).select("n_slices", "sum_rank", (F.lit(float(t.size)) / F.col("stored")).alias("compression_ratio"), "abs_err", "relative_err", "norm", "norm_back")  # one row each
+    return _reported(t.size, c.factors, errors(t, back))
 
 
 def errors(a: Tensor, b: Tensor) -> DataFrame:
-    """``abs_err, relative_err, norm, norm_back``. Missing cells are zero."""
+    """``abs_err, relative_err, norm, norm_back``. Missing cells are zero; the relative error is 0 where there is none, and null where the
+    first tensor is zero and the second is not."""
     both = a.cells.select(*a.modes, F.col("v").alias("x"), F.lit(0.0).alias("y")).unionByName(b.cells.select(*b.modes, F.lit(0.0).alias("x"), F.col("v").alias("y")))
     cells = both.groupBy(*a.modes).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     d = F.col("x") - F.col("y")
     sums = cells.agg(*[F.sqrt(F.sum(e * e)).alias(n) for e, n in ((d, "abs_err"), (F.col("x"), "norm"), (F.col("y"), "norm_back"))])
-    return sums.select("abs_err", (F.col("abs_err") / F.col("norm")).alias("relative_err"), "norm", "norm_back")
+    sums = sums.select(*[F.coalesce(n, F.lit(0.0)).alias(n) for n in ("abs_err", "norm", "norm_back")])
+    relative = F.when(F.col("abs_err") == 0, F.lit(0.0)).otherwise(F.try_divide("abs_err", "norm"))
+    return sums.select("abs_err", relative.alias("relative_err"), "norm", "norm_back")
 
 
 def _summed(m: Matrix, width: int, add) -> DataFrame:
@@ -135,8 +225,8 @@ def _array(rows: DataFrame, count: int, width: int) -> np.ndarray:
     return out
 
 
-#: A Gram matrix of more rows than this is not made; a sketch of so many entries at most is.
-GRAM_ROWS, SKETCH_ENTRIES = 4096, 1 << 24
+#: A Gram matrix of more rows than this is not made.
+GRAM_ROWS = 4096
 
 
 def _gram_rows(m: Matrix) -> DataFrame:
@@ -170,29 +260,34 @@ def _eigen(m: Matrix) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(w[::-1], 0), _signs(u[:, ::-1])
 
 
-def leading_eigen(m: Matrix, k: int, oversample: int = 10, powers: int = 2, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` largest squared singular values and their left vectors, of a matrix with many rows: by a random
-    sketch of its range (Halko, Martinsson, Tropp 2011), refined by power steps. Exact where the rank is
-    k + ``oversample`` or less."""
-    width = min(m.rows, m.columns, k + oversample)
-    if m.rows * width > SKETCH_ENTRIES:
-        raise ValueError(f"a sketch of {m.rows} x {width} is not sent to the driver; ask for fewer values")
-    # The random columns are numbers of the columns' own, so that a lost task makes the same again.
-    random = lambda columns: np.stack([np.random.default_rng([seed, int(c)]).standard_normal(width) for c in columns])
-    q = np.linalg.qr(_array(_summed(m, width, lambda x, c: x @ random(c)), m.rows, width))[0]
-    for _ in range(powers):
-        q = np.linalg.qr(_array(_summed(m, width, lambda x, _, q=q: x @ (x.T @ q)), m.rows, width))[0]
-
-    def small(x: np.ndarray, _: np.ndarray) -> np.ndarray:
-        y = q.T @ x
-        return y @ y.T
-
-    w, u = np.linalg.eigh(_array(_summed(m, width, small), width, width))
-    return np.maximum(w[::-1], 0)[:k], _signs(q @ u[:, ::-1])[:, :k]
+def leading_vectors(m: Matrix, k: int) -> tuple[np.ndarray, Matrix]:
+    """The ``k`` largest squared singular values and their left vectors: from the Gram matrix where the rows are few, by subspace iteration, with the
+    vectors left on the cluster, where they are many."""
+    if m.rows <= GRAM_ROWS:
+        energies, vectors = _eigen(m)
+        return energies[:k], matrix_from_numpy(m.entries.sparkSession, vectors[:, :k])
+    found = block_matrix.leading_subspace(block_matrix.to_blocks(m), min(k, m.rows, m.columns))
+    return found.energies, found.vectors.entries()
+
+
+def vectors_within(m: Matrix, lost: float) -> Matrix:
+    """As few leading left vectors as leave out no more than ``lost`` of the energy, one at least."""
+    if m.rows <= GRAM_ROWS:
+        energies, vectors = _eigen(m)
+        beyond = np.cumsum(energies[::-1])[::-1]  # energy from each value on
+        return matrix_from_numpy(m.entries.sparkSession, vectors[:, : max(1, int((beyond > lost).sum()))])
+    blocks_, k = block_matrix.to_blocks(m), 32
+    while True:
+        k = min(k, m.rows, m.columns)
+        found = block_matrix.leading_subspace(blocks_, k)
+        left = found.total - np.cumsum(found.energies)
+        if left[-1] <= lost or k == min(m.rows, m.columns):
+            return found.vectors.entries().leading_columns(min(k, int((left > lost).sum()) + 1))
+        k *= 2  # the count that is enough is not known before
 
 
 def mode_vectors(t: Tensor, mode: int) -> np.ndarray:
-    """Left singular vectors of a mode's unfolding, all of them."""
+    """Left singular vectors of a mode's unfolding, all of them: a square matrix, so for modes of ``GRAM_ROWS`` at most."""
     return _eigen(shape.unfold(t, [mode]))[1]
 
 
@@ -207,31 +302,34 @@ def eof(t: Tensor, tol: float, k_max: int = 1000) -> tuple[Tensor, int, float]:
     reconstruction, the rank and the compression ratio."""
     last = len(t.dims) - 1
     flat = shape.unfold(t, [last])
-    energies, vectors = _eigen(flat) if flat.rows <= GRAM_ROWS else leading_eigen(flat, min(k_max, flat.rows))
+    energies, vectors = leading_vectors(flat, min(k_max, flat.rows, flat.columns) if flat.rows > GRAM_ROWS else flat.rows)
     k = energy_rank(energies, tol, k_max)
-    spark, kept = t.cells.sparkSession, vectors[:, :k]
+    kept_vectors = vectors.leading_columns(k)
     # Through the k coefficients of each place, never through a matrix of time by time.
-    back = products.transform(products.transform(t, [matrix_from_numpy(spark, kept.T)], [last]), [matrix_from_numpy(spark, kept)], [last])
+    back = products.transform(products.transform(t, [kept_vectors.transposed()], [last]), [kept_vectors], [last])
     return back, k, t.size / (k * (flat.rows + flat.columns + 1))
 
 
-def hosvd(t: Tensor, *, tol: float | None = None, share: float | None = None) -> tuple[Tensor, list[np.ndarray]]:
+def hosvd(t: Tensor, *, tol: float | None = None, share: float | None = None) -> tuple[Tensor, list[Matrix]]:
     """Core and factor matrices; the ranks are ``ceil(share x size)``, or what each mode's part of the
-    squared tolerance allows."""
-    spark, found = t.cells.sparkSession, []
+    squared tolerance allows. Of modes longer than ``GRAM_ROWS`` only leading vectors are ever found, and they stay on the cluster."""
+    if (tol is None) == (share is None):
+        raise ValueError("either a tolerance or a share")
+    energy = None if tol is None else shape.norm(t).first()[0] ** 2
+    found = []
     for mode, d in enumerate(t.dims):
-        energies, vectors = _eigen(shape.unfold(t, [mode]))
-        if share is not None:
-            k = min(d, math.ceil(d * share))
-        else:
-            lost = np.cumsum(energies[::-1])[::-1]  # energy from each value on
-            may = (tol or 0.0) ** 2 * energies.sum() / len(t.dims)
-            k = max(1, int((lost > may).sum()))
-        found.append(vectors[:, :k])
-    core = products.transform(t, [matrix_from_numpy(spark, u.T) for u in found], list(range(len(t.dims))))
+        flat = shape.unfold(t, [mode])
+        found.append(leading_vectors(flat, min(d, math.ceil(d * share)))[1] if share is not None else vectors_within(flat, tol**2 * energy / len(t.dims)))
+    core = products.transform(t, [u.transposed() for u in found], list(range(len(t.dims))))
     return core, found
 
 
-def hosvd_back(core: Tensor, vectors: list[np.ndarray]) -> Tensor:
-    spark = core.cells.sparkSession
-    return products.transform(core, [matrix_from_numpy(spark, u) for u in vectors], list(range(len(vectors))))
+def hosvd_back(core: Tensor, vectors: list[Matrix]) -> Tensor:
+    return products.transform(core, vectors, list(range(len(vectors))))
+
+
+def report_hosvd(t: Tensor, core: Tensor, vectors: list[Matrix]) -> DataFrame:
+    """One row: ``ranks`` by mode, ``compression_ratio`` and the errors."""
+    stored = core.size + sum(u.size for u in vectors)
+    ranks = F.array(*[F.lit(u.columns) for u in vectors])
+    return errors(t, hosvd_back(core, vectors)).select(ranks.alias("ranks"), F.lit(t.size / stored).alias("compression_ratio"), "abs_err", "relative_err", "norm", "norm_back")

@@ -63,6 +63,13 @@ class Matrix:
     columns: int
     known: np.ndarray | None = field(default=None, compare=False, repr=False)  # the same, where it is at hand
 
+    @property
+    def size(self) -> int:
+        return self.rows * self.columns
+
+    def leading_columns(self, k: int) -> Matrix:
+        return Matrix(self.entries.where(F.col("c") < k), self.rows, k, None if self.known is None else self.known[:, :k])
+
     def transposed(self) -> Matrix:
         known = None if self.known is None else self.known.T
         return Matrix(self.entries.select(F.col("c").alias("r"), F.col("r").alias("c"), "v"), self.columns, self.rows, known)
