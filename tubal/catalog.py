@@ -449,6 +449,18 @@ def matrix_singular_values(spark, sf):
     return found.select(F.col("q").cast("long").alias("q"), F.round("sigma", 4).alias("sigma"))
 
 
+_EMBEDDED = "SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings"
+
+
+@_query(f"WITH e AS ({_EMBEDDED}), g AS (SELECT sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)) AS g, a.d = b.d AS own FROM e AS a JOIN e AS b USING (vec_id) GROUP BY a.d, b.d) SELECT count(*) FILTER (WHERE own) AS n_values, round(sum(g) FILTER (WHERE own), 4) AS energy, round(sum(g * g), 3) AS energy2 FROM g")
+def embedding_energies(spark, sf):
+    """Singular values of the matrix of all embeddings, a row each: their squares and fourth powers add up to what the entries give."""
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("r"), F.col("embedding").alias("data"))
+    last = vectors.agg(F.max("r")).first()[0]
+    s2 = F.col("sigma") * F.col("sigma")
+    return block_matrix.singular_values(block_matrix.from_rows(vectors, last + 1, 64)).agg(F.count(F.lit(1)).alias("n_values"), F.round(F.sum(s2), 4).alias("energy"), F.round(F.sum(s2 * s2), 3).alias("energy2"))
+
+
 def _matrix_cells(m: Matrix) -> DataFrame:
     cells = m.entries.select(F.col("r").cast("long").alias("i0"), F.col("c").cast("long").alias("i1"), _rounded("v").alias("v"))
     return cells.where("v <> 0")

@@ -21,7 +21,7 @@ from tubal.tensor import DRIVER_ENTRIES, Matrix
 
 SCHEMA = "i long, j long, data binary"
 #: Edge of a block, blocks along the edge of a cube of a product, entries of a row block, and triangles put together at a time.
-EDGE, CUBE, ROW_BLOCK, FAN = 1024, 2, 1 << 21, 8
+EDGE, CUBE, ROW_BLOCK, FAN = 1024, 2, 1 << 19, 8
 
 
 @dataclass(frozen=True)
@@ -101,6 +101,27 @@ def to_blocks(m: Matrix, height: int = EDGE, width: int = EDGE) -> BlockMatrix:
     return BlockMatrix(placed.groupBy("i", "j").applyInArrow(fill, SCHEMA), m.rows, m.columns, height, width)
 
 
+def from_rows(rows: DataFrame, count: int, columns: int, height: int | None = None) -> BlockMatrix:
+    """From a row each, ``r`` (from 0) and ``data`` (an array of ``columns`` numbers), as row blocks: a dense matrix needs no entry rows. Rows that are
+    missing are zero; of another length they are an error."""
+    height = height or max(columns, ROW_BLOCK // columns, 1)
+    out = BlockMatrix(rows, count, columns, height, columns)
+    shape_of = out.shape_of
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        i = key[0].as_py()
+        x = np.zeros(shape_of(i, 0))
+        for chunk_r, chunk in zip(table.column("r").chunks, table.column("data").chunks, strict=True):
+            lengths = np.diff(chunk.offsets.to_numpy())
+            if (lengths != columns).any():
+                raise ValueError(f"a row has {lengths[lengths != columns][0]} numbers, not {columns}")
+            x[chunk_r.to_numpy()] = chunk.flatten().to_numpy().reshape(-1, columns)
+        return pa.Table.from_batches([packed([(i, 0, x)])])
+
+    placed = rows.select(F.floor(F.col("r") / height).alias("i"), F.pmod("r", F.lit(height)).cast("long").alias("r"), F.col("data").cast("array<double>").alias("data"))
+    return BlockMatrix(placed.groupBy("i").applyInArrow(fill, SCHEMA), count, columns, height, columns)
+
+
 def _summed(parts: DataFrame, count: int, shape_of: Callable[[int, int], tuple[int, int]]) -> DataFrame:
     """Blocks of parts ``i, j, part, data``, of which there are ``count`` at most for a block; ``FAN`` are added in a task at a time."""
 
@@ -210,21 +231,22 @@ def _stacked(table: pa.Table, n: int) -> tuple[list[tuple[int, int]], np.ndarray
     return [(i, len(x)) for i, x in parts], np.concatenate([x for _, x in parts])
 
 
-def tall_svd(m: Matrix, k: int | None = None, vectors: bool = True, entries: int = ROW_BLOCK) -> TallSvd:
+def tall_svd(m: Matrix | BlockMatrix, k: int | None = None, vectors: bool = True, entries: int = ROW_BLOCK) -> TallSvd:
     """All or the ``k`` leading singular triplets of a matrix with one long side: a tree of triangular factors of row blocks up to one small
-    triangle, whose vectors are multiplied back down the tree. A wide matrix is transposed. The largest entry of each vector of the short side
+    triangle, whose vectors are multiplied back down the tree. A wide matrix is transposed; a ``BlockMatrix`` of row blocks is taken as it is. The largest entry of each vector of the short side
     is positive. Without ``vectors`` only the values are found."""
+    spark = (m.frame if isinstance(m, BlockMatrix) else m.entries).sparkSession
     flipped = m.columns > m.rows
-    tall = m.transposed() if flipped else m
-    n = tall.columns
+    n = min(m.rows, m.columns)
     if n * n > DRIVER_ENTRIES:
         raise ValueError(f"both sides of {m.rows} x {m.columns} are long; ask leading_subspace for the leading part")
     if k is not None and not 1 <= k <= n:
         raise ValueError(f"rank {k} of a {m.rows} x {m.columns} matrix")
-    steps = Steps(m.entries.sparkSession)
-    height = max(n, entries // n, 1)
-    a = to_blocks(tall, height, n)
-    a = BlockMatrix(steps.cut(a.frame), a.rows, a.columns, height, n)
+    if isinstance(m, BlockMatrix) and (flipped or m.width < n):
+        m = m.entries()
+    steps = Steps(spark)
+    a = m if isinstance(m, BlockMatrix) else to_blocks(m.transposed() if flipped else m, max(n, entries // n, 1), n)
+    a = BlockMatrix(steps.cut(a.frame), a.rows, a.columns, a.height, n)
     levels = _triangles(a, steps)
     found = levels[-1].toArrow()
     top = _stacked(found, n)[1] if found.num_rows else np.zeros((1, n))
@@ -234,7 +256,7 @@ def tall_svd(m: Matrix, k: int | None = None, vectors: bool = True, entries: int
     u, v, rank = u * sign, v * sign, len(s)
     if not vectors:
         return TallSvd(a, s, v, flipped, steps)
-    back = m.entries.sparkSession.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(u.tobytes()).alias("back"))
+    back = spark.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(u.tobytes()).alias("back"))
 
     def down(key: tuple, table: pa.Table, above: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -255,14 +277,14 @@ def tall_svd(m: Matrix, k: int | None = None, vectors: bool = True, entries: int
                 yield packed([(i, 0, _qr(x)[0] @ np.frombuffer(w.as_buffer(), np.float64).reshape(-1, rank))])
 
     joined = a.frame.join(back, "i").select("i", "j", "data", "back")
-    return TallSvd(BlockMatrix(joined.mapInArrow(last, SCHEMA), a.rows, rank, height, rank), s, v, flipped, steps)
+    return TallSvd(BlockMatrix(joined.mapInArrow(last, SCHEMA), a.rows, rank, a.height, rank), s, v, flipped, steps)
 
 
-def singular_values(m: Matrix) -> DataFrame:
+def singular_values(m: Matrix | BlockMatrix) -> DataFrame:
     """``q, sigma``: all singular values of a matrix with one long side at most, descending."""
     found = tall_svd(m, vectors=False)
     found.drop()
-    return m.entries.sparkSession.createDataFrame(list(enumerate(found.s.tolist())), "q int, sigma double")
+    return found.long.frame.sparkSession.createDataFrame(list(enumerate(found.s.tolist())), "q int, sigma double")
 
 
 # Leading subspaces

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
 
+#: How blocks are written as Parquet: a row may be megabytes, so sizes are looked at after each and not after a hundred, and
+#: numbers of this kind gain nothing from a dictionary or compression.
+BLOCK_OPTIONS = {
+    "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
+    "parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false", "compression": "none",
+}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """As the cluster names it in ``spark.checkpoint.dir``. Only on one machine may it be unset."""
@@ -32,7 +39,7 @@ class Steps:
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.written)}"
         self.written.append(path)
-        df.write.parquet(path)
+        df.write.options(**BLOCK_OPTIONS).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, stay: list[int] | None = None) -> None:
