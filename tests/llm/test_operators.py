@@ -341,6 +341,16 @@ def test_packing(docs, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def test_packing_carries_any_ids(spark):
+    """Longs beyond what a double holds, beside a null, in one merge; and ids that are no numbers."""
+    rows = [((1 << 60) + 1, "one two"), ((1 << 60) + 3, "three"), (None, "four"), (-(1 << 62) - 1, "five")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), tokenizer_path(), with_ids=False)
+    assert got.schema["doc_id"].dataType.simpleString() == "bigint"
+    assert {r.doc_id for r in got.collect()} == {i for i, _ in rows}
+    named = packing.pack(spark.createDataFrame([("a", "x"), (None, "y")], "doc_id string, text string"), tokenizer_path()).collect()
+    assert {r.doc_id for r in named} == {"a", None}
+
+
 def test_language(spark, none):
     r = np.random.default_rng(11)
     stems = {"aa": "kalo mira tesu pano".split(), "bb": "schrunk gewelt plichten drost".split()}
@@ -518,6 +528,42 @@ def test_blocks_and_extraction(spark):
     assert got[2].text == got[3].text == got[4].text == "" and html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_names_of_any_number_and_depth():
+    """Long lists of classes and named elements in between hide no sidebar; classes of the whole page make none."""
+    text = "The river rose through the night and the town council met to decide what to do about the bridge."
+    box, article = "<p>Short words in the box, read more of our other stories today.</p>", f'<article class="post"><p>{text}</p><p>{text}</p></article>'
+    utility = " ".join(f"u{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60))
+    model = html_extract.default_extractor()
+    for page in (
+        f'<body>{article}<div class="{utility} sidebar ad promo">{box}</div></body>',
+        f'<body>{article}<div class="sidebar ad promo">{"".join(f"<div class=level{c}>" for c in "abcdef")}{box}{"</div>" * 7}</body>',
+        f'<body class="home page has-sidebar"><div class="page"><div class="wrap">{article}</div></div></body>',
+    ):
+        assert model.text(page) == f"{text}\n{text}"
+
+
+def test_text_inside_math_and_objects():
+    """Only the parts that are no article text are dropped."""
+    page = "<article><p>Energy is <math><mi>E</mi>=<mi>m</mi><mi>c</mi></math> as said, <object data=x>a picture</object> and <svg><text>no</text></svg>all.</p></article>"
+    assert [b.text for b in blocks_of(page)] == ["Energy is E=mc as said, a picture and all."]
+
+
+def test_many_names_in_a_page():
+    r = np.random.default_rng(3)
+    names = ["".join(chr(97 + c) for c in row) for row in r.integers(0, 26, (5000, 6))]
+    began = time.perf_counter()
+    html_extract.default_extractor().text("".join(f"<div class={n}>x" for n in names))
+    assert time.perf_counter() - began < 30
+
+
+def test_parts_of_names():
+    from tubal.llm import html_blocks
+
+    bits = html_blocks._parts("ad") | html_blocks._parts("aside")
+    assert sorted(html_blocks.parts_of(bits)) == sorted({"^ad", "ad$", "^as", "asi", "sid", "ide", "de$"})
+    assert sum(map(html_blocks.bits_of, html_blocks.parts_of(bits))) == bits
+
+
 def test_chain_against_enumeration():
     r = np.random.default_rng(17)
     s, moves = r.standard_normal((3, 6, 2)), r.standard_normal((2, 2))

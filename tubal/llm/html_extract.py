@@ -1,7 +1,7 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of a page.
 
-Features are the blocks' ancestor tags, the words of ancestors' classes and ids with their three-letter
-parts, and shape of the text.
+Features are the blocks' ancestor tags, what the words of all their ancestors' classes and ids name, the three-letter
+parts of those words, and the shape of the text.
 The field is trained by maximum likelihood on labelled pages and decoded by Viterbi."""
 
 from __future__ import annotations
@@ -14,40 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tubal.llm.common import map_batches
-from tubal.llm.html_blocks import Block, blocks_of
+from tubal.llm.html_blocks import Block, bits_of, blocks_of, parts_of
 from tubal.llm.html_pages import labelled_pages
 
-#: Words of classes and ids by what they name. Fixed values.
-NAME_GROUPS = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc tabs pagination pager".split(),
-    "head": "header masthead topbar toolbar logo".split(),
-    "foot": "footer bottom copyright legal colophon".split(),
-    "side": "sidebar side aside widget widgets rail".split(),
-    "advert": "ad ads advert adverts advertisement banner promo promotion sponsor sponsored sponsors".split(),
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay paywall disclaimer".split(),
-    "comment": "comment comments commentlist reply replies discussion disqus respond reader".split(),
-    "share": "share sharing social related recommended recommendation newsletter subscribe subscription tags meta byline".split(),
-    "form": "form login signup signin register search contact".split(),
-    "content": "content article post entry story main text body".split(),
-}
-_GROUP_OF = {w: g for g, words in NAME_GROUPS.items() for w in words}
-
-
-def _parts(word: str) -> set[str]:
-    """Three letters in a row, with marks at both ends: ``sidebarleft`` shares some with ``sidebar``."""
-    marked = f"^{word[:24]}$"
-    return {marked[i : i + 3] for i in range(len(marked) - 2)}
-
-
-def features(block: Block, place: int, count: int) -> list[str]:
+def features(block: Block, place: int, count: int, known: int = -1) -> list[str]:
+    """Of the parts of names only those in ``known`` (bits); by default all."""
     at = block.place
     out = ["bias", f"own={at.tag}", *(f"in={t}" for t in at.around)]
-    words_of = frozenset().union(*at.named)
-    groups = {_GROUP_OF[w] for w in words_of if w in _GROUP_OF}
-    out += [f"name={g}" for g in groups]
-    if groups - {"content"}:
+    out += [f"name={g}" for g in at.groups]
+    if at.groups - {"content"}:
         out.append("name=aside-of-text")
-    out += [f"part={p}" for p in set().union(*map(_parts, sorted(words_of)[:12]))]
+    out += [f"part={p}" for p in parts_of(at.parts & known)]
     words = block.text.count(" ") + 1
     out.append("words=" + ("1" if words == 1 else "2-4" if words < 5 else "5-9" if words < 10 else "10-24" if words < 25 else "25-79" if words < 80 else "80+"))
     share = block.link_chars / len(block.text)
@@ -68,6 +45,10 @@ class Extractor:
 
     def __init__(self, weights: dict[str, tuple[float, float]], moves: list[list[float]]):
         self.weights, self.moves = weights, moves
+        self.known = 0
+        for f in weights:
+            if f.startswith("part="):
+                self.known |= bits_of(f.removeprefix("part="))
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The likeliest labels, by Viterbi."""
@@ -75,7 +56,7 @@ class Extractor:
         (m00, m01), (m10, m11) = self.moves
         back, a, b = [], 0.0, 0.0
         for i, block in enumerate(blocks):
-            pairs = [self.weights.get(f, none) for f in features(block, i, n)]
+            pairs = [self.weights.get(f, none) for f in features(block, i, n, self.known)]
             s0, s1 = sum(p[0] for p in pairs), sum(p[1] for p in pairs)
             if i == 0:
                 a, b = s0, s1

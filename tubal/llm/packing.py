@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -88,8 +87,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ``with_ids`` the ids (binary, little-endian unsigned 32-bit).
 
     A document is the ids of its whole text, a null text counting as empty, and ``END_ID``; each id lies
-    in one piece. Null and repeated ids are carried as they are; a text of any length is one row's ids, taken
-window by window; of windows that are equally full the one opened first is taken. An empty table gives no rows; other
+    in one piece. Null and repeated ids of any type are carried as they are; a text of any length is one row's ids, taken
+    window by window; of windows that are equally full the one opened first is taken. An empty table gives no rows; other
     columns are ignored. A sequence's padding is what it lacks to ``capacity``."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part long"
@@ -116,20 +115,20 @@ window by window; of windows that are equally full the one opened first is taken
         if rows:
             yield batch_of(rows, id_type)
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "sequence_id", "offset"])
-        group = int(pdf["part"].iloc[0]) // MERGED
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("part", "ascending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        group = table.column("part")[0].as_py() // MERGED
         packer, rows = Packer(capacity, 1, (1 << 62) + (group << 32)), []
-        for r in pdf.itertuples(index=False):
-            doc_id = None if pd.isna(r.doc_id) else r.doc_id
-            for sequence, pieces in packer.add(doc_id, r.start, np.frombuffer(r.ids, "<u4"), r.doc_tokens):
+        ids, kind = table.column("doc_id").to_pylist(), table.schema.field("doc_id").type  # as they are: pandas would make doubles of longs beside a null
+        for doc_id, start, piece, doc_tokens in zip(ids, *(table.column(c).to_pylist() for c in ("start", "ids", "doc_tokens")), strict=True):
+            for sequence, pieces in packer.add(doc_id, start, np.frombuffer(piece, "<u4"), doc_tokens):
                 rows.extend(_rows(sequence, pieces, with_ids, None))
         for sequence, pieces in packer.rest():
             rows.extend(_rows(sequence, pieces, with_ids, None))
-        return pd.DataFrame(rows, columns=_FIELDS)
+        return pa.Table.from_batches([batch_of(rows, kind)])
 
     first = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema), "packed")
     left = first.where("part is not null")
-    merged = left.groupBy(F.floor(F.col("part") / MERGED).alias("group")).applyInPandas(merge, schema)
+    merged = left.groupBy(F.floor(F.col("part") / MERGED).alias("group")).applyInArrow(merge, schema)
     out = first.where("part is null").unionByName(merged).drop("part")
     return out if with_ids else out.drop("ids")
