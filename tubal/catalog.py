@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tubal.functions import transforms
+from tubal.functions import tables, transforms
 from tubal.operators import factors as fx
 from tubal.operators import block_matrix, blocks, kept, products, ragged, shape, threshold
 from tubal.plans import analytics, compression
@@ -330,6 +330,18 @@ def slice_ranks(spark, sf):
     return threshold.ranks(fx.singular_values(fx.to_slices(lines3(spark, sf))), TOL)
 
 
+@_query(f"WITH {_GRAM2} SELECT slice, q, round(sigma, 4) AS sigma FROM s")
+def slice_values_in_sql(spark, sf):
+    """Singular values of all slices by a table function, in SQL alone."""
+    tables.register(spark)
+    read(spark, sf, "lineitem").createOrReplaceTempView("_lineitem")
+    return spark.sql(
+        "WITH cells AS (SELECT year(l_shipdate) - 1995 AS slice, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS i0, l_linenumber - 1 AS i1, sum(l_extendedprice / 1e6) AS v"
+        " FROM _lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001 AND l_linenumber BETWEEN 1 AND 7 GROUP BY 1, 2, 3)"
+        " SELECT slice, CAST(q AS BIGINT) AS q, round(sigma, 4) AS sigma FROM slice_values(TABLE(cells), 2, 7)"
+    )
+
+
 def _prices(spark, sf):
     """Order prices as values of 100 slices."""
     return read(spark, sf, "orders").select(F.pmod("o_custkey", F.lit(100)).alias("slice"), F.col("o_orderkey").alias("q"), F.col("o_totalprice").alias("sigma"))

@@ -40,15 +40,27 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert_csv(spark: SparkSession, path: str, new: DataFrame, keys: list[str], schema: str) -> None:
-    """Rows of ``new`` take the place of those with their keys. The table is written beside the old one
-    and then takes its name. A run that begins is put in with the time ``STARTED``, and again with its own."""
+    """Rows of ``new`` take the place of those with their keys. The table is written beside the old one, which is moved aside before the new one takes its
+    name and goes after it; where a writer died in between, the next one starts from the one aside. One writer at a time: for more see ``VersionedTable``.
+    A run that begins is put in with the time ``STARTED``, and again with its own."""
+    aside = f"{path}-before"
+    if not exists(spark, path) and exists(spark, aside):
+        _rename(spark, aside, path)
     old = read_csv(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
     beside = f"{path}-{uuid.uuid4().hex}"
     write_csv(upserted(old, new.select(*old.columns), keys), beside, old.columns)
-    where, files = _file_system(spark, path)
+    where, files = _file_system(spark, aside)
+    files.delete(where, True)
+    if exists(spark, path):
+        _rename(spark, path, aside)
+    _rename(spark, beside, path)
     files.delete(where, True)
-    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), where):
-        raise OSError(f"{beside} could not take the name {path}")
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    where, files = _file_system(spark, old)
+    if not files.rename(where, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"{old} could not take the name {new}")
 
 
 def saved_or(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
