@@ -230,6 +230,16 @@ def test_places_outside(spark):
             bad.collect()
 
 
+def test_values_of_blocks(spark):
+    a = np.random.default_rng(14).standard_normal((4, 3, 5, 2))
+    t = from_numpy(spark, a)
+    forward, _, modes = compression.mode_transforms(t, "dct")
+    for kind, of in (("eye", t), ("dct", compression.products.transform(t, forward, modes))):
+        got = {(r.slice, r.q): r.sigma for r in compression.values_of_blocks(blocks.to_blocks(t, 25), kind).collect()}
+        want = {(r.slice, r.q): r.sigma for r in fx.singular_values(fx.to_slices(of)).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_threshold_of_kept_values(spark):
     a = np.random.default_rng(13).standard_normal((5, 7, 4))
     slices = fx.to_slices(from_numpy(spark, a))

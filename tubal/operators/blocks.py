@@ -19,6 +19,9 @@ from tubal.operators.products import BLOCK_CELLS
 from tubal.tensor import Tensor, index_names, linear_index, split_index
 
 SCHEMA = "block long, tubes int, data binary"
+#: Cells of a block: small enough that reading, products and writing go on at once where Arrow batches are as small
+#: (``spark.sql.execution.arrow.maxBytesPerBatch`` of 2 MB).
+DENSE_CELLS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -45,11 +48,11 @@ class Blocks:
         return cells_of(self.frame, self.dims, self.step)
 
 
-def to_blocks(t: Tensor, block_cells: int = BLOCK_CELLS) -> Blocks:
+def to_blocks(t: Tensor, block_cells: int = DENSE_CELLS) -> Blocks:
     return Blocks(blocks_of(t, block_cells), t.dims, tubes_of_block(t.dims, block_cells))
 
 
-def tubes_of_block(dims: Sequence[int], block_cells: int = BLOCK_CELLS) -> int:
+def tubes_of_block(dims: Sequence[int], block_cells: int = DENSE_CELLS) -> int:
     return max(1, block_cells // prod(dims[2:]))
 
 
@@ -57,7 +60,7 @@ def _batch(blocks: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(blocks, pa.int64()), pa.array([len(a) for a in arrays], pa.int32()), pa.array([a.tobytes() for a in arrays], pa.binary())], ["block", "tubes", "data"])
 
 
-def random_blocks(spark: SparkSession, dims: Sequence[int], seed: int = 1234, block_cells: int = BLOCK_CELLS) -> DataFrame:
+def random_blocks(spark: SparkSession, dims: Sequence[int], seed: int = 1234, block_cells: int = DENSE_CELLS) -> DataFrame:
     """Uniform in [0, 100)."""
     step, positions, trailing = tubes_of_block(dims, block_cells), dims[0] * dims[1], prod(dims[2:])
 
@@ -70,7 +73,7 @@ def random_blocks(spark: SparkSession, dims: Sequence[int], seed: int = 1234, bl
     return spark.range(-(-positions // step)).mapInArrow(run, SCHEMA)
 
 
-def blocks_of(t: Tensor, block_cells: int = BLOCK_CELLS) -> DataFrame:
+def blocks_of(t: Tensor, block_cells: int = DENSE_CELLS) -> DataFrame:
     """From cells, by one shuffle. Missing cells are zero; blocks without cells are missing."""
     step, positions, trailing = tubes_of_block(t.dims, block_cells), t.dims[0] * t.dims[1], prod(t.dims[2:])
     tube = linear_index(t.dims[:2], t.modes[:2])

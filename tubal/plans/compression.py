@@ -118,6 +118,18 @@ def compress_blocks(b: blocks.Blocks, kind: str = "dct", modes: Sequence[int] |
     return CompressedBlocks(factors, dims, b.step, inverse, modes, reduced)
 
 
+def values_of_blocks(b: blocks.Blocks, kind: str = "eye") -> DataFrame:
+    """``slice, q, sigma``: all singular values of the slices, in the transform domain, with one shuffle."""
+
+    def values(numbers: np.ndarray, x: np.ndarray) -> pa.Table:
+        s = np.linalg.svd(x, compute_uv=False)
+        q = s.shape[1]
+        return pa.table({"slice": pa.array(np.repeat(numbers, q)), "q": pa.array(np.tile(np.arange(q, dtype=np.int32), len(numbers))), "sigma": pa.array(s.ravel())})
+
+    modes = list(range(2, len(b.dims))) if kind == "dct" else []
+    return blocks.over_slices(b, values, "slice long, q int, sigma double", [transforms.dct_array(b.dims[m]) for m in modes], modes)
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     """An array for each entry of the first axis."""
     flat = np.ascontiguousarray(x).reshape(len(x), -1)
