@@ -5,10 +5,13 @@ majority of the hashes of a text's distinct shingles. Two texts of Jaccard simil
 about 155 of them (standard deviation 11.5), of 0.7 in 197 (12.6); the radius of 177 lies between: 97 %
 of pairs at 0.8 are linked and 6 % of those at 0.7, as a binomial draw. Texts meet in buckets by
 least hashes of their shingles, five for each of 12 tables, of which a pair at 0.8 shares one with a chance of
-99 %. In a bucket fingerprints are compared bit-sliced, as ``simhash`` does. Equal sketches are one throughout.
-A bucket of many is dealt out anew by three more least hashes, in eight tables. What is large even then is
+99 %. In a bucket fingerprints are compared bit-sliced, as ``simhash`` does. Equal sets of shingles are one
+throughout. A bucket of many is dealt out anew by three more least hashes, in eight tables. What is large even then is
 compared with one of its rows, the pivot: rows within the radius of it are one component, and only rows
 farther away are compared with all of the bucket, block by block.
+
+The fingerprints only find components. In each of them the texts are then compared by all hashes of their
+shingles, and only pairs of Jaccard similarity 0.8 or more link (``verified_links``).
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tubal.llm.common import byte_strings, map_batches, materialize, runs_of, text_or_empty
+from tubal.llm.common import byte_strings, map_batches, materialize, runs_of, same, text_or_empty
 from tubal.llm.components import connected_components
 from tubal.llm.simhash import _digest, bucket_links, keep_first
 from tubal.llm.substring_dedup import window_hashes
@@ -35,6 +38,10 @@ LARGE_BUCKET = 4096
 #: A task compares the buckets that it holds when they have so many rows.
 HELD = 8192
 AGAIN_TABLES, AGAIN_LEAST = 8, 3
+#: The similarity, in percent, from which on two texts are linked.
+PERCENT = 80
+#: Bytes of shingle hashes that one task compares at a time, and about how many texts of a larger component take part in all its parts.
+GROUP_BYTES, PIVOTS = 8 << 20, 16
 _CHUNK = 1 << 21
 _MINIMA = TABLES * LEAST + AGAIN_TABLES * AGAIN_LEAST
 _PARAMETERS = np.random.default_rng(510).integers(0, 1 << 32, (2, _MINIMA), np.uint32, endpoint=False)
@@ -50,8 +57,8 @@ def majority(hashes: np.ndarray) -> bytes:
     return np.packbits(set_bits * 2 > len(hashes)).tobytes()
 
 
-def sketches(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> list[bytes]:
-    """For each text its fingerprint and one byte for each of its least hashes; no words: no bytes. A
+def shingle_sets(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, sorted, as ``text number, hash``; none without words. A
     text of fewer words is one shingle."""
     texts = [t.lower() for t in texts]
     words = Words(texts)
@@ -63,30 +70,39 @@ def sketches(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> list[byt
     order = np.lexsort((values, doc))
     doc, values = doc[order], values[order]
     new = np.r_[True, (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])] if len(doc) else np.empty(0, bool)
-    doc, values = doc[new], values[new]
+    return doc[new], values[new]
+
+
+def sketches(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> tuple[list[bytes], list[int]]:
+    """For each text its fingerprint, one byte for each of its least hashes and a digest of its shingle set
+    (no words: no bytes); and the size of that set."""
+    doc, values = shingle_sets(texts, shingle_words)
+    out, sizes = [b""] * len(texts), [0] * len(texts)
     if not len(doc):
-        return [b""] * len(texts)
+        return out, sizes
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     small, least = (values >> np.uint64(32)).astype(np.uint32), np.empty((len(first), _MINIMA), np.uint8)
     for k in range(_MINIMA):
         found = np.minimum.reduceat((small ^ _PARAMETERS[0, k]) * (_PARAMETERS[1, k] | np.uint32(1)), first)
         least[:, k] = (found * np.uint32(0x9E3779B1)) >> np.uint32(24)
-    out = [b""] * len(texts)
     for k, (a, b) in enumerate(zip(first, [*first[1:], len(doc)], strict=True)):
-        out[doc[a]] = majority(values[a:b]) + least[k].tobytes()
-    return out
+        out[doc[a]] = majority(values[a:b]) + least[k].tobytes() + xxhash.xxh3_128_digest(values[a:b].tobytes())
+        sizes[doc[a]] = int(b - a)
+    return out, sizes
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, digest, sketch`` of every row."""
+    """``doc_id, digest, sketch, n_shingles`` of every row."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = byte_strings(batch.column(2))
-        found = [s for a, b in runs_of([len(t) for t in texts], _CHUNK) for s in sketches(texts[a:b])]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "digest", "sketch"])
+        found = [sketches(texts[a:b]) for a, b in runs_of([len(t) for t in texts], _CHUNK)]
+        columns = [pa.array([s for made, _ in found for s in made], pa.binary()), pa.array([n for _, sizes in found for n in sizes], pa.int64())]
+        yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["doc_id", "digest", "sketch", "n_shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("doc_id"), _digest(text_col), text_or_empty(text_col)), run, f"doc_id {kind}, digest binary, sketch binary")
+    columns = docs.select(F.col(id_col).alias("doc_id"), _digest(text_col), text_or_empty(text_col))
+    return map_batches(columns, run, f"doc_id {kind}, digest binary, sketch binary, n_shingles long")
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -171,17 +187,127 @@ def similar_pairs(distinct: DataFrame, large: int = LARGE_BUCKET, radius: int =
     return _compare(buckets.unionByName(blocks), radius).unionByName(links)
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE_BUCKET, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component of similar texts: the one with the smallest id, null ids
-    last; among rows with that id the one whose text's digest is least, and any one of identical ones.
+def similar_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """For each of the sets (sorted, none empty) the number of the first set of its component; sets are
+    linked when their Jaccard similarity is ``percent`` or more. Each set, when reached, is compared with
+    those not reached yet."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    bounds = np.r_[0, np.cumsum(sizes)]
+    held, root = np.zeros(int(codes.max()) + 1, bool), np.arange(n)
+    left, left_codes = np.arange(n), codes
+
+    def leave(out: np.ndarray) -> None:
+        nonlocal left, left_codes
+        left_codes, left = left_codes[~np.repeat(out, sizes[left])], left[~out]
+
+    while len(left):
+        first = left[0]
+        queue = [first]
+        leave(left == first)
+        while queue and len(left):
+            reached = queue.pop()
+            own = codes[bounds[reached] : bounds[reached + 1]]
+            held[own] = True
+            common = np.add.reduceat(held[left_codes], np.r_[0, np.cumsum(sizes[left])[:-1]], dtype=np.int64)
+            held[own] = False
+            close = 100 * common >= percent * (sizes[left] + sizes[reached] - common)
+            if close.any():
+                root[left[close]] = first
+                queue.extend(left[close])
+                leave(close)
+    return root
+
+
+def _judge(grouped: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between the ``node`` of one ``key`` whose ``text`` are similar by all their shingles.
+    A task holds whole groups, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+
+        def judge() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                ids, root = np.array(nodes), similar_sets(sets, percent)
+                linked = np.flatnonzero(ids != ids[root])
+                yield pa.record_batch([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
+
+        for batch in batches:
+            keys, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_strings(batch.column(2))
+            for a, b in runs_of([len(t) for t in texts], _CHUNK):
+                doc, values = shingle_sets(texts[a:b])
+                for i, own in enumerate(np.split(values, np.searchsorted(doc, np.arange(1, b - a))), a):
+                    if keys[i] != key:
+                        yield from judge()
+                        key, nodes, sets = keys[i], [], []
+                    nodes.append(ids[i])
+                    sets.append(own)
+        yield from judge()
+
+    n = max(1, int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return grouped.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def verified_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, large: int = LARGE_BUCKET, group_bytes: int = GROUP_BYTES, percent: int = PERCENT) -> DataFrame:
+    """Links ``a, b`` that join exactly those ``node`` of each ``component`` of ``members`` (with ``low``, the
+    id and digest of a row that has the text, and ``n_shingles``) that pairs of Jaccard similarity ``percent`` or more
+    join. A component of up to ``large`` texts and ``group_bytes`` of hashes is compared in one task. A larger one
+    is cut into parts of that size, and some of its texts, about ``PIVOTS``, take part in each. What these parts
+    join most of is its core: two texts of the core are joined already, and every other text is compared
+    with all of the component, part by part."""
+
+    def parts(n: str, size: str) -> Column:
+        return F.greatest(F.lit(1).cast("long"), F.ceil(F.col(n) / large), F.ceil(F.col(size) * 8 / group_bytes))
+
+    def own(count: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(count))
+
+    def every(count: str) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
+    def judged(rows: DataFrame) -> DataFrame:
+        texts = docs.select(F.col(id_col).alias("_id"), _digest(text_col), text_or_empty(text_col).alias("text"))
+        found = texts.join(rows, same(F.col("_id"), F.col("low.doc_id")) & (texts["digest"] == F.col("low.digest")))
+        return _judge(found.select("key", "node", "text"), percent)
+
+    def total(rows: DataFrame, n: str, size: str) -> DataFrame:
+        return rows.groupBy("component").agg(F.count(F.lit(1)).alias(n), F.sum("n_shingles").alias(size))
+
+    sizes = total(members, "n", "size").withColumn("parts", parts("n", "size"))
+    placed = materialize(members.join(sizes, "component"), "near-members")
+    small = judged(placed.where("parts = 1").select("low", "node", F.col("component").alias("key")))
+    cut = placed.where("parts > 1")
+    if cut.isEmpty():
+        return small
+    pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) < PIVOTS
+    spread = cut.withColumn("part", F.explode(F.when(pivot, every("parts")).otherwise(F.array(own("parts")))))
+    inside = materialize(judged(spread.select("low", "node", F.xxhash64("component", "part").alias("key"))), "near-inside")
+    joined = cut.join(connected_components(inside).withColumnRenamed("component", "inner"), "node", "left")
+    joined = materialize(joined.withColumn("inner", F.coalesce("inner", "node")), "near-inner")
+    counts = joined.groupBy("component", "inner").agg(F.count(F.lit(1)).alias("k"))
+    core = materialize(counts.groupBy("component").agg(F.max_by("inner", F.struct("k", "inner")).alias("core")), "near-core")
+    rest = joined.join(core, "component").where("inner <> core").select("component", "low", "node", "n_shingles", "parts")
+    rest_sizes = materialize(total(rest, "n_rest", "size_rest").withColumn("rest_parts", parts("n_rest", "size_rest")), "near-rest")
+    left = rest.join(rest_sizes, "component").withColumn("i", own("rest_parts")).withColumn("j", F.explode(every("parts")))
+    right = joined.join(rest_sizes, "component").withColumn("j", own("parts")).withColumn("i", F.explode(every("rest_parts")))
+    key = F.xxhash64("component", "i", "j", F.lit(2)).alias("key")
+    blocks = left.select("low", "node", key).unionByName(right.select("low", "node", key))
+    return small.unionByName(inside).unionByName(judged(blocks))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE_BUCKET, radius: int = RADIUS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``docs`` with one row of each component of similar texts, linked by pairs of Jaccard similarity 0.8
+    or more, exactly: the one with the smallest id, null ids last; among rows with that id the one whose text's digest is least, and any one of identical ones.
     So rows with null or repeated ids are told apart by their texts. Texts without words, null and
     empty ones too, are one component. Texts of any length are taken whole, those over 2 MB by
     themselves. An empty table gives no rows; other columns go along, whatever their names."""
     prints = materialize(sketched(docs, id_col, text_col), "near-sketches")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    distinct = prints.groupBy("sketch").agg(F.min(order).alias("low")).withColumn("node", F.monotonically_increasing_id())
-    distinct = materialize(distinct, "near-distinct")
-    stars = materialize(connected_components(similar_pairs(distinct.select("node", "sketch"), large, radius)), "near-stars")
+    distinct = prints.groupBy("sketch").agg(F.min(order).alias("low"), F.max("n_shingles").alias("n_shingles"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "near-distinct")
+    alike = connected_components(similar_pairs(distinct.select("node", "sketch"), large, radius))
+    members = distinct.join(alike, "node").select("component", "low", "node", "n_shingles")
+    stars = materialize(connected_components(verified_links(members, docs, id_col, text_col, large, group_bytes)), "near-stars")
     labelled = distinct.join(stars, "node", "left").select("sketch", "low", F.coalesce("component", "node").alias("component"))
     lowest = materialize(distinct.join(stars, "node").groupBy("component").agg(F.min("low").alias("least")), "near-lowest")
     found = labelled.join(lowest, "component", "left").select("sketch", F.coalesce("least", "low").alias("low"))
