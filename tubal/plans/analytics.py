@@ -75,24 +75,20 @@ def phase_stack(runs: DataFrame, keys: list[str], phases: list[str]) -> DataFram
 
 
 _NUMBER = r"([-+]?(?:[0-9.]+(?:[eE][-+]?[0-9]+)?|(?i:nan|inf)))"
-#: Lines of a log by the column that they fill; sums are over all modes. Fixed values.
-_TEXTS = {
-    "alg": r"alg\s+:\s+(\S+)", "mtype": r"mtype\s+:\s+(\S+)", "k": r"k\s+:\s+(\S+)", "tol": r"tol\s+:\s+(\S+)", "dname": r"dname\s+:\s+(\S+)",
-    "dfile": r"dfile\s+:\s+(\S+)", "perm_mode": r"perm_mode\s*:\s+(.+)", "tensor_shape": r"Tensor shape:\s+(.+)",
-}
-_NUMBERS = {
-    "time_transform_matrix": "Time to generate transformation matrices:", "time_data_to_tensor": r"Time to convert to \S+ tensor:",
-    "compression_ratio": "Compression ratio:",
-}
+#: Labels of a log's lines by the column that they fill; sums are over all modes. Fixed values.
+_TEXTS = {"alg": "alg", "mtype": "mtype", "k": "k", "tol": "tol", "dname": "dname", "dfile": "dfile", "perm_mode": "perm_mode", "tensor_shape": "Tensor shape"}
+_WHOLE_LINES = {"perm_mode", "tensor_shape"}
+_NUMBERS = {"time_transform_matrix": "Time to generate transformation matrices", "compression_ratio": "Compression ratio"}
 _COMPRESS = {
-    "time_slicewise_svd": "Time for slicewise SVD:", "time_slicewise_svdvals": "Time for slicewise_svdvals:",
-    "time_thresholds": "Time for thresholds:", "time_slicewise_svdks": "Time for slicewise_svdks:",
+    "time_slicewise_svd": "Time for slicewise SVD", "time_slicewise_svdvals": "Time for slicewise_svdvals",
+    "time_thresholds": "Time for thresholds", "time_slicewise_svdks": "Time for slicewise_svdks",
 }
-_RECONSTRUCT = {"time_reconstruct_matmul": "Time to reconstruct A_hat:"}
+_RECONSTRUCT = {"time_reconstruct_matmul": "Time to reconstruct A_hat"}
 _ERRORS = {
-    "absolute_err": "Absolute err:", "relative_err": "Relative err:", "norm_original": "Norm of original tensor:",
-    "norm_reconstructed": "Norm of reconstructed tensor:",
+    "absolute_err": "Absolute err", "relative_err": "Relative err", "norm_original": "Norm of original tensor",
+    "norm_reconstructed": "Norm of reconstructed tensor",
 }
+_CONVERT = r"Time to convert to \S+ tensor:"
 _NAME_PARTS = ["dname_f", "alg_f", "k_or_tol_f", "mtype_f", "perm_mode_f", "omp_threads_f"]
 _MODE = r"Time for TTM on mode (\d+) :"
 #: Fixed values too: the columns of a parsed log.
@@ -101,40 +97,53 @@ LOG_COLUMNS = [
     "time_compress_ttm_total", *_COMPRESS, "time_reconstruct_matmul", "time_reconstruct_ttm_total", *_ERRORS,
 ]
 
+#: Stands for the brackets around a phase, whatever the algorithm.
+_PHASE = "\x01"
+_TEXT_LINE = r"(?m)^((?:alg|mtype|k|tol|dname|dfile)(?=[ \t])|perm_mode|Tensor shape(?=:))[ \t]*:[ \t]+(\S.*)"
+_NUMBER_LINE = rf"(?m)^([^:\r\n]+):[ \t]+{_NUMBER}"
 
-def _sections(text: Column) -> tuple[Column, Column]:
-    """A log up to the first line of the reconstruction, and from there on."""
-    return F.regexp_replace(text, r"(?ms)^\[\w+_reconstruct\].*", ""), F.regexp_extract(text, r"(?ms)(^\[\w+_reconstruct\].*)", 1)
+
+def _sections(logs: DataFrame, text: str) -> DataFrame:
+    """``logs`` with a log up to the first line of the reconstruction, ``compress``, and from there on, ``reconstruct``."""
+    marked = F.concat(F.lit("\n"), F.regexp_replace(F.col(text), r"(?m)^\[\w+_(compress|reconstruct)\]", f"{_PHASE}$1"))
+    both = logs.withColumn("marked", marked).withColumn("compress", F.substring_index("marked", f"\n{_PHASE}reconstruct", 1))
+    return both.withColumn("reconstruct", F.substr("marked", F.length("compress") + 1)).drop("marked")
 
 
 def parse_logs(logs: DataFrame, name: str = "file", text: str = "content") -> DataFrame:
     """One row per log, ``LOG_COLUMNS``: what its name says (six parts joined by ``_``, then perhaps
     ``_runN``; nulls if it has fewer), its parameters, times, ratio and errors. What a log lacks is null.
-    It is complete where ratio and both errors are there and finite."""
-    content, compress, reconstruct, base = (F.col(c) for c in ("content", "compress", "reconstruct", "base"))
-    parted = [c.alias(n) for n, c in zip(("compress", "reconstruct"), _sections(F.col(text)), strict=True)]
-    logs = logs.select(F.col(text).alias("content"), F.element_at(F.split(F.col(name), "/"), -1).alias("base"), *parted)
-    run = F.regexp_extract(base, r"_(run\d+)$", 1)
-    parts = F.split(F.regexp_replace(base, r"_run\d+$", ""), "_")
-
-    def found(source: Column, pattern: str) -> Column:
-        value = F.regexp_extract(source, f"(?m)^{pattern}", 1)
-        return F.when(value != "", value)
-
-    def number(source: Column, label: str, section: str = "") -> Column:
-        return found(source, section + label + r"\s+" + _NUMBER).try_cast("double")
-
-    def total(source: Column, section: str) -> Column:
-        values = F.regexp_extract_all(source, F.lit(f"(?m)^{section}{_MODE}\\s+{_NUMBER}"), F.lit(2))
+    It is complete where ratio and both errors are there and finite. Labels and values of all lines are found in one go."""
+    base = F.col("base")
+    logs = _sections(logs.select(F.element_at(F.split(F.col(name), "/"), -1).alias("base"), F.col(text).alias("content")), "content")
+
+    def both_of(source: str, pattern: str, name: str) -> list[Column]:
+        return [F.regexp_extract_all(source, F.lit(pattern), F.lit(i)).alias(f"{name}_{part}") for i, part in ((1, "labels"), (2, "values"))]
+
+    named = [F.regexp_extract(base, r"_(run\d+)$", 1).alias("run"), F.split(F.regexp_replace(base, r"_run\d+$", ""), "_").alias("parts")]
+    found = logs.select("base", *named, "compress", "reconstruct", F.regexp_extract("content", f"(?m)^{_CONVERT}[ \\t]+{_NUMBER}", 1).alias("convert"),
+        *both_of("content", _TEXT_LINE, "text"), *both_of("compress", _NUMBER_LINE, "compress"), *both_of("reconstruct", _NUMBER_LINE, "reconstruct"))
+    run, parts = F.col("run"), F.col("parts")
+
+    def first(source: str, label: str) -> Column:
+        at = F.array_position(f"{source}_labels", F.lit(label))
+        return F.when(at > 0, F.get(f"{source}_values", (at - 1).cast("int")))
+
+    def words(column: str) -> Column:
+        value = first("text", _TEXTS[column])
+        return F.rtrim(value) if column in _WHOLE_LINES else F.regexp_extract(value, r"^\S+", 0)
+
+    def total(phase: str) -> Column:
+        values = F.regexp_extract_all(phase, F.lit(f"(?m)^{_PHASE}{phase} {_MODE}\\s+{_NUMBER}"), F.lit(2))
         return F.when(F.size(values) > 0, F.aggregate(F.transform(values, lambda x: x.try_cast("double")), F.lit(0.0), lambda a, b: a + b))
 
-    ahead, back = r"\[\w+_compress\] ", r"\[\w+_reconstruct\] "
     columns = {"filename": base} | {n: F.when(F.size(parts) >= 6, parts[i]) for i, n in enumerate(_NAME_PARTS)}
     columns["run_id"] = F.when((run != "") & (F.size(parts) >= 6), run)
-    columns |= {n: found(content, p) for n, p in _TEXTS.items()} | {n: number(content, p) for n, p in (_NUMBERS | _ERRORS).items()}
-    columns |= {n: number(compress, p, ahead) for n, p in _COMPRESS.items()} | {n: number(reconstruct, p, back) for n, p in _RECONSTRUCT.items()}
-    columns |= {"time_compress_ttm_total": total(compress, ahead), "time_reconstruct_ttm_total": total(reconstruct, back)}
-    rows = logs.select(*[c.alias(n) for n, c in columns.items()])
+    columns |= {n: words(n) for n in _TEXTS} | {"time_data_to_tensor": F.col("convert").try_cast("double")}
+    columns |= {n: F.coalesce(first("compress", x), first("reconstruct", x)).try_cast("double") for n, x in (_NUMBERS | _ERRORS).items()}
+    columns |= {n: first(phase, f"{_PHASE}{phase} {x}").try_cast("double") for phase, names in (("compress", _COMPRESS), ("reconstruct", _RECONSTRUCT)) for n, x in names.items()}
+    columns |= {f"time_{phase}_ttm_total": total(phase) for phase in ("compress", "reconstruct")}
+    rows = found.select(*[c.alias(n) for n, c in columns.items()])
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("relative_err", "absolute_err", "compression_ratio")]
     return rows.withColumn("complete", finite[0] & finite[1] & finite[2]).select(*LOG_COLUMNS)
 
@@ -142,10 +151,11 @@ def parse_logs(logs: DataFrame, name: str = "file", text: str = "content") -> Da
 def phase_times(logs: DataFrame, name: str = "file", text: str = "content") -> DataFrame:
     """Each mode product's time in a log: ``file, phase`` (compress or reconstruct), ``mode, time_sec``."""
     out = None
-    for phase, source in zip(("compress", "reconstruct"), _sections(F.col(text)), strict=True):
-        pattern = rf"(?m)^\[\w+_{phase}\] {_MODE}\s+{_NUMBER}"
-        both = F.arrays_zip(*[F.regexp_extract_all(source, F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "mode"), (2, "time"))])
-        found = logs.select(F.col(name), F.lit(phase).alias("phase"), F.explode(both).alias("x"))
+    logs = _sections(logs.select(F.col(name), F.col(text).alias("content")), "content")
+    for phase in ("compress", "reconstruct"):
+        pattern = rf"(?m)^{_PHASE}{phase} {_MODE}\s+{_NUMBER}"
+        both = F.arrays_zip(*[F.regexp_extract_all(phase, F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "mode"), (2, "time"))])
+        found = logs.select(F.col(name), F.lit(phase).alias("phase"), F.explode_outer(both).alias("x")).where("x is not null")
         found = found.select(name, "phase", F.col("x.mode").cast("int").alias("mode"), F.col("x.time").try_cast("double").alias("time_sec"))
         out = found if out is None else out.unionByName(found)
     return out
