@@ -841,3 +841,23 @@ def test_substring_levels(spark, window, lengths):
     assert anchors and (len(anchors) < len(every)) == bool(lengths)
     left = sorted((r.key, r.place) for r in substring_dedup._candidates(df, window).collect())
     assert left == sorted((r["key"], r["place"]) for r in anchors)
+
+
+@pytest.mark.parametrize("needs", [[37, 0, 90, 1, 260], [1] * 60, [500], []])
+def test_slots_are_dealt_as_drawn(spark, needs):
+    starts = np.r_[0, np.cumsum(needs)].astype(int)
+    schema = "nth long, first_slot long, slots long"
+    got = mixing.deal_slots(spark.createDataFrame([(k, int(starts[k]), n) for k, n in enumerate(needs)], schema), shard_slots=50, seed="t").collect()
+    total = int(starts[-1])
+    drawn = [int(np.searchsorted(starts, int(hashlib.md5(f"t/draw/{p}".encode()).hexdigest()[:14], 16) % total, "right")) - 1 for p in range(total)]
+    next_of, spare, shards = collections.Counter(), [], {}
+    for nth, shard in sorted((s, p // 50) for p, s in enumerate(drawn)):
+        if next_of[nth] < needs[nth]:
+            shards[nth, next_of[nth]] = shard
+        else:
+            spare.append(shard)
+        next_of[nth] += 1
+    free = [(k, i) for k, n in enumerate(needs) for i in range(next_of[k], n)]
+    shards |= dict(zip(free, spare, strict=True))
+    assert {(r.nth, r.ordinal): r.shard for r in got} == shards and len(got) == total
+    assert sorted(r.place for r in got) == list(range(total)) and all(r.place // 50 == r.shard for r in got)

@@ -1,14 +1,15 @@
 """Mixing sources to target weights (DataFrame functions only).
 
 The words of each source, in the order of a hash of the document ids, form a stream that is cut into
-blocks of ``block_words`` words. The mix is a list of places, one block each, cut into output shards.
-For every place a source is drawn, each with the chance of its share of all slots (a source has as many
-slots as its target needs): that is a multinomial draw of source counts for each shard. A draw is a
-number among all slots, which are numbered source by source; the draws' ranks then stand for the
-draws, so that each source fills its slots exactly. A slot's block follows from a pseudorandom
-permutation of its source's blocks, computed per index by the swap-or-not shuffle (Hoang, Morris,
-Rogaway 2012), and the last slot of a source is cut so that its total meets the target to the word.
-Blocks and slots are joined by index.
+blocks of ``block_words`` words. The mix is a list of places, one block each, cut into output shards of
+``shard_slots`` places. A shard draws the source of each of its places, each source with the chance of its
+share of all slots (a source has as many slots as its target needs): its source counts are a multinomial
+draw of its own. Prefix sums of a source's counts over the shards give each shard a range of the source's
+indexes. Where the draws of a source go beyond its slots, in its last shards, the places go to sources that
+were drawn too seldom, index by index, so that each source fills its slots exactly. An index's block follows
+from a pseudorandom permutation of its source's blocks, computed per index by the swap-or-not shuffle (Hoang,
+Morris, Rogaway 2012), and the last slot of a source is cut so that its total meets the target to the
+word. Blocks and slots are joined by index.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tubal.llm.common import WORD, materialize, running_sums, same, tasks, wrapped
@@ -27,8 +28,6 @@ BLOCK_WORDS = 256
 SPACED_WORD = rf"(?:^[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"
 SHARD_SLOTS = 4096
 ROUNDS = 12
-#: Slots that one row yields when the slots of a source are listed.
-_CHUNK_SLOTS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -121,7 +120,6 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     tails = [blocks * k + permuted(blocks - 1, F.greatest(blocks, F.lit(1)), name, F.col("offsets")[k], back=True) for k, name in enumerate(names)]
     numbered = numbered.withColumn("tails", F.when(blocks > 0, F.array(*tails)).otherwise(F.array().cast("array<bigint>")))
     sources = materialize(numbered, "mix-sources")
-    slots = sources.agg(F.sum("slots")).first()[0] or 0
 
     # All words of all sources are one stream, so that no task gets a whole source or a whole id.
     key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -134,25 +132,44 @@ def plan_mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     end = F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block_words)
     pieces = pieces.select("row", "doc_id", "nth", "block", (start - F.col("from")).alias("doc_from"), (end - start).alias("words"), (start - F.col("block") * block_words).alias("block_from"))
 
-    # A source's ordinals in chunks, dealt out before they are listed, so that no row or task lists a whole source.
-    chunks = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(_CHUNK_SLOTS).cast("long"))
-    listed = sources.where("slots > 0").select("nth", "source_size", "blocks", "words", "first_slot", "slots", "tails", "offsets", F.explode(chunks).alias("chunk"))
-    listed = listed.repartition(tasks(sized), "nth", "chunk")
-    ordinals = F.sequence(F.col("chunk"), F.least(F.col("slots"), F.col("chunk") + _CHUNK_SLOTS) - 1)
-    numbered = listed.withColumn("ordinal", F.explode(ordinals)).withColumn("slot", F.col("first_slot") + F.col("ordinal"))
+    dealt = deal_slots(sources, shard_slots, seed).join(sources.select("nth", "source_size", "blocks", "words", "first_slot", "tails", "offsets"), "nth")
     turn = F.floor(F.col("ordinal") / F.col("blocks"))
     name = F.concat_ws("/", F.lit(seed), F.col("nth").cast("string"), turn.cast("string"))
     block = permuted(F.pmod("ordinal", "blocks"), F.col("blocks"), name, F.element_at("offsets", (turn + 1).cast("int")))
     short = F.col("blocks") * block_words - F.col("source_size")
     before = F.col("ordinal") * block_words - short * F.size(F.filter("tails", lambda t: t < F.col("ordinal")))
-    filled = numbered.select("slot", "nth", block.alias("block"), F.greatest(F.lit(0), F.least(F.lit(block_words).cast("long"), F.col("words") - before)).alias("block_most"))
-
-    draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(f"{seed}/draw"), F.col("place").cast("string"))), 1, 14), 16, 10).cast("long")
-    drawn = sized.sparkSession.range(slots).withColumnRenamed("id", "place").withColumn("draw", F.pmod(draw, F.lit(max(slots, 1)).cast("long")))
-    ranked = running_sums(drawn, [F.col("draw"), F.col("place")], {"slot": F.lit(1).cast("long")}, "mix-draws")
-    filled = materialize(filled.where("block_most > 0"), "mix-slots")  # as a table it has its true size, which decides how it is joined
-    slots_df = filled.join(ranked.select("slot", "place"), "slot")
-    return sources, pieces, slots_df.select("slot", F.floor(F.col("place") / shard_slots).alias("shard"), "place", "nth", "block", "block_most")
+    most = F.greatest(F.lit(0), F.least(F.lit(block_words).cast("long"), F.col("words") - before))
+    filled = dealt.select((F.col("first_slot") + F.col("ordinal")).alias("slot"), "shard", "place", "nth", block.alias("block"), most.alias("block_most"))
+    return sources, pieces, materialize(filled.where("block_most > 0"), "mix-slots")  # as a table it has its true size, which decides how it is joined
+
+
+def deal_slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: str = "mix") -> DataFrame:
+    """``nth, ordinal, shard, place``: every slot of the ``sources`` (``nth, first_slot, slots``) once, each in
+    the shard that drew it, in the order of a hash there. Only slots that draws left over are placed by number."""
+    total, n_sources = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count(F.lit(1))).first()
+    # A draw is a number among all slots. Cells of equal width, as many as sources, find the source that it falls to.
+    width = max(1, -(-total // max(n_sources, 1)))
+    first, end = F.col("first_slot"), F.col("first_slot") + F.col("slots")
+    cells = sources.where("slots > 0").select("nth", first.alias("low"), end.alias("high"), F.explode(F.sequence(F.floor(first / width), F.floor((end - 1) / width))).alias("cell"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(f"{seed}/draw"), F.col("id").cast("string"))), 1, 14), 16, 10).cast("long")
+    drawn = sources.sparkSession.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(draw, F.lit(max(total, 1)).cast("long")).alias("draw"))
+    met = drawn.withColumn("cell", F.floor(F.col("draw") / width)).join(cells, "cell").where("draw >= low and draw < high")
+    counts = materialize(met.groupBy("shard", "nth").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+
+    per = sources.select("nth", "slots").join(counts.groupBy("nth").agg(F.sum("n").alias("drawn")), "nth", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long")))
+    over, lacking = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
+    per = materialize(running_sums(per, [F.col("nth")], {"drawn_before": F.col("drawn"), "over_before": over, "lacking_before": lacking}, "mix-drawn"), "mix-settling")
+    indexed = running_sums(counts, [F.col("nth"), F.col("shard")], {"before": F.col("n")}, "mix-indexes").join(per, "nth")
+    start = F.col("before") - F.col("drawn_before")
+    listed = indexed.select("shard", "nth", "slots", "over_before", F.explode(F.sequence(start, start + F.col("n") - 1)).alias("ordinal"))
+    own = listed.where("ordinal < slots").select("shard", "nth", "ordinal")
+    spare = listed.where("ordinal >= slots").select("shard", (F.col("over_before") + F.col("ordinal") - F.col("slots")).alias("number"))
+    free = per.where("drawn < slots").select("nth", "drawn", "lacking_before", F.explode(F.sequence("drawn", F.col("slots") - 1)).alias("ordinal"))
+    free = free.select("nth", "ordinal", (F.col("lacking_before") + F.col("ordinal") - F.col("drawn")).alias("number"))
+    dealt = own.unionByName(spare.join(free, "number").select("shard", "nth", "ordinal"))
+    mixed = F.md5(F.concat_ws("/", F.lit(f"{seed}/place"), F.col("nth").cast("string"), F.col("ordinal").cast("string")))
+    within = F.row_number().over(Window.partitionBy("shard").orderBy(mixed, "nth", "ordinal")) - 1
+    return dealt.select("nth", "ordinal", "shard", (F.col("shard") * shard_slots + within).alias("place"))
 
 
 def mixed_pieces(pieces: DataFrame, slots: DataFrame) -> DataFrame:

@@ -162,10 +162,18 @@ taking AS (
   SELECT nth, ordinal, idx AS block, greatest(0, least({mixing.BLOCK_WORDS}, words - (ordinal * {mixing.BLOCK_WORDS} - (blocks * {mixing.BLOCK_WORDS} - source_size)
      * coalesce(sum(CASE WHEN idx = blocks - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY nth ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))) AS block_most
   FROM p{mixing.ROUNDS}),
-drawn AS (SELECT place, CAST('0x' || substr(md5('mix/draw/' || place), 1, 14) AS BIGINT) % (SELECT greatest(sum(slots), 1) FROM needing) AS draw FROM range((SELECT CAST(sum(slots) AS BIGINT) FROM needing)) AS g(place)),
-ranked_places AS (SELECT place, row_number() OVER (ORDER BY draw, place) - 1 AS slot FROM drawn),
-firsts AS (SELECT nth, coalesce(sum(slots) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_slot FROM needing),
-located AS (SELECT taking.nth, taking.block, taking.block_most, place, place // {mixing.SHARD_SLOTS} AS shard FROM taking JOIN firsts USING (nth) JOIN ranked_places ON slot = first_slot + ordinal),
+firsts AS (SELECT nth, slots, coalesce(sum(slots) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_slot FROM needing),
+drawn AS (
+  SELECT place // {mixing.SHARD_SLOTS} AS shard, CAST('0x' || substr(md5('mix/draw/' || place), 1, 14) AS BIGINT) % (SELECT greatest(sum(slots), 1) FROM needing) AS draw
+  FROM range((SELECT CAST(sum(slots) AS BIGINT) FROM needing)) AS g(place)),
+counts AS (SELECT shard, nth, count(*) AS n FROM drawn JOIN firsts ON draw >= first_slot AND draw < first_slot + slots GROUP BY ALL),
+indexed AS (SELECT shard, nth, slots, unnest(range(CAST(a AS BIGINT), CAST(a + n AS BIGINT))) AS ordinal
+  FROM (SELECT shard, nth, n, sum(n) OVER (PARTITION BY nth ORDER BY shard ROWS UNBOUNDED PRECEDING) - n AS a FROM counts) AS c JOIN firsts USING (nth)),
+spare AS (SELECT shard, row_number() OVER (ORDER BY nth, ordinal) AS number FROM indexed WHERE ordinal >= slots),
+free AS (SELECT nth, ordinal, row_number() OVER (ORDER BY nth, ordinal) AS number FROM numbered ANTI JOIN indexed USING (nth, ordinal)),
+dealt AS (SELECT shard, nth, ordinal FROM indexed WHERE ordinal < slots UNION ALL SELECT shard, nth, ordinal FROM spare JOIN free USING (number)),
+places AS (SELECT nth, ordinal, shard, shard * {mixing.SHARD_SLOTS} + row_number() OVER (PARTITION BY shard ORDER BY md5('mix/place/' || nth || '/' || ordinal), nth, ordinal) - 1 AS place FROM dealt),
+located AS (SELECT nth, taking.block, taking.block_most, place, shard FROM taking JOIN places USING (nth, ordinal)),
 placed AS (
   SELECT doc_id, size, nth, sum(size) OVER (PARTITION BY nth ORDER BY md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS frm
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
