@@ -333,6 +333,19 @@ def test_logs(spark, tmp_path):
     assert {(x.phase, x.mode, x.time_sec) for x in times} == {("compress", 2, 1.5), ("compress", 3, 0.25), ("reconstruct", 3, 6), ("reconstruct", 2, 7)}
 
 
+def test_log_lines(spark):
+    lines = ["alg      : two  ", "mtype: dct", "perm_mode: 1 0 2  ", "Relative err: none", "Relative err: 0.5", "Relative err: 0.7", "Absolute err:3", "Compression ratio: Inf"]
+    lines += ["[one_compress] Time for TTM on mode 2 : 1", "[one_reconstruct] starts", "[one_compress] Time for TTM on mode 3 : 8", "[one_compress] Time for thresholds: 8"]
+    lines += ["[one_reconstruct] Time for TTM on mode 2 : 2", "Norm of original tensor: 4", "x Norm of reconstructed tensor: 4"]
+    logs = spark.createDataFrame([("a", "\r\n".join(lines)), ("b", ""), ("c", None)], "file string, content string")
+    a, b, c = sorted(analytics.parse_logs(logs).collect(), key=lambda r: r.filename)
+    assert (a.alg, a.mtype, a.perm_mode, a.relative_err, a.absolute_err, a.norm_original, a.norm_reconstructed) == ("two", None, "1 0 2", 0.5, None, 4, None)
+    assert (a.time_compress_ttm_total, a.time_thresholds, a.time_reconstruct_ttm_total, a.compression_ratio, a.complete) == (1, None, 2, float("inf"), False)
+    assert all(x is None for r in (b, c) for k, x in r.asDict().items() if k not in ("filename", "complete")) and not b.complete and not c.complete
+    times = analytics.phase_times(logs).collect()
+    assert {(x.file, x.phase, x.mode, x.time_sec) for x in times} == {("a", "compress", 2, 1), ("a", "reconstruct", 2, 2)}
+
+
 def test_csv_upsert_and_saved(spark, tmp_path):
     path, schema, keys = str(tmp_path / "t"), "dname string, mode int, time_sec double", ["dname", "mode"]
     row = lambda *r: spark.createDataFrame([r], schema)
