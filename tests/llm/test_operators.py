@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tubal.llm import chat, embedding_dedup, exact_dedup, html_extract, langid, mixing, packing, quality, queries, simhash, simhash_wide, substring_dedup
+from tubal.llm.common import maybe_among
 from tubal.llm.components import connected_components
 from tubal.llm.html_blocks import blocks_of
 from tubal.llm.html_pages import labelled_pages
@@ -141,6 +142,41 @@ def test_near_copies_without_usable_ids(spark):
     assert got == sorted([(None, 0), (None, 1), (7, 2), (3, 3), (7, 4), (1, 5)], key=str)
 
 
+def _shuffled_bytes(spark) -> int:
+    """Bytes that all stages of the session have written to shuffles."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_copies_shuffle_few_texts(spark):
+    """Texts that are in no component and are not dropped stay where they are, also where no table is small enough to broadcast."""
+    r = np.random.default_rng(31)
+    texts = [" ".join(f"{x:016x}" for x in r.integers(0, 1 << 62, 1200)) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(1000 + k, t + " more") for k, t in enumerate(texts[:10])] + [(None, texts[20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size, usual, before = sum(len(t) for _, t in rows), spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), _shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = sorted((x.doc_id, x.text) for x in simhash_wide.drop_near_copies(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert kept == list(enumerate(texts))
+    assert _shuffled_bytes(spark) - before < 0.4 * size
+
+
+def test_maybe_among(spark):
+    """No key is missed, few others pass, and nulls are values; a filter of few bits only passes more."""
+    keys = spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit("t"), "id").alias("s")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k, 'none' AS s"))
+    rows = spark.range(10_000).select(F.col("id").alias("a`b"), F.concat(F.lit("t"), "id").alias("t")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS `a``b`, 'none' AS t"))
+    for most, passing in ((1 << 26, 0.1), (1 << 10, 0.2)):
+        got = maybe_among(rows, [F.col("`a``b`"), F.col("t")], keys, [F.col("k"), F.col("s")], most).collect()
+        assert len(got) == 10_001 and all(x["_maybe"] for x in got if x[0] is None or x[0] < 3000)
+        assert sum(x["_maybe"] for x in got if x[0] is not None and x[0] >= 3000) < passing * 7000
+    assert not maybe_among(rows, [F.col("t")], keys.limit(0), [F.col("s")]).where("_maybe").count()
+
+
 def test_simhash_large_buckets(spark):
     r = np.random.default_rng(8)
     values = r.integers(0, 1 << 64, 400, np.uint64, endpoint=False)

@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a function of texts holds as Python objects at a time.
 BATCH_ROWS = 1024
 
+#: Bits of a filter of keys for each of its keys, the most bits that it has (8 MB go to all tasks), and those of one bitmap.
+FILTER_BITS, FILTER_MOST, BITMAP_BITS = 16, 1 << 26, 1 << 15
+
 _own_folder: list[str] = []
 _scopes: list[list[str]] = []
 
@@ -86,6 +89,27 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
     return joined.select(*df.columns, *added)
 
 
+def maybe_among(df: DataFrame, key: Sequence[Column], keys: DataFrame, of_keys: Sequence[Column], most: int = FILTER_MOST) -> DataFrame:
+    """``df`` with ``_maybe``: true where its ``key`` is one of the ``of_keys`` of ``keys`` (a table), and by chance, about one in
+    ``FILTER_BITS``, where it is not. A join with ``keys`` then needs these rows only, and the wide rest is not shuffled
+    for it. Columns of both have the same types; nulls count as values. The filter is a table of bitmaps, of ``most`` bits in all."""
+    bits = max(BITMAP_BITS, min(most, keys.count() * FILTER_BITS) // BITMAP_BITS * BITMAP_BITS)
+
+    def place(columns: Sequence[Column]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(bits).cast("long"))
+
+    def bitmap_of(at: Column) -> Column:
+        return F.floor(at / BITMAP_BITS).cast("int")
+
+    at = place(of_keys)
+    maps = keys.groupBy(bitmap_of(at).alias("_of")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(BITMAP_BITS))).alias("_bits"))
+    placed = df.withColumn("_at", place(key))
+    joined = placed.join(F.broadcast(maps), bitmap_of(F.col("_at")) == F.col("_of"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.pmod("_at", F.lit(BITMAP_BITS)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("_at", F.lit(8)))), F.lit(2)) == 1
+    return joined.select(*[named(c) for c in df.columns], F.coalesce(set_, F.lit(False)).alias("_maybe"))
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality that holds between nulls too."""
     return left.eqNullSafe(right)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tubal.llm.common import byte_strings, map_batches, materialize, same, text_or_empty, wrapped
+from tubal.llm.common import byte_strings, map_batches, materialize, maybe_among, same, text_or_empty, wrapped
 from tubal.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -313,7 +313,11 @@ def keep_first(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str)
     def keys(rows: DataFrame) -> DataFrame:
         return rows.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_other"))
 
-    kept = wrapped(docs, _digest(text_col)).join(keys(marked.where("not first")), of_row, "left_anti")
+    # Most rows are told from the dropped ones by a filter, so that their texts are not shuffled for the join.
+    dropped = keys(marked.where("not first"))
+    rows = maybe_among(wrapped(docs, _digest(text_col)), [F.col(f"row.`{id_col}`"), F.col("digest")], dropped, [F.col("_id"), F.col("_other")])
+    left = rows.where("_maybe").drop("_maybe").join(dropped, of_row, "left_anti")
+    kept = rows.where("not _maybe").drop("_maybe").unionByName(left)
     twins = marked.where("first").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     twins = materialize(keys(twins), "near-twins")
     if twins.isEmpty():
