@@ -142,12 +142,12 @@ def test_near_copies_without_usable_ids(spark):
     assert got == sorted([(None, 0), (None, 1), (7, 2), (3, 3), (7, 4), (1, 5)], key=str)
 
 
-def _shuffled_bytes(spark) -> int:
-    """Bytes that all stages of the session have written to shuffles."""
+def _shuffled_bytes(spark) -> dict[int, int]:
+    """Bytes that the latest stages of the session have written to shuffles."""
     context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
     context.listenerBus().waitUntilEmpty(30_000)
     stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
 
 
 def test_near_copies_shuffle_few_texts(spark):
@@ -163,7 +163,8 @@ def test_near_copies_shuffle_few_texts(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
     assert kept == list(enumerate(texts))
-    assert _shuffled_bytes(spark) - before < 0.4 * size
+    written = [n for stage, n in _shuffled_bytes(spark).items() if stage > max(before, default=-1)]
+    assert written and sum(written) < 0.4 * size
 
 
 def test_maybe_among(spark):
