@@ -397,3 +397,16 @@ def test_rows_outside_the_modes(spark):
     for bad in ("k < 2 or k > 4", "k < 2 or k is null"):
         with pytest.raises(Exception):
             tensor_from_table(df.where(bad), modes, F.col("v"), strict=True).cells.collect()
+
+
+def test_kept_partitions_follow_the_tensor(spark):
+    """Whatever the shuffle partitions are, a small tensor's reductions are kept in one, of which readers have one task each."""
+    t, usual = random_tensor(spark, (6, 5, 4, 3)), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for c in (compression.compress(t, "dct", tol=0.2), compression.compress_blocks(blocks.to_blocks(t, 40), "dct", tol=0.2)):
+            assert c.kept.rdd.getNumPartitions() == 1 and c.factors.count() == 12
+            c.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert random_tensor(spark, (64, 64, 65)).tasks == 2

@@ -28,6 +28,25 @@ def test_query(spark, name):
     assert rows_of(con.fetchall()) == rows_of(got.select(*names).collect())
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_tolerance_holds_takes_few_tasks(spark):
+    """Each task sends some kB to the driver. Their number follows the tensor, not the shuffle partitions of large tables."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def tasks() -> dict[int, int]:
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).numCompleteTasks() for i in range(stages.size())}
+
+    before, usual = max(tasks(), default=-1), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert all(r.within for r in catalog.QUERIES["tolerance_holds"](spark, FOLDER).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert 0 < sum(n for stage, n in tasks().items() if stage > before) < 300
+
+
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     if os.path.isdir(FOLDER):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tubal.operators.products import BLOCK_CELLS
-from tubal.tensor import Tensor, index_names, linear_index, split_index
+from tubal.tensor import Tensor, index_names, linear_index, split_index, tasks_for
 
 SCHEMA = "block long, tubes int, data binary"
 #: Cells of a block: small enough that reading, products and writing go on at once where Arrow batches are as small
@@ -37,6 +37,10 @@ class Blocks:
     def size(self) -> int:
         return prod(self.dims)
 
+    @property
+    def tasks(self) -> int:
+        return tasks_for(self.size)
+
     @property
     def slices(self) -> int:
         return prod(self.dims[2:])

@@ -75,8 +75,9 @@ def compress(t: Tensor, kind: str = "dct", modes: Sequence[int] | None = None, *
     slices = fx.to_slices(hat)
     if rank is not None:
         return Compressed(fx.decompose(slices, rank), hat.dims, inverse, modes)
-    # One reduction of each slice serves both the cut-off and the factors.
-    reduced = kept.reduce_slices(slices).persist()
+    # One reduction of each slice serves both the cut-off and the factors. A cache keeps its partitions, of which each reader has a
+    # task, so there are no more than the tensor's size asks for.
+    reduced = kept.reduce_slices(slices.coalesce(hat.tasks)).persist()
     return Compressed(kept.form_factors(reduced, threshold.ranks(kept.kept_values(reduced), tol)), hat.dims, inverse, modes, reduced)
 
 
@@ -113,7 +114,7 @@ def compress_blocks(b: blocks.Blocks, kind: str = "dct", modes: Sequence[int] |
         s, work, scales = kept.reduce_stack(x)
         return _slice_table(numbers, x.shape, {"s": _lists(s)} | {n: pa.array([r.tobytes() for r in y], pa.binary()) for n, y in (("work", work), ("scales", scales))})
 
-    reduced = blocks.over_slices(b, reduce, kept.KEPT, forward, modes).persist()
+    reduced = blocks.over_slices(b, reduce, kept.KEPT, forward, modes).coalesce(b.tasks).persist()
     factors = kept.form_factors(reduced, threshold.ranks(kept.kept_values(reduced), tol))
     return CompressedBlocks(factors, dims, b.step, inverse, modes, reduced)
 

@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 
 #: Entries of a matrix that may be sent to the driver (8 bytes each there, more on the way).
 DRIVER_ENTRIES = 1 << 24
+#: Cells that make a task worth while where what is kept is dealt to tasks by size (2 MB).
+TASK_CELLS = 1 << 18
 
 
 def index_names(count: int) -> list[str]:
     return [f"i{k}" for k in range(count)]
 
 
+def tasks_for(cells: int) -> int:
+    """Tasks that so many cells are worth, however large the tables that they come from."""
+    return -(-cells // TASK_CELLS)
+
+
 @dataclass(frozen=True)
 class Tensor:
     cells: DataFrame
@@ -38,6 +45,10 @@ class Tensor:
     def size(self) -> int:
         return prod(self.dims)
 
+    @property
+    def tasks(self) -> int:
+        return tasks_for(self.size)
+
     @property
     def slices(self) -> int:
         """Frontal slices; a matrix is one."""
